@@ -155,7 +155,7 @@ def classify(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in vec.sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_verdict(shared.value, b.column("text"))], names=["doc_id", "quality_vote", "toxic_vote", "quality", "toxic", "keep"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(judge, "doc_id long, quality_vote double, toxic_vote double, quality int, toxic int, keep boolean")
@@ -176,7 +176,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in vec.sliced(batches):
             yield b.filter(_verdict(shared.value, b.column(b.schema.get_field_index("text")))[-1])
 
     return docs.mapInArrow(sift, docs.schema)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+pa.set_memory_pool(pa.system_memory_pool())
+with contextlib.suppress(OSError, AttributeError):  # elsewhere than with glibc; there large arrays go back to the system at once
+    ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)
+
 U = np.uint64
 #: Bytes of a word: ASCII letters and digits, and every byte of a character beyond ASCII.
 WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
@@ -51,7 +57,7 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), off
 
 
-def spans(off: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def spans(off: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most so many bytes, or of one longer row."""
     i, n = 0, len(off) - 1
     while i < n:
@@ -129,10 +135,19 @@ def distinct(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (key >> U(48)).astype(np.int64), key & U((1 << 48) - 1)
 
 
-def chunked(column: pa.Array, most: int = 1 << 21, rows: int = 60_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunked(column: pa.Array, most: int = 1 << 20, rows: int = 60_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets from 0) of a string column, a few MB at a time."""
     data, off = strings(column)
     for i, j in spans(off, most):
         for a in range(i, j, rows):
             b = min(j, a + rows)
             yield a, b, data[off[a] : off[b]], off[a : b + 1] - off[a]
+
+
+def sliced(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that their texts have at most so many bytes, or one longer row."""
+    for batch in batches:
+        at = batch.schema.get_field_index(name)
+        _, off = strings(batch.column(at))
+        for i, j in spans(off, most):
+            yield batch.slice(i, j - i)
