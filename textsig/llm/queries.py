@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near, quality
+from . import bpe, chats, counts, leaks, licenses, near, parsing, pii, quality, warc
 from .shared import documents
 
 
@@ -18,6 +19,39 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.jaccard_join(documents(spark, sf_dir))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count_tokens(documents(spark, sf_dir))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.conversations(chats.turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    restored = warc.restore(*warc.archive(warc.records_of_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))))
+    return restored.withColumn("record", F.col("record").cast("string"))
+
+
+def op7_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(documents(spark, sf_dir))
+
+
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.fingerprint(documents(spark, sf_dir))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -35,3 +69,25 @@ SELECT doc_a, doc_b, round(c / (x.n + y.n - c)::DOUBLE, 6) AS jaccard
 FROM common JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b
 WHERE c / (x.n + y.n - c)::DOUBLE >= 0.7 - 1e-9
 """
+
+OP4_CHAT_FORMATTING_SQL = r"""
+WITH RECURSIVE c AS (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+step AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS earlier FROM (SELECT DISTINCT conv_id, turn FROM c)),
+m AS (SELECT conv_id AS tree_id, turn * 1048576 + row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, text) - 1 AS message_id, earlier * 1048576 AS parent_id,
+  len(list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')))::DOUBLE AS score, '<|' || coalesce(role, 'user') || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS line
+  FROM c JOIN step USING (conv_id, turn)),
+p AS (SELECT tree_id, message_id, [message_id] AS path, score, line AS text FROM m WHERE parent_id IS NULL
+  UNION ALL SELECT m.tree_id, m.message_id, list_append(p.path, m.message_id), p.score + m.score, p.text || m.line FROM p JOIN m ON m.tree_id = p.tree_id AND m.parent_id = p.message_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY score DESC, path) AS rank FROM p
+  WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.tree_id = p.tree_id AND m.parent_id = p.message_id))
+SELECT tree_id, rank, message_id AS leaf_id, score, len(path) AS n_turns, text FROM ranked WHERE rank <= 2
+"""
+
+OP6_WARC_ARCHIVE_SQL = r"""
+WITH r AS (SELECT page_id, url, html, sha256(html) AS digest, chr(13) || chr(10) AS nl FROM pages)
+SELECT page_id AS record_id, digest, CASE WHEN html IS NOT NULL THEN true END AS verified,
+  'WARC/1.0' || nl || 'WARC-Type: response' || nl || coalesce('WARC-Target-URI: ' || url || nl, '') || 'WARC-Date: 2024-01-01T00:00:00Z' || nl
+  || 'WARC-Record-ID: <urn:sha256:' || sha256(coalesce(page_id::VARCHAR, '') || ' ' || coalesce(url, '')) || '>' || nl || coalesce('WARC-Payload-Digest: sha256:' || digest || nl, '')
+  || 'Content-Type: text/html' || nl || 'Content-Length: ' || coalesce(strlen(html), 0) || nl || nl || coalesce(html, '') || nl || nl AS record
+FROM r
+"""
