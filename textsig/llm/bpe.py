@@ -394,7 +394,7 @@ def with_tokens(docs: DataFrame, columns: list[str], path: str = RANKS) -> DataF
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], tokens, number, pa.array(exact, pa.bool_())], names=[*b.schema.names[:-1], "tokens", "n_tokens", "exact"])
 
     given = docs.select(*columns, F.col("text").cast("string").alias("__text"))
-    schema = given.drop("__text").schema.add("tokens", T.ArrayType(T.IntegerType())).add("n_tokens", "int").add("exact", "boolean")
+    schema = given.drop("__text").schema.add("tokens", T.ArrayType(T.IntegerType())).add("n_tokens", T.IntegerType()).add("exact", T.BooleanType())
     return given.mapInArrow(encode, schema)
 
 
