@@ -70,6 +70,12 @@ chapter 12.3 and 4.5.6 of v1.2.3 in 25 pages
 it costs $1,234.50 or 99.95 per unit of 7
 items 10 20 30 40 50 were sold
 rows 1234 5678 9012 were 42 of 100
+count 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 then stop
+7 7 7 7 7 7 7 7 7 7 7 7 7 7 7 7
+12 14 99 15 16 22 10 43 53 of 8
+100 200 300 400 150 260 370 and 120 in 3
+1.5 2.5 3.5 4.25 0.1 0.2 are 6 values
+1999 2000 2001 2002 2003 2004 were years
 id 123456 of batch 20240115 was 1234567
 about 50% of 3rd grade kids, 90s music and 2nd place
 a4 b12 c3po r2d2 mp3 h2o covid19 x86 files
@@ -273,6 +279,8 @@ class Model:
             else:
                 out.append([int(row[i]), a, b, int(y[i])])
                 total = digits[i]
+        least = {KINDS.index("CARD"): 12, KINDS.index("PHONE"): 7}  # digits; fewer are none
+        out = [x for x in out if sum(48 <= b < 58 for b in raw[x[1] : x[2]]) >= least.get(x[3], 0)]
         found = np.array(out, np.int64).reshape(-1, 4)
         return found[:, 0], found[:, 1], found[:, 2], found[:, 3]
 
