@@ -9,9 +9,17 @@ A pair of Jaccard t or more differs in at most D = (1-t)/(1+t) * (|x|+|y|) n-gra
   rarest n-gram, from a count sketch over all documents, then hash). If x and y shared none of these, D-2k+1 of x's segments
   would differ from y's, one n-gram each, which is more than is left.
 
+Sets that share an entry are held against each other there and then, where they are few: by size, and by parity sketches (the
+parity of the number of n-grams in each of about as many hash buckets as the set has n-grams; sets differ in at least as many
+n-grams as their sketches do in bits), which travel with the entries, once for all that a set has in one part of the index.
+A pair need only be found by the first entry in the global order that its sets share, so an entry counts no longer for a pair
+whose sets have too many segments of one n-gram before it: none of these is shared, and each is a difference.
+
 m and k of each band minimise the expected index entries plus expected hits (`allocate`). Candidates that share an entry gather in blocks named
-by the least fingerprint; blocks over TILE sets are cut into tiles, each pair of which is one piece of work; and every
-pair in a block is verified exactly by products of 0/1 matrices of the n-grams (48-bit hashes).
+by the least fingerprint; blocks over TILE sets are cut into tiles, each pair of which is one piece of work. There first the
+sets' n-gram counts by hash bucket are compared, whose difference is at most that of the sets, so that sets without a
+possible partner drop out at a sixteenth of the bytes; then every pair left in a block is verified exactly by products of 0/1
+matrices of the n-grams (48-bit hashes).
 
 Equal sets have one fingerprint and travel once. Index entries go through the shuffle packed, some 7 bytes each.
 
@@ -36,7 +44,9 @@ from .shared import written
 N, THRESHOLD = 2, 0.7
 BANDS, SKETCH = 24, 1 << 16
 #: Index entries in a task, sets in a tile of a block, bytes of sets in a group of blocks, and row ids that may be broadcast (8 bytes each).
-ENTRIES, TILE, GROUP_BYTES, BROADCAST_ROWS = 1_500_000, 1024, 12_000_000, 4_000_000
+ENTRIES, TILE, GROUP_BYTES, BROADCAST_ROWS = 5_000_000, 1024, 12_000_000, 4_000_000
+#: Sets of an index entry up to which its pairs are compared one by one.
+FEW = 128
 U = np.uint64
 
 
@@ -56,20 +66,95 @@ def _fingerprints(row: np.ndarray, h: np.ndarray, size: np.ndarray) -> np.ndarra
     return vec.mix(out + size.astype(np.uint64)).view(np.int64)
 
 
+def _bits(size: np.ndarray) -> np.ndarray:
+    """log2 of the number of buckets of a set's profile: two to four n-grams a bucket."""
+    return np.clip(np.floor(np.log2(np.maximum(size, 1)) + 1e-12).astype(np.int64) - 1, 3, 12)
+
+
+def _profiles(row: np.ndarray, h: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Each set's number of n-grams by bucket (upper bits of the hash), 255 at most."""
+    bits = _bits(size)
+    ends = np.concatenate([[0], np.cumsum(1 << bits)])
+    at = ends[row] + (h >> (U(48) - bits[row].astype(np.uint64))).astype(np.int64)
+    data = np.minimum(np.bincount(at, minlength=ends[-1]), 255).astype(np.uint8).tobytes()
+    return [data[ends[i] : ends[i + 1]] if size[i] else b"" for i in range(len(size))]
+
+
+def _words(size: np.ndarray) -> np.ndarray:
+    """64-bit words of a set's parity sketch, a power of two."""
+    return 1 << np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) * 0.9)).astype(np.int64) - 6)
+
+
+def _parities(row: np.ndarray, h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words of all sets' parity sketches, offsets); the bucket is in the lower bits, so halves of a sketch fold by XOR."""
+    words = _words(size)
+    ends = np.concatenate([[0], np.cumsum(words)])
+    mixed = vec.mix(h + U(0x2545F4914F6CDD1D))
+    at = 64 * ends[row] + (mixed & (64 * words[row] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=64 * ends[-1]) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64), ends
+
+
+def _close(a: np.ndarray, b: np.ndarray, size: np.ndarray, marks: np.ndarray, ends: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs (a, b) of sets neither size nor parity sketch rules out."""
+    low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+    out = low >= threshold * high - 1e-9
+    words = _words(size)
+    least, most = np.minimum(words[a], words[b]), np.maximum(words[a], words[b])
+    share = (1 - threshold) / (1 + threshold)
+    for w in np.unique(least[out]):
+        mine = np.flatnonzero(out & (least == w) & (most <= 2 * w))
+        for i in range(0, len(mine), max(1, (1 << 20) // int(w))):
+            k = mine[i : i + max(1, (1 << 20) // int(w))]
+            apart = np.zeros(len(k), np.int64)
+            both = []
+            for side in (a[k], b[k]):
+                x = marks[ends[side][:, None] + np.arange(w)]
+                more = words[side] > w
+                x[more] ^= marks[ends[side[more]][:, None] + w + np.arange(w)]
+                both.append(x)
+            apart = np.bitwise_count(both[0] ^ both[1]).sum(axis=1, dtype=np.int64)
+            out[k] = apart <= np.floor(share * (low[k] + high[k]) + 1e-9)
+    return out
+
+
+def _possible(profiles: list[bytes], size: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the sets have another that their profiles don't rule out."""
+    out, bits = np.zeros(len(size), bool), _bits(size)
+    share = (1 - threshold) / (1 + threshold)
+    read = lambda which: np.frombuffer(b"".join(profiles[i] for i in which), np.uint8).reshape(len(which), -1).astype(np.int16)
+    low = np.flatnonzero(size < 1 / max(1e-9, 1 - threshold) + 8)  # few buckets: these are left to the exact check
+    out[low] = True
+    for b in np.unique(bits):
+        mine, more = np.flatnonzero(bits == b), np.flatnonzero(bits == b + 1)
+        both = np.concatenate([mine, more])
+        x = read(mine)
+        if len(more):
+            x = np.concatenate([x, read(more).reshape(len(more), -1, 2).sum(axis=2, dtype=np.int16)])
+        for i in range(len(mine)):
+            apart = np.abs(x[i + 1 :] - x[i]).sum(axis=1, dtype=np.int64)
+            hit = np.flatnonzero(apart <= np.floor(share * (size[both[i]] + size[both[i + 1 :]]) + 1e-9))
+            if len(hit):
+                out[both[i]] = True
+                out[both[i + 1 + hit]] = True
+    return out
+
+
 def fingerprints(docs: DataFrame, n: int = N) -> DataFrame:
-    """row_id, doc_id, fp and size of the n-gram set of each row; and, with doc_id and fp null, count sketches of the n-grams of all sets."""
+    """row_id, doc_id, fp, size and profile of the n-gram set of each row; and, with doc_id and fp null, count sketches of the n-grams of all sets."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            fp, size = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int32)
+        for batch in vec.sliced(batches):
+            fp, size, profile = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int32), []
             for a, b, row, h, each in _sets(batch.column("text"), n):
                 fp[a:b], size[a:b] = _fingerprints(row, h, each), each
+                profile += _profiles(row, h, each)
                 counts += np.bincount((h & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("doc_id"), pa.array(fp), pa.array(size), pa.nulls(len(fp), pa.list_(pa.int64()))], names=["row_id", "doc_id", "fp", "size", "counts"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 3 + [pa.array([None], pa.int32()), pa.array([counts.tolist()], pa.list_(pa.int64()))], names=["row_id", "doc_id", "fp", "size", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("doc_id"), pa.array(fp), pa.array(size), pa.array(profile, pa.binary()), pa.nulls(len(fp), pa.list_(pa.int64()))], names=["row_id", "doc_id", "fp", "size", "profile", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 3 + [pa.array([None], pa.int32()), pa.array([None], pa.binary()), pa.array([counts.tolist()], pa.list_(pa.int64()))], names=["row_id", "doc_id", "fp", "size", "profile", "counts"])
 
-    return numbered(docs).mapInArrow(scan, "row_id long, doc_id long, fp long, size int, counts array<long>")
+    return numbered(docs).mapInArrow(scan, "row_id long, doc_id long, fp long, size int, profile binary, counts array<long>")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -107,37 +192,50 @@ def _band(size: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(size, 1)) / 2 + 1e-12).astype(np.int64)
 
 
-def _entries(row: np.ndarray, h: np.ndarray, size: np.ndarray, up: int, cost: np.ndarray, ms: np.ndarray, ks: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, 46-bit index entry) in each row's own scheme, or (up = 1) in that of the next band, for rows with partners there."""
+def _shift(size: np.ndarray) -> np.ndarray:
+    """By how many bits places are shortened to fit a byte."""
+    return np.maximum(0, np.floor(np.log2(np.maximum(size, 1)) + 1e-12).astype(np.int64) - 7)
+
+
+def _entries(row: np.ndarray, h: np.ndarray, size: np.ndarray, up: int, cost: np.ndarray, ms: np.ndarray, ks: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, 46-bit index entry, place) in each row's own scheme, or (up = 1) in that of the next band, for rows with partners there.
+    place: how many of the row's entries before it are segments of one n-gram, shortened."""
     scheme = np.minimum(_band(size) + up, BANDS - 1)
     part = np.floor(size / threshold + 1e-9)
     if up:
         keep = (part >= 4.0**scheme) & (size > 0)
         h, row = h[keep[row]], row[keep[row]]
     if not len(h):
-        return row[:0], h[:0]
+        return row[:0], h[:0], np.zeros(0, np.uint8)
     most = np.floor((1 - threshold) / (1 + threshold) * (size + np.minimum(4.0 ** (scheme + 1) - 1, part)) + 1e-9).astype(np.int64)
     k = ks[scheme]
     segment = ((h >> U(8)) * ms[scheme][row]) >> U(40)
     first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (segment[1:] != segment[:-1])]))
+    single = (np.diff(np.append(first, len(h))) == 1).astype(np.uint64)
     mixed = vec.mix(h + U(0x632BE59BD9B4E019))
     total, r, g = np.add.reduceat(mixed, first), row[first], segment[first]
     salt = (g + (scheme[r].astype(np.uint64) << U(40))) * U(0xD1342543DE82EF95)
     rare = np.minimum.reduceat(cost[(h & U(SKETCH - 1)).astype(np.int64)], first)
-    entry = vec.mix(total + salt) >> U(18)
+    entry = (vec.mix(total + salt) >> U(19) << U(1)) | single
     near = g.astype(np.int64) < k[r]
     key = np.sort((r[~near].astype(np.uint64) << U(52)) | (rare[~near] << U(46)) | entry[~near])
     kr = (key >> U(52)).astype(np.int64)
     n = np.bincount(kr, minlength=len(size))
-    chosen = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n) < (most + 1 - 2 * k)[kr]
-    rows, out = [kr[chosen]], [key[chosen] & U((1 << 46) - 1)]
+    begin = (np.cumsum(n) - n)[kr]
+    chosen = np.arange(len(key)) - begin < (most + 1 - 2 * k)[kr]
+    singles = np.concatenate([[0], np.cumsum(key & U(1))]).astype(np.int64)
+    place = np.minimum((singles[:-1] - singles[begin]) >> _shift(size)[kr], 255).astype(np.uint8)
+    rows, out, places = [kr[chosen]], [key[chosen] & U((1 << 46) - 1)], [place[chosen]]
     if k.any():
         rows.append(r[near])
         out.append(entry[near])
         seg = np.cumsum(np.concatenate([[False], (row[1:] != row[:-1]) | (segment[1:] != segment[:-1])]))
         gone = np.flatnonzero(near[seg])
         rows.append(row[gone])
-        out.append(vec.mix(total[seg[gone]] - mixed[gone] + salt[seg[gone]]) >> U(18))
+        out.append(vec.mix(total[seg[gone]] - mixed[gone] + salt[seg[gone]]) >> U(19) << U(1))
+        # what one deletion leaves of a segment is held against whole segments of any size
+        rows.append(r[near])
+        out.append(entry[near] & ~U(1))
         # segments of the first k that are empty are an entry too
         there = np.unique(row)
         kk = k[there]
@@ -145,8 +243,9 @@ def _entries(row: np.ndarray, h: np.ndarray, size: np.ndarray, up: int, cost: np
         full = np.isin((er << 32) + eg, (r[near] << 32) + g[near].astype(np.int64))
         er, eg = er[~full], eg[~full].astype(np.uint64)
         rows.append(er)
-        out.append(vec.mix((eg + (scheme[er].astype(np.uint64) << U(40))) * U(0xD1342543DE82EF95)) >> U(18))
-    return np.concatenate(rows), np.concatenate(out)
+        out.append(vec.mix((eg + (scheme[er].astype(np.uint64) << U(40))) * U(0xD1342543DE82EF95)) >> U(19) << U(1))
+        places.append(np.zeros(sum(map(len, rows[1:])), np.uint8))
+    return np.concatenate(rows), np.concatenate(out), np.concatenate(places)
 
 
 def _edges(docs: DataFrame, n: int, threshold: float, cost: np.ndarray, ms: np.ndarray, ks: np.ndarray, parts: int) -> DataFrame:
@@ -155,52 +254,69 @@ def _edges(docs: DataFrame, n: int, threshold: float, cost: np.ndarray, ms: np.n
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cost, ms, ks = shared.value
-        for batch in batches:
-            fps, counts, entries = [], [], []
-            for a, b, row, h, size in _sets(batch.column("text"), n):
-                fp = _fingerprints(row, h, size)
+        for batch in vec.sliced(batches):
+            for _, _, row, h, size in _sets(batch.column("text"), n):
+                fp, (marks, ends) = _fingerprints(row, h, size), _parities(row, h, size)
                 own, up = (_entries(row, h, size, u, cost, ms, ks, threshold) for u in (0, 1))
-                row, entry = np.concatenate([own[0], up[0]]), np.concatenate([own[1], up[1]])
+                row, entry, place = (np.concatenate(x) for x in zip(own, up))
                 part = (entry % U(parts)).astype(np.int64)
                 order = np.argsort(part * 4096 + row, kind="stable")
-                entries.append((part[order], entry[order]))
-                key, each = np.unique(part[order] * 4096 + row[order], return_counts=True)
-                fps.append((key >> 12, fp[key & 4095]))
-                counts.append(each)
-            if not fps:
-                continue
-            part, fp, count = np.concatenate([p for p, _ in fps]), np.concatenate([f for _, f in fps]), np.concatenate(counts)
-            order = np.argsort(part, kind="stable")
-            part, fp, count = part[order], fp[order], count[order].astype(np.uint32)
-            ep, entry = np.concatenate([p for p, _ in entries]), np.concatenate([e for _, e in entries])
-            entry = entry[np.argsort(ep, kind="stable")]
-            at, ends = np.searchsorted(part, np.arange(parts + 1)), np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
-            out = {"part": [], "fps": [], "counts": [], "low": [], "high": []}
-            for p in np.flatnonzero(np.diff(at)):
-                i, j = at[p], at[p + 1]
-                e = entry[ends[i] : ends[j]]
-                for name, x in (("part", int(p)), ("fps", fp[i:j].tobytes()), ("counts", count[i:j].tobytes()), ("low", e.astype(np.uint32).tobytes()), ("high", (e >> U(32)).astype(np.uint16).tobytes())):
-                    out[name].append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int32()), *(pa.array(out[x], pa.binary()) for x in ("fps", "counts", "low", "high"))], names=list(out))
+                part, entry, place = part[order], entry[order], place[order]
+                key, count = np.unique(part * 4096 + row[order], return_counts=True)
+                at, to = np.searchsorted(key >> 12, np.arange(parts + 1)), np.searchsorted(part, np.arange(parts + 1))
+                out = {"part": [], "fps": [], "sizes": [], "marks": [], "counts": [], "low": [], "high": [], "places": []}
+                for p in np.flatnonzero(np.diff(at)):
+                    who, e = key[at[p] : at[p + 1]] & 4095, entry[to[p] : to[p + 1]]
+                    sketch = np.concatenate([marks[ends[r] : ends[r + 1]] for r in who])
+                    for name, x in (("part", int(p)), ("fps", fp[who].tobytes()), ("sizes", size[who].astype(np.uint32).tobytes()), ("marks", sketch.tobytes()), ("counts", count[at[p] : at[p + 1]].astype(np.uint32).tobytes()), ("low", e.astype(np.uint32).tobytes()), ("high", (e >> U(32)).astype(np.uint16).tobytes()), ("places", place[to[p] : to[p + 1]].tobytes())):
+                        out[name].append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int32()), *(pa.array(out[x], pa.binary()) for x in list(out)[1:])], names=list(out))
 
     def meet(table: pa.Table) -> pa.Table:
         read = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)])
         entry = read("low", np.uint32).astype(np.uint64) | (read("high", np.uint16).astype(np.uint64) << U(32))
-        fp = np.repeat(read("fps", np.int64), read("counts", np.uint32))
-        names, fp = np.unique(fp, return_inverse=True)
-        order = np.argsort(entry, kind="stable")
-        entry, fp = entry[order], fp[order]
-        same = entry[1:] == entry[:-1]
-        some = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        entry, fp = entry[some], fp[some]
-        if not len(entry):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        first = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
-        centre = np.repeat(np.minimum.reduceat(fp, first), np.diff(np.append(first, len(fp))))
-        key = np.unique(centre[centre != fp] * len(names) + fp[centre != fp])
-        return pa.table({"a": names[key // len(names)], "b": names[key % len(names)]})
-
-    packed = numbered(docs).select("text").mapInArrow(index, "part int, fps binary, counts binary, low binary, high binary")
+        fp, size, count, marks = read("fps", np.int64), read("sizes", np.uint32).astype(np.int64), read("counts", np.uint32), read("marks", np.uint64)
+        ends = np.concatenate([[0], np.cumsum(_words(size))])
+        names, where, back = np.unique(fp, return_index=True, return_inverse=True)  # in order of fp
+        size, ends = size[where], ends[where]
+        who = np.repeat(back.astype(np.int32), count)
+        share = (1 - threshold) / (1 + threshold)
+        slack = (share * size[who] - (read("places", np.uint8).astype(np.int64) << _shift(size)[who])).astype(np.float32)
+        order = np.argsort(entry)
+        entry, who, slack = entry[order], who[order], slack[order]
+        del order
+        for _ in range(2):  # members that no other can make up for drop out
+            first = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])) if len(entry) else np.zeros(0, np.int64)
+            n = np.diff(np.append(first, len(entry)))
+            best = np.repeat(np.maximum.reduceat(slack, first), n) if len(first) else slack
+            left = (np.repeat(n, n) > 1) & (slack + best >= -0.5)
+            entry, who, slack = entry[left], who[left], slack[left]
+        first = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])) if len(entry) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(entry)))
+        del entry
+        stars, total = [], len(names)
+        for i in np.flatnonzero(n > FEW):
+            some = np.unique(who[first[i] : first[i] + n[i]]).astype(np.int64)
+            stars.append(some[0] * total + some[1:])
+        found = [np.unique(np.concatenate(stars))] if stars else []
+        for k in range(2, FEW + 1):
+            i, j = np.triu_indices(k, 1)
+            rows = first[n == k]
+            step = max(1, 1_000_000 // len(i))
+            for at in range(0, len(rows), step):
+                x = rows[at : at + step, None] + np.arange(k)
+                s, x = slack[x], who[x].astype(np.int64)
+                a, b = x[:, i].ravel(), x[:, j].ravel()
+                low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+                near = (low >= threshold * high - 1e-9) & (a != b) & ((s[:, i] + s[:, j]).ravel() >= -0.5)
+                a, b = a[near], b[near]
+                pairs = np.unique(np.minimum(a, b) * total + np.maximum(a, b))
+                a, b = pairs // total, pairs % total
+                found.append(pairs[_close(a, b, size, marks, ends, threshold)])
+        key = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return pa.table({"a": names[key // max(total, 1)], "b": names[key % max(total, 1)]})
+
+    packed = numbered(docs).select("text").mapInArrow(index, "part int, fps binary, sizes binary, marks binary, counts binary, low binary, high binary, places binary")
     return packed.groupBy("part").applyInArrow(meet, "a long, b long")
 
 
@@ -247,46 +363,68 @@ def similar_sets(docs: DataFrame, found: DataFrame, n: int, threshold: float, se
     own = found.where("fp is not null and size > 0").groupBy("fp").agg(F.min("row_id").alias("row_id"), F.first("size").alias("size"))
     wanted = written(blocks.select("fp").distinct().join(own, "fp"), "near-wanted")
 
+    def placed(blocks: DataFrame, size: str) -> DataFrame:
+        """Each member of a block at each pair of tiles that it is needed for, in groups of work of bounded bytes."""
+        sizes = blocks.join(wanted.select("fp", "size"), "fp")
+        groups = 1 + int((sizes.agg(F.sum(F.expr(size))).first()[0] or 0) / GROUP_BYTES)
+        tiles = sizes.groupBy("block").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+        out = blocks.join(tiles, "block").withColumn("t", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+        out = out.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        out = out.select("block", "fp", "t", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"))
+        return out.withColumn("work", F.pmod(F.xxhash64("block", "i", "j"), F.lit(groups)))
+
+    def pieces(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        """The rows of each piece of work of two or more sets, in order of fp; and their sides, if only pairs of unlike sides count."""
+        block, i, j, t, fp = (table.column(x).to_numpy() for x in ("block", "i", "j", "t", "fp"))
+        order = np.lexsort((fp, j, i, block))
+        block, i, j, t = block[order], i[order], j[order], t[order]
+        first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])) if len(block) else []
+        for a, b in zip(first, np.append(first[1:], len(block))):
+            if b - a > 1:
+                yield order[a:b], t[a:b] if i[a] != j[a] else None
+
+    def sift(table: pa.Table) -> pa.Table:
+        fp, block, size, profile = (table.column(x).to_numpy() for x in ("fp", "block", "size", "profile"))
+        left = [rows[_possible([profile[x] for x in rows], size[rows], threshold)] for rows, _ in pieces(table)]
+        left = np.concatenate(left) if left else np.zeros(0, np.int64)
+        return pa.table({"block": block[left], "fp": fp[left]})
+
+    profiles = wanted.join(found.where("fp is not null").select("row_id", "profile"), "row_id").select("fp", "size", "profile")
+    blocks = written(placed(blocks, "size / 2").join(profiles, "fp").groupBy("work").applyInArrow(sift, "block long, fp long").distinct(), "near-sifted")
+    wanted = written(blocks.select("fp").distinct().join(wanted, "fp"), "near-members")
+
     # the sets of the candidates, one row for each
     rows = wanted.count()
     few = rows <= broadcast_rows
     ids = spark.sparkContext.broadcast(np.sort(np.array([r.row_id for r in wanted.select("row_id").toLocalIterator()], np.int64)) if few else None)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in vec.sliced(batches):
             if ids.value is not None:
                 batch = batch.filter(pa.array(np.isin(batch.column("row_id").to_numpy(), ids.value)))
             for a, b, row, h, size in _sets(batch.column("text"), n):
                 ends = np.concatenate([[0], np.cumsum(size)])
                 fp = _fingerprints(row, h, size)
-                yield pa.RecordBatch.from_arrays([batch.column("row_id").slice(a, b - a), pa.array(fp), pa.array([h[ends[i] : ends[i + 1]].tobytes() for i in range(b - a)], pa.binary())], names=["row_id", "fp", "grams"])
+                low, high = h.astype(np.uint32), (h >> U(32)).astype(np.uint16)
+                grams = [low[ends[i] : ends[i + 1]].tobytes() + high[ends[i] : ends[i + 1]].tobytes() for i in range(b - a)]
+                yield pa.RecordBatch.from_arrays([batch.column("row_id").slice(a, b - a), pa.array(fp), pa.array(grams, pa.binary())], names=["row_id", "fp", "grams"])
 
     sets = numbered(docs).select("row_id", "text").mapInArrow(members, "row_id long, fp long, grams binary")
     if not few:
         sets = sets.join(wanted.select("row_id"), "row_id", "left_semi")
-    sizes = blocks.join(wanted.select("fp", "size"), "fp")
-    groups = 1 + int((sizes.agg(F.sum("size")).first()[0] or 0) * 8 / GROUP_BYTES)
-    tiles = sizes.groupBy("block").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    placed = blocks.join(tiles, "block").withColumn("t", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-    placed = placed.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    placed = placed.select("block", "fp", "t", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"))
-    placed = placed.withColumn("work", F.pmod(F.xxhash64("block", "i", "j"), F.lit(groups)))
+
+    def unpack(grams: bytes) -> np.ndarray:
+        k = len(grams) // 6
+        return np.frombuffer(grams, np.uint32, k).astype(np.uint64) | (np.frombuffer(grams, np.uint16, k, 4 * k).astype(np.uint64) << U(32))
 
     def check(table: pa.Table) -> pa.Table:
-        block, i, j, t, fp = (table.column(x).to_numpy() for x in ("block", "i", "j", "t", "fp"))
-        order = np.lexsort((fp, j, i, block))
-        block, i, j, t, fp = block[order], i[order], j[order], t[order], fp[order]
-        grams = table.column("grams")
-        first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])) if len(block) else []
-        got = []
-        for a, b in zip(first, np.append(first[1:], len(block))):
-            if b - a > 1:
-                sets = [np.frombuffer(grams[int(x)].as_py(), np.uint64) for x in order[a:b]]
-                got += _verify(fp[a:b], sets, threshold, t[a:b] if i[a] != j[a] else None)
+        fp, grams, got = table.column("fp").to_numpy(), table.column("grams"), []
+        for rows, side in pieces(table):
+            got += _verify(fp[rows], [unpack(grams[int(x)].as_py()) for x in rows], threshold, side)
         x, y, s = (np.concatenate(c) for c in zip(*got)) if got else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "jaccard": s.astype(np.float64)})
 
-    work = placed.join(sets.select("fp", "grams"), "fp").groupBy("work").applyInArrow(check, "a long, b long, jaccard double")
+    work = placed(blocks, "size * 6").join(sets.select("fp", "grams"), "fp").groupBy("work").applyInArrow(check, "a long, b long, jaccard double")
     return work.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
 
 
@@ -295,11 +433,22 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, **li
     found = written(fingerprints(docs, n), "near-prints")
     pairs = similar_sets(docs, found, n, threshold, **limits)
     ids = found.where("fp is not null and size > 0 and doc_id is not null").select("fp", "doc_id").distinct()
-    copies = ids.groupBy("fp").agg(F.collect_list("doc_id").alias("docs")).where(F.size("docs") > 1)
-    alike = copies.select(F.explode("docs").alias("x"), "docs").select("x", F.explode("docs").alias("y"), F.lit(1.0).alias("jaccard"))
-    unlike = pairs.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").select("x", "y", "jaccard")
-    every = alike.where("x < y").unionByName(unlike.where("x <> y"))
-    return every.groupBy(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
+    again = written(ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "near-again")  # ids of several unlike texts
+    some = again.count() > 0
+    if some:
+        ids = ids.join(again.withColumn("again", F.lit(True)), "doc_id", "left")
+    one = F.struct("doc_id", F.coalesce("again", F.lit(False)).alias("again") if some else F.lit(False).alias("again"))
+    docs_of = written(ids.groupBy("fp").agg(F.collect_list(one).alias("docs")), "near-ids")
+    alike = docs_of.where(F.size("docs") > 1).select("docs", F.col("docs").alias("others"), F.lit(1.0).alias("jaccard"))
+    unlike = pairs.join(docs_of.toDF("a", "docs"), "a").join(docs_of.toDF("b", "others"), "b").select("docs", "others", "jaccard")
+    every = alike.withColumn("same", F.lit(True)).unionByName(unlike.withColumn("same", F.lit(False)))
+    every = every.select(F.explode("docs").alias("x"), "others", "jaccard", "same").select("x", F.explode("others").alias("y"), "jaccard", "same")
+    every = every.where("x.doc_id <> y.doc_id and (not same or x.doc_id < y.doc_id)")
+    out = every.select(F.expr("least(x.doc_id, y.doc_id)").alias("doc_a"), F.expr("greatest(x.doc_id, y.doc_id)").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"), F.expr("x.again or y.again").alias("again"))
+    if not some:  # no pair can come twice
+        return out.drop("again")
+    out = written(out, "near-pairs")
+    return out.where("not again").drop("again").unionByName(out.where("again").groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")))
 
 
 def groups(pairs: DataFrame) -> DataFrame:
@@ -330,6 +479,7 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, broadcas
     rows = rows.select("row_id", key.alias("k"), F.coalesce("label", "fp").alias("g"))
     best = rows.groupBy("g").agg(F.min("k").alias("best"), F.count("*").alias("n")).where("n > 1")
     drop = written(rows.join(best, "g").where("k <> best").select("row_id"), "near-drop")
-    out = docs.withColumn("__row_id", F.monotonically_increasing_id())
-    drop = F.broadcast(drop) if drop.count() <= broadcast_rows else drop
-    return out.join(drop, out["__row_id"] == drop["row_id"], "left_anti").select(*[out[c] for c in docs.columns])
+    name = max(docs.columns, key=len) + "_row_id"  # no column of docs
+    out = docs.withColumn(name, F.monotonically_increasing_id())
+    drop = drop.withColumnRenamed("row_id", name)
+    return out.join(F.broadcast(drop) if drop.count() <= broadcast_rows else drop, name, "left_anti").select(*docs.columns)
