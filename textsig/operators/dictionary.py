@@ -127,6 +127,14 @@ def decomposed(words: DataFrame, parts: DataFrame, column: str = "value") -> Dat
     return out.withColumn("bag", F.array_sort(F.array_distinct("part_ids")))
 
 
+def candidates(words: DataFrame, parts: DataFrame) -> DataFrame:
+    """word, part_id, kind, place (from 0), length: every start, end and mid of a word that is a part. words: word."""
+    sized = words.withColumn("length", F.explode(F.sequence(F.lit(SHORTEST), F.least(F.lit(LONGEST), F.length("word"))))).where("length <= length(word)")
+    placed = sized.withColumn("place", F.explode(F.sequence(F.lit(0), F.length("word") - F.col("length")))).withColumn("value", F.expr("substring(word, place + 1, length)"))
+    fits = (F.col("kind") == "Mid") | ((F.col("kind") == "Start") & (F.col("place") == 0)) | ((F.col("kind") == "End") & (F.col("place") + F.col("length") == F.length("word")))
+    return placed.join(parts, "value").where(fits).select("word", "part_id", "kind", "place", "length")
+
+
 def bins(words: DataFrame, parts: DataFrame) -> DataFrame:
     """length, kind, value, weight: pieces of the stretches that no part claims, counted with their words' frequencies (n)."""
     shared = words.sparkSession.sparkContext.broadcast([tuple(r) for r in parts.select("part_id", "kind", "value").collect()])

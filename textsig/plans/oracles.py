@@ -152,3 +152,50 @@ SQL: dict[str, str] = {
     "jaccard_dense": "WITH s AS (SELECT item_id, md5(text) AS m, [('0x' || substr(md5(text), 1, 15))::BIGINT, ('0x' || substr(md5(text), 17, 15))::BIGINT] AS b FROM benchmark) SELECT x.item_id AS a, y.item_id AS b, round(coalesce((bit_count(x.b[1] & y.b[1]) + bit_count(x.b[2] & y.b[2])) / nullif(bit_count(x.b[1] | y.b[1]) + bit_count(x.b[2] | y.b[2]), 0), 0.0)::DOUBLE, 9) AS jaccard FROM s x JOIN s y ON x.item_id < y.item_id",
     "gram": "WITH c AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT (a.k - 1)::INT AS i, (b.k - 1)::INT AS j, round(sum(a.x * b.x), 4) AS x FROM c a JOIN c b USING (vec_id) GROUP BY 1, 2",
 }
+
+_MIXED = """
+kinds AS (SELECT DISTINCT unnest(['Whole', 'Start', 'End', 'Mid']) AS kind, unnest([t, substr(t, 1, 3), right(t, 3), substr(t, 4, 2 + length(t) % 3)]) AS value FROM (SELECT DISTINCT lower(p_type) AS t FROM part)),
+parts AS (SELECT (row_number() OVER (ORDER BY md5(kind || ' ' || value)) - 1)::INT AS part_id, kind, value FROM kinds WHERE value <> '')"""
+_KIND = "CASE kind WHEN 'Start' THEN 0 WHEN 'End' THEN 1 WHEN 'Mid' THEN 2 ELSE 0 END"
+_LEVEL = "CASE WHEN kind = 'Whole' THEN 0 ELSE -length(value) END"
+for _name, _keys in (("type", _KIND), ("type_level", f"{_KIND}, {_LEVEL}"), ("level_type", f"{_LEVEL}, {_KIND}")):
+    SQL[f"reorder_{_name}"] = f"WITH {_MIXED} SELECT (row_number() OVER (ORDER BY kind <> 'Whole', {_keys}, part_id) - 1)::INT AS part_id, kind, value, part_id AS old_id FROM parts"
+SQL["part_candidates"] = f"""WITH {_MIXED}, w AS (SELECT DISTINCT lower(p_type) AS word FROM part), l AS (SELECT word, unnest(range(2, least(7, length(word)) + 1)) AS len FROM w), p AS (SELECT word, len, unnest(range(0, length(word) - len + 1)) AS place FROM l)
+SELECT word, part_id, kind, place::INT AS place, len::INT AS length FROM p JOIN parts ON parts.value = substr(word, place + 1, len) WHERE kind = 'Mid' OR (kind = 'Start' AND place = 0) OR (kind = 'End' AND place + len = length(word))"""
+SQL["dict_lookup"] = f"WITH {_MIXED}, w AS (SELECT lower(substr(p_type, 1, 3)) AS value, 'Start' AS kind FROM part UNION SELECT lower(n_name), 'Whole' FROM nation) SELECT kind, value, coalesce(part_id, -1) AS part_id FROM w LEFT JOIN parts USING (kind, value)"
+
+_TALK = """
+s AS (SELECT conv_id * 1000 + turn AS id, list_sort(list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z]+'), lambda w: (length(w) * 26 + ascii(w) - 97)::INT))) AS bits FROM conversations),
+book AS (SELECT item_id::INT AS atom_id, list_sort(list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z]+'), lambda w: (length(w) * 26 + ascii(w) - 97)::INT)))[:24] AS bits FROM benchmark),
+sb AS (SELECT id, unnest(bits) AS bit FROM s), bb AS (SELECT atom_id, unnest(bits) AS bit FROM book),
+sdf AS (SELECT bit, count(*) AS df FROM sb GROUP BY bit),
+sw AS (SELECT bit, df, CASE WHEN max(x) OVER () <= 0 THEN 1 ELSE least(greatest(floor(1.5 + 15.0 * (x / max(x) OVER ())), 1), 16) END::INT AS w FROM (SELECT bit, df, round(ln((SELECT count(*) FROM s)::DOUBLE / df), 12) AS x FROM sdf)),
+ics AS (SELECT atom_id, sum(w) AS ic FROM bb JOIN sw USING (bit) GROUP BY 1),
+scored AS (SELECT id, atom_id, sum(w)::BIGINT AS wdot, any_value(ic)::BIGINT AS ic FROM sb JOIN bb USING (bit) JOIN sw USING (bit) JOIN ics USING (atom_id) GROUP BY 1, 2 HAVING sum(w) > 0),
+best AS (SELECT id, arg_max(wdot, wdot / ic) AS bw, arg_max(ic, wdot / ic) AS bi FROM scored GROUP BY 1),
+fired AS (SELECT id, atom_id FROM scored JOIN best USING (id) WHERE wdot * 10 * bi >= 9 * bw * ic),
+dec AS (SELECT DISTINCT id, bit FROM fired JOIN bb USING (atom_id))"""
+_BAND = "{0}(CASE WHEN {1} THEN w ELSE 0 END)"
+
+
+def _metric(band: str, side: str) -> str:
+    return f"round(coalesce(sum(CASE WHEN {band} AND t AND r THEN w ELSE 0 END) / nullif(sum(CASE WHEN {band} AND {side} THEN w ELSE 0 END), 0), 1.0), 9)"
+
+
+_METRICS = ", ".join(f"{_metric(cond, side)} AS {what}_{name}" for name, cond in (("left", "bit < 150"), ("current", "bit >= 150 AND bit < 300"), ("right", "bit >= 300"), ("all", "true")) for what, side in (("recall", "t"), ("precision", "r")))
+SQL |= {
+    "atom_normalize": f"WITH {_TALK} SELECT atom_id, array_to_string(bits, ',') AS bits FROM book",
+    "bit_degree": f"WITH {_TALK} SELECT bit, count(*) AS atoms FROM bb GROUP BY bit",
+    "pursuit_candidates": f"WITH {_TALK} SELECT id, atom_id, wdot, ic FROM scored",
+    "pursuit_round1": f"WITH {_TALK} SELECT id, atom_id FROM fired",
+    "union_decode": f"WITH {_TALK} SELECT id, string_agg(bit, ',' ORDER BY bit) AS bits FROM dec GROUP BY id",
+    "residual_bits": f"WITH {_TALK} SELECT id, bit FROM sb ANTI JOIN dec USING (id, bit)",
+    "recon_metrics": f"WITH {_TALK}, both_ AS (SELECT id, bit, t IS NOT NULL AS t, r IS NOT NULL AS r, coalesce(w, 0) AS w FROM (SELECT id, bit, true AS t FROM sb) FULL JOIN (SELECT id, bit, true AS r FROM dec) USING (id, bit) LEFT JOIN sw USING (bit)) SELECT id, {_METRICS} FROM both_ GROUP BY id",
+    "info_jaccard": f"WITH {_TALK}, pairs AS (SELECT x.id AS a, y.id AS b FROM s x JOIN s y ON y.id = x.id + 1), c AS (SELECT a, b, sum(w)::BIGINT AS wdot FROM pairs JOIN sb x ON x.id = a JOIN sb y ON y.id = b AND y.bit = x.bit JOIN sw ON sw.bit = x.bit GROUP BY 1, 2), i AS (SELECT id, sum(w) AS ic FROM sb JOIN sw USING (bit) GROUP BY 1) SELECT a, b, coalesce(wdot, 0) AS wdot, round(CASE WHEN wdot > 0 THEN wdot / (x.ic + y.ic - wdot) ELSE 0.0 END, 9)::DOUBLE AS jaccard FROM pairs LEFT JOIN c USING (a, b) LEFT JOIN i x ON x.id = a LEFT JOIN i y ON y.id = b",
+    "top_d_bits": f"WITH {_TALK} SELECT id, bit, rank FROM (SELECT id, bit, row_number() OVER (PARTITION BY id ORDER BY w DESC, bit) AS rank FROM sb JOIN sw USING (bit)) WHERE rank <= 8",
+    "weights_rescaled": f"WITH {_TALK} SELECT bit, round(w / max(w) OVER (), 9)::DOUBLE AS scaled FROM sw",
+    "surprisal": "SELECT DISTINCT l_discount::DOUBLE AS p, CASE WHEN l_discount > 0 THEN round(-ln(l_discount::DOUBLE), 9) ELSE 'inf'::DOUBLE END AS bits FROM lineitem",
+    "bit_cooccurrence": f"WITH {_TALK} SELECT a.bit AS i, b.bit AS j, count(*) AS n FROM sb a JOIN sb b ON a.id = b.id AND a.bit <= b.bit GROUP BY 1, 2",
+    "matmul": "WITH c AS (SELECT vec_id, unnest(range(0, len(embedding))) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE label = 0) SELECT a.vec_id AS row, b.vec_id AS col, round(sum(a.x * b.x), 5) AS x FROM c a JOIN c b USING (k) GROUP BY 1, 2",
+    "context_jaccard": f"WITH {_SIGS}, first_ AS (SELECT doc_id, value, sentence, min(idx) AS idx FROM segments WHERE type = 'W' GROUP BY 1, 2, 3), f AS (SELECT first_.*, list(bit) AS bits FROM first_ JOIN sig USING (doc_id, sentence, idx) GROUP BY ALL) SELECT x.doc_id AS item_id, x.value, x.sentence AS a, y.sentence AS b, round(len(list_intersect(x.bits, y.bits)) / (len(x.bits) + len(y.bits) - len(list_intersect(x.bits, y.bits)))::DOUBLE, 9) AS jaccard FROM f x JOIN f y ON x.doc_id = y.doc_id AND x.value = y.value AND x.sentence < y.sentence".replace("FROM documents WHERE text <> ''", "FROM (SELECT item_id AS doc_id, text FROM benchmark) WHERE text <> ''"),
+}

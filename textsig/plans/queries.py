@@ -262,6 +262,155 @@ def pursuit_encode(spark, sf_dir):
     return codebook.pursuit(bags.select(F.xxhash64("value").alias("id"), F.col("bag").alias("bits")), book, weights)
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary with parts of all movable kinds from the part table, in an arbitrary but fixed order."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lower("p_type").alias("t")).distinct()
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in (("Whole", F.col("t")), ("Start", F.substring("t", 1, 3)), ("End", F.right("t", F.lit(3))), ("Mid", F.expr("substring(t, 4, 2 + length(t) % 3)")))])
+    parts = p.select(F.explode(kinds).alias("k")).select("k.*").where("value <> ''").distinct()
+    return parts.select((F.row_number().over(Window.orderBy(F.md5(F.concat("kind", F.lit(" "), "value")))) - 1).alias("part_id"), "kind", "value")
+
+
+def _reorder(by: str):  # noqa: ANN202
+    def run(spark, sf_dir):
+        return dictionary.reordered(_mixed(spark, sf_dir), by)
+
+    run.__name__ = f"reorder_{by}"
+    return _query(run)
+
+
+for _by in ("type", "type_level", "level_type"):
+    _reorder(_by)
+
+
+@_query
+def part_candidates(spark, sf_dir):
+    """Every part that occurs in a word where its kind may stand."""
+    return dictionary.candidates(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lower("p_type").alias("word")).distinct(), _mixed(spark, sf_dir))
+
+
+@_query
+def dict_lookup(spark, sf_dir):
+    words = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lower(F.substring("p_type", 1, 3)).alias("value"), F.lit("Start").alias("kind")).unionByName(spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.lower("n_name").alias("value"), F.lit("Whole").alias("kind"))).distinct()
+    return words.join(F.broadcast(_mixed(spark, sf_dir)), ["kind", "value"], "left").select("kind", "value", F.coalesce("part_id", F.lit(-1)).alias("part_id"))
+
+
+def _word_bits(text) -> F.Column:  # noqa: ANN001
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) * 26 + F.ascii(w) - 97)))
+
+
+def _talk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures (id, bits) of conversation turns, a codebook of benchmark items, weights of the bits."""
+    s = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), _word_bits("text").alias("bits"))
+    book = codebook.normalised(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("int").alias("atom_id"), _word_bits("text").alias("bits")), 24)
+    df = s.select(F.explode("bits").alias("bit")).groupBy("bit").agg(F.count("*").alias("df"))
+    return s, book, signatures.surprisal_weights(df, s.count())
+
+
+def _long(s: DataFrame) -> DataFrame:
+    return s.select("id", F.explode("bits").alias("bit"))
+
+
+@_query
+def atom_normalize(spark, sf_dir):
+    return _talk(spark, sf_dir)[1].select("atom_id", F.array_join("bits", ",").alias("bits"))
+
+
+@_query
+def bit_degree(spark, sf_dir):
+    return codebook.bit_degree(_talk(spark, sf_dir)[1])
+
+
+@_query
+def pursuit_candidates(spark, sf_dir):
+    s, book, w = _talk(spark, sf_dir)
+    return codebook.scores(_long(s), book, w).select("id", "atom_id", "wdot", "ic")
+
+
+@_query
+def pursuit_round1(spark, sf_dir):
+    s, book, w = _talk(spark, sf_dir)
+    return codebook.first_round(_long(s), book, w)
+
+
+def _decoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    s, book, w = _talk(spark, sf_dir)
+    fired = codebook.first_round(_long(s), book, w).groupBy("id").agg(F.collect_list("atom_id").alias("atoms"))
+    return s, codebook.decoded(fired, book), w
+
+
+@_query
+def union_decode(spark, sf_dir):
+    return _decoded(spark, sf_dir)[1].select("id", F.array_join("bits", ",").alias("bits"))
+
+
+@_query
+def residual_bits(spark, sf_dir):
+    s, d, _ = _decoded(spark, sf_dir)
+    return _long(s).join(_long(d), ["id", "bit"], "left_anti")
+
+
+@_query
+def recon_metrics(spark, sf_dir):
+    s, d, w = _decoded(spark, sf_dir)
+    m = codebook.reconstruction(_long(s), _long(d), w, 150)
+    return m.select("id", *[F.round(c, 9).alias(c) for c in m.columns if c != "id"])
+
+
+@_query
+def info_jaccard(spark, sf_dir):
+    """Each turn with the next one of its conversation."""
+    s, _, w = _talk(spark, sf_dir)
+    pairs = s.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).join(s.select(F.col("id").alias("b")), "b", "left_semi")
+    out = signatures.weighted_jaccard(pairs, _long(s), w)
+    return out.select("a", "b", "wdot", F.round("jaccard", 9).alias("jaccard"))
+
+
+@_query
+def top_d_bits(spark, sf_dir):
+    s, _, w = _talk(spark, sf_dir)
+    order = Window.partitionBy("id").orderBy(F.col("w").desc(), "bit")
+    return _long(s).join(F.broadcast(w.select("bit", "w")), "bit").withColumn("rank", F.row_number().over(order)).where("rank <= 8").select("id", "bit", "rank")
+
+
+@_query
+def weights_rescaled(spark, sf_dir):
+    w = _talk(spark, sf_dir)[2]
+    return w.select("bit", F.round(F.col("w") / F.max("w").over(Window.partitionBy()), 9).alias("scaled"))
+
+
+@_query
+def surprisal(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_discount").cast("double")).alias("p")).distinct()
+    return p.select("p", F.when(F.col("p") > 0, F.round(-F.log("p"), 9)).otherwise(F.lit(float("inf"))).alias("bits"))
+
+
+@_query
+def bit_cooccurrence(spark, sf_dir):
+    bits = _long(_talk(spark, sf_dir)[0])
+    return bits.select("id", F.col("bit").alias("i")).join(bits.select("id", F.col("bit").alias("j")), "id").where("i <= j").groupBy("i", "j").agg(F.count("*").alias("n"))
+
+
+@_query
+def matmul(spark, sf_dir):
+    """The embeddings of label 0 times the transpose of the first label's: cosine-like products by row and row."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("label = 0")
+    a = matrices.cells(e, "vec_id", "embedding")
+    b = a.select(F.col("col").alias("row"), F.col("row").alias("col"), "x")
+    return matrices.matmul(a, b).select("row", "col", F.round("x", 5).alias("x"))
+
+
+@_query
+def context_jaccard(spark, sf_dir):
+    """Signatures of a word that occurs in several sentences of an item, pair by pair."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    words = tok.tokens(items, key="item_id").where("type = 'W'").select("item_id", "sentence", "idx", "value")
+    bags = words.join(dictionary.decomposed(words.select("value").distinct(), _atoms(spark)).select("value", "bag"), "value")
+    s = signatures.encoded(bags, SIZE, ["item_id", "sentence"]).join(words, ["item_id", "sentence", "idx"]).select("item_id", "sentence", "idx", "value", F.concat("before", "current", "after").alias("bits"))
+    s = s.groupBy("item_id", "value", "sentence").agg(F.min_by("bits", "idx").alias("bits"))
+    a, b = (s.select("item_id", "value", F.col("sentence").alias(f"{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    return a.join(b, ["item_id", "value"]).where("a < b").select("item_id", "value", "a", "b", F.round(signatures.jaccard(F.col("bits_a"), F.col("bits_b")), 9).alias("jaccard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_found)
 
