@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tok
-from ..operators import codebook, dictionary, matrices, signatures, thresholds
+from ..operators import codebook, dictionary, learner, matrices, signatures, thresholds
 from .oracles import SQL
 
 SIZE = len(dictionary.atoms())
@@ -411,6 +411,15 @@ def context_jaccard(spark, sf_dir):
     return a.join(b, ["item_id", "value"]).where("a < b").select("item_id", "value", "a", "b", F.round(signatures.jaccard(F.col("bits_a"), F.col("bits_b")), 9).alias("jaccard"))
 
 
+@_query
+def train_codebook(spark, sf_dir):
+    """A codebook learnt from conversation turns."""
+    s, _, w = _talk(spark, sf_dir)
+    order = s.select("id", F.col("id").alias("seq"), "bits")
+    ranked = order.withColumn("seq", (F.row_number().over(Window.partitionBy((F.col("id") / 4096000).cast("long")).orderBy("id")) - 1 + (F.col("id") / 4096000).cast("long") * 4096))
+    return learner.learn(ranked, w, learner.Settings(atoms=32, width=24))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_found)
 
