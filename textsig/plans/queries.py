@@ -415,9 +415,8 @@ def context_jaccard(spark, sf_dir):
 def train_codebook(spark, sf_dir):
     """A codebook learnt from conversation turns."""
     s, _, w = _talk(spark, sf_dir)
-    order = s.select("id", F.col("id").alias("seq"), "bits")
-    ranked = order.withColumn("seq", (F.row_number().over(Window.partitionBy((F.col("id") / 4096000).cast("long")).orderBy("id")) - 1 + (F.col("id") / 4096000).cast("long") * 4096))
-    return learner.learn(ranked, w, learner.Settings(atoms=32, width=24))
+    ordered = s.select("id", F.floor(F.col("id") / 1000).alias("seq"), "bits")  # by conversation
+    return learner.learn(ordered, w, learner.Settings(atoms=32, width=24))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
