@@ -78,8 +78,8 @@ def cut_off_sql(source: str, keys: list[str], name: str = "cut") -> str:
 {name}_i AS (SELECT {", ".join(["m." + x for x in keys] + ["min(r.i) FILTER (r.d = m.d) AS di", "min(r.i) FILTER (r.g = m.g) AS gi"])} FROM {name}_d r JOIN {name}_m m {"USING (" + ", ".join(keys) + ")" if keys else "ON true"} {"GROUP BY " + ", ".join("m." + x for x in keys) if keys else ""}),
 {name}_c AS (SELECT {k} n::BIGINT AS n, CASE WHEN l = 0 THEN 0 WHEN round(exp(ln(s) + h / s), 9) <= 1 THEN 1 ELSE least(ceil(round(exp(ln(s) + h / s), 9)), l) END::BIGINT AS entropy,
   CASE WHEN n < 2 THEN n ELSE greatest(least(CASE WHEN g IS NULL OR g < 1.5 THEN n ELSE gi END, n, over_ + 1), 1) END::BIGINT AS gap_ratio,
-  CASE WHEN n < 3 OR y0 - yn <= 1e-12 OR d IS NULL OR d < 0.01 * median THEN n ELSE di END::BIGINT AS elbow,
-  CASE WHEN total <= 0 THEN n ELSE least(ceil(2.2 * coalesce(mm, n)), n) END::BIGINT AS scaled_mm FROM {name}_m {"JOIN " + name + "_i USING (" + ", ".join(keys) + ")" if keys else "CROSS JOIN " + name + "_i"}),
+  CASE WHEN n < 3 OR y0 - yn <= 1e-12 OR d IS NULL OR d < 0.01::DOUBLE * median THEN n ELSE di END::BIGINT AS elbow,
+  CASE WHEN total <= 0 THEN n ELSE least(ceil(2.2::DOUBLE * coalesce(mm, n)), n) END::BIGINT AS scaled_mm FROM {name}_m {"JOIN " + name + "_i USING (" + ", ".join(keys) + ")" if keys else "CROSS JOIN " + name + "_i"}),
 {name}_a AS (SELECT *, CASE WHEN elbow < n THEN elbow ELSE scaled_mm END AS adaptive FROM {name}_c),
 {name} AS (SELECT {"".join(f"{name}_a.{x}, " for x in keys)} {name}_a.* EXCLUDE ({", ".join(keys)}) , coalesce((SELECT max(v) FROM {name}_r r WHERE r.i = {name}_a.adaptive {"".join(f"AND r.{x} = {name}_a.{x} " for x in keys)}), 0.0) AS adaptive_threshold FROM {name}_a)""".replace(" EXCLUDE ()", "")
 
