@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .shared import written
+from .shared import released, written
 
 N, THRESHOLD = 2, 0.7
 BANDS, SKETCH = 24, 1 << 16
@@ -47,6 +47,8 @@ BANDS, SKETCH = 24, 1 << 16
 ENTRIES, TILE, GROUP_BYTES, BROADCAST_ROWS = 5_000_000, 1024, 12_000_000, 4_000_000
 #: Sets of an index entry up to which its pairs are compared one by one.
 FEW = 128
+#: Turns in which a part of the index is worked off, for the sake of memory.
+SLICES = 4
 U = np.uint64
 
 
@@ -104,8 +106,8 @@ def _close(a: np.ndarray, b: np.ndarray, size: np.ndarray, marks: np.ndarray, en
     share = (1 - threshold) / (1 + threshold)
     for w in np.unique(least[out]):
         mine = np.flatnonzero(out & (least == w) & (most <= 2 * w))
-        for i in range(0, len(mine), max(1, (1 << 20) // int(w))):
-            k = mine[i : i + max(1, (1 << 20) // int(w))]
+        for i in range(0, len(mine), max(1, (1 << 18) // int(w))):
+            k = mine[i : i + max(1, (1 << 18) // int(w))]
             apart = np.zeros(len(k), np.int64)
             both = []
             for side in (a[k], b[k]):
@@ -198,7 +200,7 @@ def _shift(size: np.ndarray) -> np.ndarray:
 
 
 def _entries(row: np.ndarray, h: np.ndarray, size: np.ndarray, up: int, cost: np.ndarray, ms: np.ndarray, ks: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, 46-bit index entry, place) in each row's own scheme, or (up = 1) in that of the next band, for rows with partners there.
+    """(row, 40-bit index entry, place) in each row's own scheme, or (up = 1) in that of the next band, for rows with partners there.
     place: how many of the row's entries before it are segments of one n-gram, shortened."""
     scheme = np.minimum(_band(size) + up, BANDS - 1)
     part = np.floor(size / threshold + 1e-9)
@@ -216,7 +218,7 @@ def _entries(row: np.ndarray, h: np.ndarray, size: np.ndarray, up: int, cost: np
     total, r, g = np.add.reduceat(mixed, first), row[first], segment[first]
     salt = (g + (scheme[r].astype(np.uint64) << U(40))) * U(0xD1342543DE82EF95)
     rare = np.minimum.reduceat(cost[(h & U(SKETCH - 1)).astype(np.int64)], first)
-    entry = (vec.mix(total + salt) >> U(19) << U(1)) | single
+    entry = (vec.mix(total + salt) >> U(25) << U(1)) | single
     near = g.astype(np.int64) < k[r]
     key = np.sort((r[~near].astype(np.uint64) << U(52)) | (rare[~near] << U(46)) | entry[~near])
     kr = (key >> U(52)).astype(np.int64)
@@ -232,7 +234,7 @@ def _entries(row: np.ndarray, h: np.ndarray, size: np.ndarray, up: int, cost: np
         seg = np.cumsum(np.concatenate([[False], (row[1:] != row[:-1]) | (segment[1:] != segment[:-1])]))
         gone = np.flatnonzero(near[seg])
         rows.append(row[gone])
-        out.append(vec.mix(total[seg[gone]] - mixed[gone] + salt[seg[gone]]) >> U(19) << U(1))
+        out.append(vec.mix(total[seg[gone]] - mixed[gone] + salt[seg[gone]]) >> U(25) << U(1))
         # what one deletion leaves of a segment is held against whole segments of any size
         rows.append(r[near])
         out.append(entry[near] & ~U(1))
@@ -243,7 +245,7 @@ def _entries(row: np.ndarray, h: np.ndarray, size: np.ndarray, up: int, cost: np
         full = np.isin((er << 32) + eg, (r[near] << 32) + g[near].astype(np.int64))
         er, eg = er[~full], eg[~full].astype(np.uint64)
         rows.append(er)
-        out.append(vec.mix((eg + (scheme[er].astype(np.uint64) << U(40))) * U(0xD1342543DE82EF95)) >> U(19) << U(1))
+        out.append(vec.mix((eg + (scheme[er].astype(np.uint64) << U(40))) * U(0xD1342543DE82EF95)) >> U(25) << U(1))
         places.append(np.zeros(sum(map(len, rows[1:])), np.uint8))
     return np.concatenate(rows), np.concatenate(out), np.concatenate(places)
 
@@ -268,52 +270,50 @@ def _edges(docs: DataFrame, n: int, threshold: float, cost: np.ndarray, ms: np.n
                 for p in np.flatnonzero(np.diff(at)):
                     who, e = key[at[p] : at[p + 1]] & 4095, entry[to[p] : to[p + 1]]
                     sketch = np.concatenate([marks[ends[r] : ends[r + 1]] for r in who])
-                    for name, x in (("part", int(p)), ("fps", fp[who].tobytes()), ("sizes", size[who].astype(np.uint32).tobytes()), ("marks", sketch.tobytes()), ("counts", count[at[p] : at[p + 1]].astype(np.uint32).tobytes()), ("low", e.astype(np.uint32).tobytes()), ("high", (e >> U(32)).astype(np.uint16).tobytes()), ("places", place[to[p] : to[p + 1]].tobytes())):
+                    for name, x in (("part", int(p)), ("fps", fp[who].tobytes()), ("sizes", size[who].astype(np.uint32).tobytes()), ("marks", sketch.tobytes()), ("counts", count[at[p] : at[p + 1]].astype(np.uint32).tobytes()), ("low", e.astype(np.uint32).tobytes()), ("high", (e >> U(32)).astype(np.uint8).tobytes()), ("places", place[to[p] : to[p + 1]].tobytes())):
                         out[name].append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int32()), *(pa.array(out[x], pa.binary()) for x in list(out)[1:])], names=list(out))
 
     def meet(table: pa.Table) -> pa.Table:
         read = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)])
-        entry = read("low", np.uint32).astype(np.uint64) | (read("high", np.uint16).astype(np.uint64) << U(32))
-        fp, size, count, marks = read("fps", np.int64), read("sizes", np.uint32).astype(np.int64), read("counts", np.uint32), read("marks", np.uint64)
+        fp, size, marks = read("fps", np.int64), read("sizes", np.uint32).astype(np.int64), read("marks", np.uint64)
         ends = np.concatenate([[0], np.cumsum(_words(size))])
         names, where, back = np.unique(fp, return_index=True, return_inverse=True)  # in order of fp
-        size, ends = size[where], ends[where]
-        who = np.repeat(back.astype(np.int32), count)
-        share = (1 - threshold) / (1 + threshold)
-        slack = (share * size[who] - (read("places", np.uint8).astype(np.int64) << _shift(size)[who])).astype(np.float32)
-        order = np.argsort(entry)
-        entry, who, slack = entry[order], who[order], slack[order]
-        del order
-        for _ in range(2):  # members that no other can make up for drop out
+        size, ends, total = size[where], ends[where], len(names)
+        every = [read("low", np.uint32), read("high", np.uint8), np.repeat(back.astype(np.int32), read("counts", np.uint32)), read("places", np.uint8)]
+        share, found = (1 - threshold) / (1 + threshold), []
+        for q in range(SLICES):  # a share of the entries at a time
+            low, high, who, place = (x[(every[0] >> np.uint32(16)) % SLICES == q] for x in every)
+            entry = low.astype(np.uint64) | (high.astype(np.uint64) << U(32))
+            slack = (share * size[who] - (place.astype(np.int64) << _shift(size)[who])).astype(np.float32)
+            order = np.argsort(entry)
+            entry, who, slack = entry[order], who[order], slack[order]
+            for _ in range(2):  # members that no other can make up for drop out
+                first = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])) if len(entry) else np.zeros(0, np.int64)
+                n = np.diff(np.append(first, len(entry)))
+                best = np.repeat(np.maximum.reduceat(slack, first), n) if len(first) else slack
+                left = (np.repeat(n, n) > 1) & (slack + best >= -0.5)
+                entry, who, slack = entry[left], who[left], slack[left]
             first = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])) if len(entry) else np.zeros(0, np.int64)
             n = np.diff(np.append(first, len(entry)))
-            best = np.repeat(np.maximum.reduceat(slack, first), n) if len(first) else slack
-            left = (np.repeat(n, n) > 1) & (slack + best >= -0.5)
-            entry, who, slack = entry[left], who[left], slack[left]
-        first = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])) if len(entry) else np.zeros(0, np.int64)
-        n = np.diff(np.append(first, len(entry)))
-        del entry
-        stars, total = [], len(names)
-        for i in np.flatnonzero(n > FEW):
-            some = np.unique(who[first[i] : first[i] + n[i]]).astype(np.int64)
-            stars.append(some[0] * total + some[1:])
-        found = [np.unique(np.concatenate(stars))] if stars else []
-        for k in range(2, FEW + 1):
-            i, j = np.triu_indices(k, 1)
-            rows = first[n == k]
-            step = max(1, 1_000_000 // len(i))
-            for at in range(0, len(rows), step):
-                x = rows[at : at + step, None] + np.arange(k)
-                s, x = slack[x], who[x].astype(np.int64)
-                a, b = x[:, i].ravel(), x[:, j].ravel()
-                low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-                near = (low >= threshold * high - 1e-9) & (a != b) & ((s[:, i] + s[:, j]).ravel() >= -0.5)
-                a, b = a[near], b[near]
-                pairs = np.unique(np.minimum(a, b) * total + np.maximum(a, b))
-                a, b = pairs // total, pairs % total
-                found.append(pairs[_close(a, b, size, marks, ends, threshold)])
-        key = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            for i in np.flatnonzero(n > FEW):
+                some = np.unique(who[first[i] : first[i] + n[i]]).astype(np.int64)
+                found.append(some[0] * total + some[1:])
+            for k in range(2, FEW + 1):
+                i, j = np.triu_indices(k, 1)
+                rows, step = first[n == k], max(1, 300_000 // len(i))
+                for at in range(0, len(rows), step):
+                    x = rows[at : at + step, None] + np.arange(k)
+                    s, x = slack[x], who[x].astype(np.int64)
+                    a, b = x[:, i].ravel(), x[:, j].ravel()
+                    low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+                    near = (low >= threshold * high - 1e-9) & (a != b) & ((s[:, i] + s[:, j]).ravel() >= -0.5)
+                    a, b = a[near], b[near]
+                    pairs = np.unique(np.minimum(a, b) * total + np.maximum(a, b))
+                    a, b = pairs // total, pairs % total
+                    found.append(pairs[_close(a, b, size, marks, ends, threshold)])
+            found = [np.unique(np.concatenate(found))] if found else []
+        key = found[0] if found else np.zeros(0, np.int64)
         return pa.table({"a": names[key // max(total, 1)], "b": names[key % max(total, 1)]})
 
     packed = numbered(docs).select("text").mapInArrow(index, "part int, fps binary, sizes binary, marks binary, counts binary, low binary, high binary, places binary")
@@ -356,7 +356,7 @@ def similar_sets(docs: DataFrame, found: DataFrame, n: int, threshold: float, se
         counts[r.k] = r.n
     ms, ks = allocate(counts, threshold, segments, deletions)
     cost = np.minimum(63, 2 * np.log2(np.maximum(counts, 1))).astype(np.uint64)
-    edges = written(_edges(docs, n, threshold, cost, ms, ks, 1 + int(0.5 * counts.sum() / entries)), "near-edges")
+    edges = released(_edges(docs, n, threshold, cost, ms, ks, 1 + int(0.5 * counts.sum() / entries)), "near-edges")
     label = edges.groupBy(F.col("b").alias("x")).agg(F.min("a").alias("l"))
     blocks = edges.join(label.withColumnRenamed("x", "a"), "a", "left").select(F.coalesce("l", "a").alias("block"), F.explode(F.array("a", "b")).alias("fp")).distinct()
     blocks = written(blocks, "near-blocks")
