@@ -1,6 +1,6 @@
 """Data-derived cut-offs of lists of numbers in descending order, one list for each group.
 
-All are window functions over one sort of each group: how many of a group's largest values to keep, by entropy, by the steepest ratio
+All are window functions over the distinct values of each group: how many of a group's largest values to keep, by entropy, by the steepest ratio
 of neighbours, by the elbow under the chord, by scaled median mass, and adaptively (the elbow, or else scaled median mass).
 """
 
@@ -12,26 +12,34 @@ from pyspark.sql import functions as F
 SIGNIFICANCE, FACTOR, MIN_GAP, EPSILON = 0.01, 2.2, 1.5, 1e-10
 
 
+def _runs(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, v, m (rows with that value), i, to (places from, up to), earlier (value), mass (sum before), n, y0, yn, total: a row for each distinct
+    value, so that a group's window holds its distinct values and not its rows."""
+    order, whole = Window.partitionBy(*keys).orderBy(F.col("v").desc()), Window.partitionBy(*keys)
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    r = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v")).groupBy(*keys, "v").agg(F.count("*").alias("m"))
+    r = r.withColumn("to", F.sum("m").over(running)).withColumn("mass", F.sum(F.col("v") * F.col("m")).over(running) - F.col("v") * F.col("m"))
+    return r.select(*keys, "v", "m", (F.col("to") - F.col("m")).alias("i"), "to", F.lag("v").over(order).alias("earlier"), "mass", F.sum("m").over(whole).alias("n"), F.max("v").over(whole).alias("y0"), F.min("v").over(whole).alias("yn"), F.sum(F.col("v") * F.col("m")).over(whole).alias("total"))
+
+
 def cut_offs(df: DataFrame, keys: list[str], value: str, significance: float = SIGNIFICANCE, factor: float = FACTOR, min_gap: float = MIN_GAP, eps: float = EPSILON) -> DataFrame:
     """keys, n, entropy, gap_ratio, elbow, scaled_mm, adaptive (numbers of values kept) and adaptive_threshold (the first value not kept, or 0)."""
-    order = Window.partitionBy(*keys).orderBy(F.col("v").desc())
-    whole = Window.partitionBy(*keys)
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    r = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
-    r = r.select(*keys, "v", (F.row_number().over(order) - 1).alias("i"), F.lag("v").over(order).alias("earlier"), F.sum("v").over(running).alias("mass"), F.count("*").over(whole).alias("n"), F.max("v").over(whole).alias("y0"), F.min("v").over(whole).alias("yn"), F.sum("v").over(whole).alias("total"))
-    t = F.col("i") / F.greatest(F.col("n") - 1, F.lit(1))
-    chord = F.col("y0") + t * (F.col("yn") - F.col("y0")) - F.col("v")
-    chord = F.when((F.col("i") > 0) & (F.col("i") < F.col("n") - 1) & (chord > 0), chord)
+    r = _runs(df, keys, value)
+    interior = F.greatest("i", F.lit(1))  # within a run of equal values the chord is highest at the first place
+    chord = F.col("y0") + (interior / F.greatest(F.col("n") - 1, F.lit(1))) * (F.col("yn") - F.col("y0")) - F.col("v")
+    chord = F.when((interior < F.least("to", F.col("n") - 1)) & (chord > 0), chord)
     gap = F.when((F.col("i") > 0) & (F.col("earlier") > eps), F.when(F.col("v") <= 0, F.lit(float("inf"))).otherwise(F.try_divide("earlier", "v")))
-    middle = (F.col("i") == F.floor((F.col("n") - 1) / 2)) | (F.col("i") == F.floor(F.col("n") / 2))
+    half = F.col("total") * 0.5 - F.col("mass")
+    mm = F.when(half <= F.col("v") * F.col("m"), F.col("i") + F.greatest(F.ceil(F.try_divide(half, "v")), F.lit(1)))
+    holds = lambda place: (F.col("i") <= F.floor(place)) & (F.floor(place) < F.col("to"))
     positive = F.when(F.col("v") > 0, F.col("v"))
     a = r.groupBy(*keys).agg(
         F.max("n").alias("n"), F.max("y0").alias("y0"), F.max("yn").alias("yn"), F.max("total").alias("total"),
-        F.avg(F.when(middle, F.col("v"))).alias("median"),
-        F.max(F.when(chord.isNotNull(), F.struct(chord.alias("d"), (-F.col("i")).alias("i")))).alias("elbow"),
-        F.min(F.when(F.col("mass") >= F.col("total") * 0.5, F.col("i") + 1)).alias("mm"),
+        (0.5 * (F.max(F.when(holds((F.col("n") - 1) / 2), F.col("v"))) + F.max(F.when(holds(F.col("n") / 2), F.col("v"))))).alias("median"),
+        F.max(F.when(chord.isNotNull(), F.struct(chord.alias("d"), (-interior).alias("i")))).alias("elbow"),
+        F.min(mm).alias("mm"),
         F.max(F.when(gap.isNotNull(), F.struct(gap.alias("g"), (-F.col("i")).alias("i")))).alias("gap"),
-        F.count_if(F.col("v") > eps).alias("over"), F.count_if(F.col("v") > 0).alias("l"), F.sum(positive).alias("s"), F.sum(-positive * F.log(positive)).alias("h"),
+        F.sum(F.when(F.col("v") > eps, F.col("m")).otherwise(0)).alias("over"), F.sum(F.when(F.col("v") > 0, F.col("m")).otherwise(0)).alias("l"), F.sum(positive * F.col("m")).alias("s"), F.sum(-positive * F.log(positive) * F.col("m")).alias("h"),
     )
     n = F.col("n")
     elbow = F.when((n < 3) | (F.col("y0") - F.col("yn") <= 1e-12) | F.col("elbow").isNull() | (F.col("elbow.d") < significance * F.col("median")), n).otherwise(-F.col("elbow.i"))
@@ -42,17 +50,19 @@ def cut_offs(df: DataFrame, keys: list[str], value: str, significance: float = S
     entropy = F.when(F.col("l") == 0, 0).when(spread <= 1, 1).otherwise(F.least(F.ceil(spread), F.col("l")))
     a = a.select(*keys, *[c.cast("long").alias(name) for name, c in (("n", n), ("entropy", entropy), ("gap_ratio", gaps), ("elbow", elbow), ("scaled_mm", scaled))])
     a = a.withColumn("adaptive", F.when(F.col("elbow") < F.col("n"), F.col("elbow")).otherwise(F.col("scaled_mm")))
+    cut = (F.col("i") <= F.col("adaptive")) & (F.col("adaptive") < F.col("to"))
     if keys:
-        there = r.join(a.select(*keys, "adaptive"), keys).where("i = adaptive").select(*keys, F.col("v").alias("adaptive_threshold"))
+        there = r.join(F.broadcast(a.select(*keys, "adaptive")), keys).where(cut).select(*keys, F.col("v").alias("adaptive_threshold"))  # a row for each group
         return a.join(there, keys, "left").na.fill(0.0, ["adaptive_threshold"])
-    there = r.join(a.select("adaptive"), F.col("i") == F.col("adaptive")).agg(F.max("v").alias("adaptive_threshold"))
+    there = r.crossJoin(F.broadcast(a.select("adaptive"))).where(cut).agg(F.max("v").alias("adaptive_threshold"))
     return a.crossJoin(there).na.fill(0.0, ["adaptive_threshold"])
 
 
 def kept(df: DataFrame, keys: list[str], value: str, tie: str, **parameters) -> DataFrame:
     """The rows that the adaptive cut-off keeps, with their rank from 1; ties of the value in order of `tie`."""
+    cut = F.broadcast(cut_offs(df, keys, value, **parameters).select(*keys, F.col("n").alias("n_cut"), "adaptive", "adaptive_threshold"))  # a row for each group
+    joined = df.join(cut, keys) if keys else df.crossJoin(cut)
     order = Window.partitionBy(*keys).orderBy(F.col(value).desc(), F.col(tie))
-    ranked = df.withColumn("rank", F.row_number().over(order))
-    cut = cut_offs(df, keys, value, **parameters).select(*keys, "adaptive")
-    joined = ranked.join(F.broadcast(cut), keys) if keys else ranked.crossJoin(F.broadcast(cut))  # a row for each group
-    return joined.where("rank <= adaptive").drop("adaptive")
+    # only what may stay is ranked: all above the first value not kept, and its equals
+    some = joined.where((F.col("adaptive") >= F.col("n_cut")) | (F.col(value) >= F.col("adaptive_threshold")))
+    return some.withColumn("rank", F.row_number().over(order)).where("rank <= adaptive").drop("n_cut", "adaptive", "adaptive_threshold")
