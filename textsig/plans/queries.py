@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import tokens as tok
 from ..operators import codebook, dictionary, learner, matrices, signatures, thresholds
 from .oracles import SQL
+from .tables import ranked
 
 SIZE = len(dictionary.atoms())
 _found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,7 +120,7 @@ def whole_atoms(spark, sf_dir):
 
 @_query
 def vocab_ranked(spark, sf_dir):
-    return _freq(spark, sf_dir).withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), "value")))
+    return ranked(_freq(spark, sf_dir), F.col("n").desc(), "value")
 
 
 @_query

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -19,3 +20,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{(shared or _own[0]).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ranked(df: DataFrame, *order: Column | str) -> DataFrame:
+    """df with rank from 1 in a total order: a range-partitioned sort, and the number of rows in the partitions before each."""
+    places = F.monotonically_increasing_id()
+    out = written(df.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("rank", F.pmod(places, F.lit(1 << 33)) + 1), "ranked")
+    sizes = out.groupBy("__part").agg(F.count("*").alias("n"))
+    before = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    joined = out.join(F.broadcast(before), "__part")  # a row for each partition
+    return joined.withColumn("rank", F.col("rank") + F.col("__before")).drop("__part", "__before")
