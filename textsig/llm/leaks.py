@@ -133,12 +133,12 @@ class Matcher:
 
 
 def bundles(items: DataFrame, size: int) -> Iterator[list[tuple[int | None, str]]]:
-    """The distinct items' ids and normal texts, in lists of bounded size; one empty list if there are none."""
+    """The distinct items' ids and normal texts, in lists of bounded size but for the texts of one id; one empty list if there are none."""
     out, chars, some = [], 0, False
     rows = items.selectExpr("cast(item_id as bigint) item_id", "text").where("text is not null").distinct().orderBy("item_id", "text")
     for r in rows.toLocalIterator():
         s = next(normal(pa.array([r.text])))
-        if out and chars + len(s) > size:
+        if out and chars + len(s) > size and out[-1][0] != r.item_id:  # the texts of one id stay together
             yield out
             out, chars, some = [], 0, True
         out.append((r.item_id, s))
