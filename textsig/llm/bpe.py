@@ -4,8 +4,8 @@ The merges are compiled into a transducer over bytes. While it reads a pre-token
 vocabulary entry may still begin that reaches past the place read so far, each with the last token of the encoding of all
 before it. That token is the one entry that ends there and is compatible with what precedes it (two tokens are if merging
 their bytes gives the two again), so a step needs only the boundaries that are alive. What all of them share is certain and is
-emitted; the wait is bounded by the longest entry. Sets of live boundaries are named as states when they first occur, and
-transitions are tables from then on: the automaton is determinised lazily. Each distinct pre-token of a task runs through it
+emitted; the wait is bounded by the longest entry. Sets of live boundaries are named as states when they first occur, up to
+STATES of them, and transitions are tables from then on: the automaton is determinised lazily. Each distinct pre-token of a task runs through it
 once.
 
 Decoding joins the tokens' bytes and turns them to text piece by piece; `Utf8` holds back an unfinished character until
@@ -31,7 +31,7 @@ from . import vec
 
 #: The rank file of a public tokenizer: base64 of the bytes and the rank, a line for each entry.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-STATES, REMEMBERED = 300_000, 1_000_000
+STATES, REMEMBERED = 60_000, 600_000
 _LETTER, _NUMBER, _SPACE = 1, 2, 3
 _classes: list[np.ndarray] = []
 
@@ -156,7 +156,7 @@ class Transducer:
                     a, due = left, a
                 else:
                     b, due = right, b + 1
-            if len(self._compatible) > 4 * STATES:
+            if len(self._compatible) > 3 * STATES:
                 self._compatible.clear()
             self._compatible[key] = known
         return known
@@ -169,82 +169,95 @@ class Transducer:
         self.ends: list[tuple[int, ...] | None] = [None]
 
     def _step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
-        child, token, moved, new = self.child, self.token, [], None
+        child, token, known, moved, new, alive = self.child, self.token, self._compatible, [], None, 0
         for i, (parent, last, node) in enumerate(state):
-            node = child[node].get(byte, -1) if node >= 0 else -1
+            if node >= 0:
+                node = child[node].get(byte, -1)
+                if node >= 0:
+                    alive += 1
+                    if new is None and (t := token[node]) >= 0 and (last < 0 or (known[last, t] if (last, t) in known else self.compatible(last, t))):
+                        new = (i, t, 0)
             moved.append((parent, last, node))
-            if new is None and node >= 0 and token[node] >= 0 and (last < 0 or self.compatible(last, token[node])):
-                new = (i, token[node], 0)
         if new is None:
             raise ValueError(f"the vocabulary has no entry for byte {byte}")
         moved.append(new)
-        needed = [False] * len(moved)
-        for i in range(len(moved) - 1, -1, -1):
-            if moved[i][2] >= 0:
-                needed[i] = True
-            if needed[i] and moved[i][0] >= 0:
-                needed[moved[i][0]] = True
+        if not alive:  # all is certain but what follows the new boundary
+            return ((-1, new[1], 0),), self._path(moved)
+        n = len(moved)
+        needed = [node >= 0 for _, _, node in moved]
+        children = [0] * n
+        for i in range(n - 1, 0, -1):
+            if needed[i]:
+                parent = moved[i][0]
+                needed[parent] = True
+                children[parent] += 1
         # a path shared by all that is alive is certain
-        root, out = next(i for i in range(len(moved)) if moved[i][0] < 0), []
-        while moved[root][2] < 0:
-            onward = [i for i in range(root + 1, len(moved)) if needed[i] and moved[i][0] == root]
-            if len(onward) != 1:
-                break
+        root, out = 0, ()
+        while moved[root][2] < 0 and children[root] == 1:
             needed[root] = False
-            root = onward[0]
-            out.append(moved[root][1])
-        at = {root: 0}
+            root = next(i for i in range(root + 1, n) if needed[i] and moved[i][0] == root)
+            out += (moved[root][1],)
+        at = [0] * n
         kept = [(-1, moved[root][1], moved[root][2])]
-        for i in range(root + 1, len(moved)):
-            if needed[i] and moved[i][0] in at:
+        for i in range(root + 1, n):
+            if needed[i]:
+                parent, last, node = moved[i]
                 at[i] = len(kept)
-                kept.append((at[moved[i][0]], moved[i][1], moved[i][2]))
-        return tuple(kept), tuple(out)
+                kept.append((at[parent], last, node))
+        return tuple(kept), out
 
-    def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    @staticmethod
+    def _path(bounds) -> tuple[int, ...]:  # noqa: ANN001
+        """The tokens up to the last boundary."""
+        out, i = [], len(bounds) - 1
+        while bounds[i][0] >= 0:
+            out.append(bounds[i][1])
+            i = bounds[i][0]
+        return tuple(reversed(out))
+
+    def _name(self, state: tuple) -> int:
+        """The state's name; -1 if it has none and there is room for no more."""
+        name = self.names.get(state, -1)
+        if name < 0 and len(self.states) < STATES:
+            name = self.names[state] = len(self.states)
+            self.states.append(state)
+            self.moves.append({})
+            self.ends.append(None)
+        return name
+
+    def move(self, state: int, byte: int) -> tuple[int | tuple, tuple[int, ...]]:
+        """(next state, by name if it has one, and what is emitted)"""
         got = self.moves[state].get(byte)
         if got is None:
             following, out = self._step(self.states[state], byte)
-            name = self.names.get(following)
-            if name is None:
-                name = self.names[following] = len(self.states)
-                self.states.append(following)
-                self.moves.append({})
-                self.ends.append(None)
-            got = self.moves[state][byte] = (name, out)
+            name = self._name(following)
+            got = (name, out) if name >= 0 else (following, out)
+            if name >= 0:
+                self.moves[state][byte] = got
         return got
 
-    def end(self, state: int) -> tuple[int, ...]:
+    def end(self, state: int | tuple) -> tuple[int, ...]:
         """What is still to be emitted when the input ends here."""
+        if isinstance(state, tuple):
+            return self._path(state)
         if self.ends[state] is None:
-            bounds, out = self.states[state], []
-            i = len(bounds) - 1
-            while bounds[i][0] >= 0:
-                out.append(bounds[i][1])
-                i = bounds[i][0]
-            self.ends[state] = tuple(reversed(out))
+            self.ends[state] = self._path(self.states[state])
         return self.ends[state]
 
     def encode(self, piece: bytes) -> list[int]:
-        """The tokens of one pre-token."""
+        """The tokens of one pre-token. States come by name as far as there are names, and are made on the way beyond."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > STATES:
-            self._reset()
-        out, state = [], 0
+        out, state, moves = [], 0, self.moves
         for byte in piece:
-            state, some = self.moves[state].get(byte) or self.move(state, byte)
+            if type(state) is int:
+                state, some = moves[state].get(byte) or self.move(state, byte)
+            else:
+                state, some = self._step(state, byte)
+                state = self.names.get(state, state)
             if some:
                 out.extend(some)
-            if len(self.states) > 4 * STATES:  # one very long pre-token: go on from this state with empty tables
-                here = self.states[state]
-                self._reset()
-                state = self.names.setdefault(here, len(self.states))
-                if state == len(self.states):
-                    self.states.append(here)
-                    self.moves.append({})
-                    self.ends.append(None)
         out.extend(self.end(state))
         return out
 
