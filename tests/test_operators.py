@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textsig.operators import codebook, dictionary, matrices, signatures, thresholds
+from textsig.operators import codebook, dictionary, learner, matrices, signatures, thresholds
 
 N = 2048
 
@@ -113,3 +113,19 @@ def test_reordering_keeps_all_parts(spark, by):
     got = dictionary.reordered(parts, by).orderBy("part_id").collect()
     assert sorted(r.old_id for r in got) == list(range(181)) and [r.kind for r in got[:1]] == ["Whole"]
     assert [r.value for r in got[-6:]] == {"type": ["un", "run", "ing", "ing", "ed", "port"], "type_level": ["run", "ing", "un", "ing", "ed", "port"], "level_type": ["port", "run", "ing", "ing", "un", "ed"]}[by]
+
+
+def test_learner_takes_every_signature(spark, monkeypatch):
+    """Beyond 64 ranges of seq, below 0 and without a seq; each once, from the lowest range."""
+    rows = [(k, seq, [k % 5, 5 + k % 3]) for k, seq in enumerate([None, None, -1, -4097, 0, 4095, 4096, 64 * 4096, 10**9, 10**9 + 4096])]
+    seen, pursuit = [], codebook.pursuit
+
+    def spy(some, *rest):
+        seen.append(sorted(r.id for r in some.select("id").collect()))
+        return pursuit(some, *rest)
+
+    monkeypatch.setattr(codebook, "pursuit", spy)
+    weights = spark.createDataFrame([(b, 1 + b % 3) for b in range(8)], "bit int, w int")
+    book = learner.learn(spark.createDataFrame(rows, "id long, seq long, bits array<int>"), weights, learner.Settings(atoms=3, width=2))
+    assert book.count() == 3
+    assert seen == [[0, 1], [3], [2], [4, 5], [6], [7], [8], [9]]
