@@ -61,6 +61,30 @@ def test_license_scan(spark):
     assert licenses.scan(docs.limit(0)).count() == 0 and licenses.scan(docs, {}).count() == 0 and licenses.scan(docs, {"x": "..."}).count() == 0
 
 
+def test_license_scan_finds_adjacent_notices(spark):
+    rng = random.Random(21)
+    the, notice, mit = "the " * 12, "Released under the MIT License. ", licenses.TEMPLATES["mit"]
+    texts = [the + notice * 2 + the, f"{mit}\nCopyright (c) 2020 the authors of the software\n{mit}", the + notice.replace("Released", "Distributed") * 3 + the]
+    texts.append(prose(rng, 400) + " the license " + f"{mit} and the {mit} ".replace("charge", "cost") + "of the software and the license " * 9 + prose(rng, 400))
+    docs = table(spark, list(enumerate(texts)))
+    got = {(r.doc_id, r.license): r.coverage for r in licenses.scan(docs).collect()}
+    assert got[0, "mit-notice"] == 1 and got[1, "mit"] == 1 and got[2, "mit-notice"] == 0.8 and got[3, "mit"] == round(1 - 1 / len(licenses.words(mit)), 6)
+
+
+def test_license_scan_is_the_best_of_all_windows():
+    rng = random.Random(22)
+    scanner, found = licenses.Scanner({"t": "a b a c d e b"}, 0.7), 0
+    b = scanner.terms[0].tolist()
+    for _ in range(400):
+        x = [w for _ in range(rng.randint(1, 4)) for w in [*rng.choices(b, k=rng.randint(0, 6)), *(y for y in b if rng.random() < 0.8)]]
+        span = 4 * len(b) + 1
+        best = max(len(licenses.align(x[i:j], b)) for i, j in [(0, len(x)), *((i, j) for i in range(len(x)) for j in range(i + 1, min(len(x), i + span) + 1))])
+        got = scanner.match(x, list(range(len(x))), 0)
+        assert (got[0] if got else 0) == (best if best >= scanner.need[0] else 0)
+        found += got is not None
+    assert 50 < found
+
+
 # --- 2
 
 

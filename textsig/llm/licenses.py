@@ -5,8 +5,10 @@ increasing subsequence of the anchors' places is kept, equal words next to an an
 in the same way, until a gap has no anchors. The share of the template's words that end up aligned is its coverage.
 
 No more words can be aligned than both have in common, counted with repeats; so texts that have too few of a template's words
-are passed over without alignment, which loses nothing. A long text is compared as a whole and, as words that are unique in a
-notice may be frequent in the text around it, also around each place that has a word of the template that is rare in the text.
+are passed over without alignment, which loses nothing. A text is compared as a whole and, as words that are unique in a notice
+may be frequent in the text around it or in a second copy, by windows too: the result is the best over the whole and all runs of
+up to `4 n + 1` of the text's words that are in the template, of n words, wherever they begin. Runs whose longest common subsequence with the
+template is no longer than the best so far cannot raise it and are not aligned, which loses nothing either.
 
 Defined results: a null or empty text matches nothing; templates without words match nothing; every row of the documents gives
 its own result rows; null ids are carried; further columns are ignored.
@@ -106,6 +108,16 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _common(masks: list[int], n: int) -> Iterator[int]:
+    """Length of the longest common subsequence with n words after each word; masks: bits of the places where the words have it."""
+    full = (1 << n) - 1
+    v = full
+    for m in masks:
+        u = v & m
+        v = ((v + u) | (v - u)) & full
+        yield n - v.bit_count()
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float):
         self.coverage = coverage
@@ -130,19 +142,44 @@ class Scanner:
         own = set(b)
         keep = [i for i, x in enumerate(a) if x in own]
         x, place = [a[i] for i in keep], [where[i] for i in keep]
-        tries = [(0, len(x))]
-        often = Counter(x)
-        rare = min((often[w] for w in own if w in often), default=0)
-        span = 2 * len(b)
-        for w in (w for w in own if often.get(w) == rare):
-            tries += [(max(0, i - span), min(len(x), i + span + 1)) for i, y in enumerate(x) if y == w]
+        masks: dict[int, int] = {}
+        for j, w in enumerate(b):
+            masks[w] = masks.get(w, 0) | 1 << j
+        bits = [masks[w] for w in x]
+        if max(_common(bits, len(b)), default=0) < self.need[t]:
+            return None
+        span = 4 * len(b) + 1
         best = None
-        for i, j in dict.fromkeys(tries):
+
+        def attempt(i: int, j: int) -> None:
+            nonlocal best
             got = align(x[i:j], b)
             if got and (best is None or len(got) > best[0]):
                 best = (len(got), place[i + got[0][0]], place[i + got[-1][0]])
-                if len(got) == len(b):
+
+        attempt(0, len(x))
+        most = lambda: max(best[0] if best else 0, int(self.need[t]) - 1)
+        if most() < len(b):
+            # for each start, the shortest run with the most in common comes first: it is a copy, or begins a little before one
+            runs = []
+            for i in range(len(x)):
+                top, end = 0, i
+                for j, n in enumerate(_common(bits[i : i + span], len(b)), i + 1):
+                    if n > top:
+                        top, end = n, j
+                runs.append((top, end))
+            bound = max(n for n, _ in runs)
+            for i, (n, j) in enumerate(runs):
+                if n > most():
+                    attempt(i, j)
+            for i, (n, _) in enumerate(runs):
+                if most() >= bound:
                     break
+                if n <= most():
+                    continue
+                for j, n in enumerate(_common(bits[i : i + span], len(b)), i + 1):
+                    if n > most():
+                        attempt(i, j)
         return best if best and best[0] >= self.need[t] else None
 
     def scan(self, column: pa.Array) -> Iterator[tuple[int, int, float, int, int, int]]:
