@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textsig.operators import codebook, dictionary, learner, matrices, signatures, thresholds
+from textsig.plans import queries
 
 N = 2048
 
@@ -107,6 +108,23 @@ def test_sketch_bounds(spark):
     assert gap.min() > -1e-2 and gap.max() <= 2 * (a**2).sum() / 10 and len(sigma) <= 10
 
 
+def test_product_of_all_rows(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    rows = [(i, i % 10, x) for i, x in enumerate(rng.normal(size=(60, 8)).tolist())] + [(60, 1, None), (61, 1, []), (62, 1, [1.0, None, 2.0]), (5, 3, [1.0] * 8), (None, 0, [2.0] * 8)]
+    e = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    sums = {}
+    for k, _, x in rows:
+        if x:
+            sums[k] = sums.get(k, 0) + np.array([v or 0 for v in x] + [0.0] * (8 - len(x)))
+    want = {(a, b): x @ y for a, x in sums.items() for b, y in sums.items()}
+    for block in (7, 1024):
+        got = matrices.rows_gram(e, "vec_id", "embedding", block).collect()
+        assert len(got) == len(want) == 62**2 and all(abs(r.x - want[r.row, r.col]) < 1e-9 for r in got)
+    e.write.parquet(f"{tmp_path}/embeddings.parquet")
+    whole = {(r.row, r.col): r.x for r in queries.queries()["matmul_whole"](spark, str(tmp_path)).collect()}
+    assert whole.keys() == want.keys() and all(abs(x - want[k]) < 1e-4 for k, x in whole.items())
+
+
 @pytest.mark.parametrize("by", ["type", "type_level", "level_type"])
 def test_reordering_keeps_all_parts(spark, by):
     parts = dictionary.numbered(spark, SMALL + dictionary.atoms())

@@ -400,6 +400,13 @@ def matmul(spark, sf_dir):
     return matrices.matmul(a, b).select("row", "col", F.round("x", 5).alias("x"))
 
 
+@_query
+def matmul_whole(spark, sf_dir):
+    """All embeddings times their transpose. Without SQL: rows by rows are too many for it."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return matrices.rows_gram(e, "vec_id", "embedding").select("row", "col", F.round("x", 5).alias("x"))
+
+
 @_query
 def context_jaccard(spark, sf_dir):
     """Signatures of a word that occurs in several sentences of an item, pair by pair."""
