@@ -1,11 +1,13 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textsig.operators import codebook, dictionary, learner, matrices, signatures, thresholds
+from textsig.functions import tokens as tok
+from textsig.operators import codebook, dictionary, learner, matrices, signatures, thresholds, uniqueness
 from textsig.plans import queries
 
 N = 2048
@@ -84,7 +86,70 @@ def test_signatures(spark):
     assert {r.bit: r.df for r in signatures.frequencies(words, 9, ["span"]).collect()} == df
     w = {r.bit: r.w for r in signatures.surprisal_weights(signatures.frequencies(words, 9, ["span"]), len(rows)).collect()}
     top = max(math.log(len(rows) / v) for v in df.values())
-    assert w == {b: min(16, max(1, math.floor(1.5 + 15 * math.log(len(rows) / v) / top))) for b, v in df.items()}
+    assert w == {b: min(8, max(1, math.floor(1.5 + 7 * math.log(len(rows) / v) / top))) for b, v in df.items()}
+
+
+@pytest.mark.parametrize("scale", ["sentence", "paragraph"])
+def test_signatures_of_texts(spark, monkeypatch, scale):
+    """Made where texts are cut, against unions of bags word by word."""
+    monkeypatch.setattr(signatures, "PIECE", 500)
+    rng = random.Random(11)
+    texts = [None, "", "...", *(" ".join(rng.choice(["the", "unported", "running", "xy", "a", "7", "run.", "Mr.", "it!\n\n"]) for _ in range(rng.randint(0, 40))) for _ in range(25)), "run " * 300]
+    docs = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, bits string")
+    parts = dictionary.numbered(spark, SMALL + dictionary.atoms())
+    d, size = dictionary.Decomposer([tuple(r) for r in parts.collect()]), parts.count()
+    spans = {}
+    for r in tok.tokens(docs).collect():
+        if r.type == "W":
+            spans.setdefault((r.doc_id, r[scale]), []).append((r.idx, set(d.parts(r.value)), r.sentence))
+    want, df = {}, Counter()
+    for (doc, _), words in spans.items():
+        words.sort()
+        for k, (idx, own, _) in enumerate(words):
+            before, after = set().union(*(b for _, b, _ in words[:k])), set().union(*(b for _, b, _ in words[k + 1 :]))
+            want[doc, idx] = sorted(before) + sorted(e + size for e in own) + sorted(e + 2 * size for e in after)
+            df.update(want[doc, idx])
+    got = signatures.encoded_texts(docs, parts, scale=scale).collect()
+    assert {(r.doc_id, r.idx): list(r.bits) for r in got} == want and len(got) == len(want)
+    found = {r.bit: r.df for r in signatures.text_frequencies(docs, parts, scale=scale).collect()}
+    assert found.pop(-1) == len(want) and found == df
+    sums = signatures.summed_texts(docs, parts, {"n": np.ones(3 * size, np.int64), "s": np.arange(3 * size)}, scale=scale).collect()
+    assert {(r.doc_id, r.idx): (r.n, r.s) for r in sums} == {k: (len(v), sum(v)) for k, v in want.items()}
+    if scale == "sentence":
+        assert {(r.doc_id, r.idx): list(r.bag) for r in signatures.bags(docs, parts).collect()} == {(doc, idx): sorted(own) for (doc, _), words in spans.items() for idx, own, _ in words}
+    assert signatures.encoded_texts(docs.limit(0), parts).count() == 0 and signatures.text_frequencies(docs.limit(0), parts).count() == 0
+    with pytest.raises(ValueError):
+        monkeypatch.setattr(dictionary, "BROADCAST_PARTS", 3)
+        dictionary.collected.__defaults__ = (3,)
+        try:
+            signatures.bags(docs, parts)
+        finally:
+            dictionary.collected.__defaults__ = (1_000_000,)
+
+
+def test_large_dictionaries_are_joined(spark):
+    rng = random.Random(12)
+    words = spark.createDataFrame([(w, 2) for w in {"", "the", "a", "running", "unported", "xy", "ported", "unun", "x1-é", *("".join(rng.choice("unporteding") for _ in range(rng.randint(1, 12))) for _ in range(200))}] + [(None, 1)], "value string, n long")
+    parts = dictionary.numbered(spark, SMALL + [("Mid", "un"), ("End", "un"), ("Start", "unp"), ("Mid", "por")] + dictionary.atoms())
+    small, large = ({r.value: (r.part_ids, r.bag) for r in dictionary.decomposed(words, parts, limit=n).collect()} for n in (1000, 5))
+    assert small == large and len(small) == words.count()
+    runs, again = (sorted(tuple(r) for r in dictionary.unclaimed(words.where("value is not null"), parts, n).collect()) for n in (1000, 5))
+    assert runs == again and len(runs) > 20
+    d = dictionary.Decomposer([tuple(r) for r in parts.collect()])
+    delims = spark.createDataFrame([("-",), ("-é.",), (" ",), ("!",), ("$$",)], "value string")
+    assert {r.value: r.part_ids for r in dictionary.decomposed_delimiters(delims, parts).collect()} == {r.value: d.delimiter(r.value) for r in delims.collect()}
+
+
+def test_uniqueness(spark):
+    bags = [("ab", [1, 2]), ("ba", [1, 2]), ("abc", [1, 2, 3]), ("x", [4]), ("y", [4]), ("z", [4]), ("none", [])]
+    words = spark.createDataFrame(bags, "value string, bag array<int>")
+    r = uniqueness.collisions(words, []).collect()[0]
+    assert tuple(r) == (6, 3, 2, 5, round(500 / 6, 6))
+    r = uniqueness.sizes(words).collect()[0]
+    assert tuple(r) == (6, 1, round(10 / 6, 6), 2, 3, 3, 3)
+    assert [(r["rank"], r.bag, r.k, r.words) for r in uniqueness.largest(words, 2, 2).orderBy("rank").collect()] == [(1, [4], 3, ["x", "y"]), (2, [1, 2], 2, ["ab", "ba"])]
+    assert uniqueness.sizes(words.limit(0)).count() == 0 and uniqueness.largest(words.limit(0)).count() == 0
+    assert uniqueness.hashed([]) == 0xCBF29CE484222325 and uniqueness.hashed([0x61]) == uniqueness.hashed([0x61]) != uniqueness.hashed([0x62])
 
 
 def test_pursuit_covers_an_exact_union(spark):

@@ -8,11 +8,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import ranked, written
 from . import thresholds
 
 SHORTEST, LONGEST, WHOLE_MOST, ROUNDS = 2, 7, 16, 20
 CONNECTORS = "-'&,.$"
 SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789" + CONNECTORS
+#: Parts of a dictionary that may go to every task; a larger one is joined.
+BROADCAST_PARTS = 1_000_000
 KINDS = ("Start", "End", "Mid", "Letter", "Whole", "Delimiter")
 SCHEMA = "part_id int, kind string, value string"
 
@@ -65,9 +68,9 @@ class Decomposer:
             out += [(i, p, p + size, "Mid") for p in range(n - size + 1) if (i := mid.get(word[p : p + size])) is not None]
         return sorted(out)
 
-    def _claim(self, word: str) -> tuple[list[tuple[int, int]], int, set[str]]:
+    def _claim(self, word: str, candidates: list[tuple[int, int, int, str]] | None = None) -> tuple[list[tuple[int, int]], int, set[str]]:
         taken, used, found = 0, set(), []
-        for i, a, b, kind in self.candidates(word):
+        for i, a, b, kind in self.candidates(word) if candidates is None else sorted(candidates):
             mask = (1 << b) - (1 << a)
             if not (kind in used or taken & mask):
                 taken |= mask
@@ -76,12 +79,13 @@ class Decomposer:
                     used.add(kind)
         return found, taken, used
 
-    def parts(self, word: str) -> list[int]:
+    def parts(self, word: str, candidates: list[tuple[int, int, int, str]] | None = None) -> list[int]:
+        """Ids in order of place. candidates: those of the word, where the dictionary itself has single signs alone."""
         if not word:
             return []
         if (i := self.ids["Whole"].get(word)) is not None:
             return [i]
-        found, taken, used = self._claim(word)
+        found, taken, used = self._claim(word, candidates)
         letter, last = self.ids["Letter"], len(word) - 1
         for p, c in enumerate(word):
             if not taken >> p & 1:
@@ -90,11 +94,11 @@ class Decomposer:
                     found.append((p, i))
         return [i for _, i in sorted(found)]
 
-    def runs(self, word: str) -> list[tuple[int, int]]:
+    def runs(self, word: str, candidates: list[tuple[int, int, int, str]] | None = None) -> list[tuple[int, int]]:
         """Stretches that no part claims."""
         if not word or word in self.ids["Whole"]:
             return []
-        _, taken, _ = self._claim(word)
+        _, taken, _ = self._claim(word, candidates)
         out, p = [], 0
         while p < len(word):
             q = p
@@ -111,10 +115,31 @@ class Decomposer:
         return [known[value]] if value in known else [known[c] for c in value if c < "\x80" and c in known]
 
 
-def decomposed(words: DataFrame, parts: DataFrame, column: str = "value") -> DataFrame:
-    """The rows of words with part_ids (in order of place) and bag (distinct ids, ascending). The dictionary goes to every executor; it has
-    as many parts as the cut-offs keep, tens of thousands for a million words."""
-    shared = words.sparkSession.sparkContext.broadcast([tuple(r) for r in parts.select("part_id", "kind", "value").collect()])
+def collected(parts: DataFrame, limit: int = BROADCAST_PARTS) -> list[tuple[int, str, str]] | None:
+    """The dictionary as a list, or None if it has more than `limit` parts and so is to be joined and not sent to every task."""
+    rows = parts.select("part_id", "kind", "value").limit(limit + 1).collect()
+    return [tuple(r) for r in rows] if len(rows) <= limit else None
+
+
+def spelling(parts: DataFrame, limit: int = BROADCAST_PARTS):  # noqa: ANN201
+    """(a broadcast of the dictionary's parts, or of its single signs alone where it is too large; whether it is whole)"""
+    known = collected(parts, limit)
+    few = known if known is not None else [tuple(r) for r in parts.where("kind = 'Letter'").select("part_id", "kind", "value").collect()]  # of SIGNS
+    return parts.sparkSession.sparkContext.broadcast(few), known is not None
+
+
+def matched(words: DataFrame, parts: DataFrame, column: str) -> DataFrame:
+    """The rows of words with whole (the id of the part that is the whole word) and found (the candidates in it): by joins, for dictionaries of any size."""
+    w = words.select(F.col(column).alias("word")).where("word <> ''").distinct()
+    cand = candidates(w, parts).groupBy("word").agg(F.collect_list(F.struct("part_id", F.col("place").alias("a"), (F.col("place") + F.col("length")).alias("b"), "kind")).alias("found"))
+    whole = parts.where("kind = 'Whole'").groupBy(F.col("value").alias("word")).agg(F.min("part_id").alias("whole"))
+    return words.join(w.join(cand, "word", "left").join(whole, "word", "left").withColumnRenamed("word", column), column, "left")
+
+
+def decomposed(words: DataFrame, parts: DataFrame, column: str = "value", limit: int = BROADCAST_PARTS) -> DataFrame:
+    """The rows of words with part_ids (in order of place) and bag (distinct ids, ascending). A dictionary of up to `limit` parts goes to every
+    executor; a larger one is joined with the substrings of the distinct words."""
+    shared, every = spelling(parts, limit)
     known: list[Decomposer] = []
 
     @F.pandas_udf("array<int>")
@@ -123,10 +148,56 @@ def decomposed(words: DataFrame, parts: DataFrame, column: str = "value") -> Dat
             known.append(Decomposer(shared.value))
         return values.map(lambda w: None if w is None else known[0].parts(w))
 
-    out = words.withColumn("part_ids", split(F.col(column)))
+    @F.pandas_udf("array<int>")
+    def fold(values, wholes, found):  # noqa: ANN001, ANN202
+        if not known:
+            known.append(Decomposer(shared.value))
+        given = [None if w is None else [int(i)] if i == i and i is not None else known[0].parts(w, [tuple(c[k] for k in ("part_id", "a", "b", "kind")) for c in (cs if cs is not None else ())]) for w, i, cs in zip(values, wholes, found)]
+        return values.__class__(given, dtype=object)
+
+    if every:
+        out = words.withColumn("part_ids", split(F.col(column)))
+    else:
+        out = matched(words, parts, column).withColumn("part_ids", fold(F.col(column), F.col("whole"), F.col("found"))).drop("whole", "found")
     return out.withColumn("bag", F.array_sort(F.array_distinct("part_ids")))
 
 
+def decomposed_delimiters(delimiters: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows of delimiters (value) with part_ids: the whole delimiter's, or else those of its ASCII signs that are delimiters, in order of place."""
+    d = parts.where("kind = 'Delimiter'").groupBy(F.col("value").alias("sign")).agg(F.min("part_id").alias("id"))
+    given = delimiters.where("value is not null")
+    v = given.select("value").distinct()
+    whole = v.join(d, v["value"] == d["sign"], "left").select("value", F.col("id").alias("whole"))
+    signs = whole.where("whole is null").select("value", F.posexplode(F.split("value", "")).alias("i", "sign")).where("sign <> '' and ascii(sign) < 128").join(d, "sign")
+    spelt = signs.groupBy("value").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "id"))), lambda x: x["id"]).alias("spelt"))
+    ids = whole.join(spelt, "value", "left").select("value", F.when(F.col("whole").isNotNull(), F.array("whole")).otherwise(F.coalesce("spelt", F.array().cast("array<int>"))).alias("part_ids"))
+    return given.join(ids, "value")
+
+
+def unclaimed(words: DataFrame, parts: DataFrame, limit: int = BROADCAST_PARTS) -> DataFrame:
+    """value, n, a, b: the stretches [a, b) of each word that no part claims."""
+    shared, every = spelling(parts, limit)
+    given = words.select("value", F.col("n").cast("long").alias("n"))
+    if not every:
+        given = matched(given, parts, "value").where("whole is null").drop("whole")
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = Decomposer(shared.value)
+        for b in batches:
+            found = b.column("found").to_pylist() if not every else [None] * len(b)
+            rows = [(w, n, p, q) for w, n, cs in zip(b.column("value").to_pylist(), b.column("n").to_pylist(), found) if w for p, q in d.runs(w, None if every else [tuple(c.values()) for c in cs or ()])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.int32()))], names=["value", "n", "a", "b"])
+
+    return given.mapInArrow(stretches, "value string, n long, a int, b int")
+
+
+def first_of(rows: DataFrame, key: str, value: str, k: int) -> DataFrame:
+    """key, words: the first k values of each key, in order. Only k values of a key are ever held together."""
+    order = Window.partitionBy(key).orderBy(value)
+    few = rows.select(key, value).distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return few.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("words"))
+
+
 def candidates(words: DataFrame, parts: DataFrame) -> DataFrame:
     """word, part_id, kind, place (from 0), length: every start, end and mid of a word that is a part. words: word."""
     sized = words.withColumn("length", F.explode(F.sequence(F.lit(SHORTEST), F.least(F.lit(LONGEST), F.length("word"))))).where("length <= length(word)")
@@ -135,17 +206,10 @@ def candidates(words: DataFrame, parts: DataFrame) -> DataFrame:
     return placed.join(parts, "value").where(fits).select("word", "part_id", "kind", "place", "length")
 
 
-def bins(words: DataFrame, parts: DataFrame) -> DataFrame:
+def bins(words: DataFrame, parts: DataFrame, limit: int = BROADCAST_PARTS) -> DataFrame:
     """length, kind, value, weight: pieces of the stretches that no part claims, counted with their words' frequencies (n)."""
-    shared = words.sparkSession.sparkContext.broadcast([tuple(r) for r in parts.select("part_id", "kind", "value").collect()])
-
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = Decomposer(shared.value)
-        for b in batches:
-            rows = [(w[p:q], p == 0, q == len(w), n) for w, n in zip(b.column("value").to_pylist(), b.column("n").to_pylist()) for p, q in d.runs(w) if q - p >= SHORTEST]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.bool_(), pa.bool_(), pa.int64()))], names=["run", "first", "last", "n"])
-
-    runs = words.select("value", F.col("n").cast("long").alias("n")).mapInArrow(stretches, "run string, first boolean, last boolean, n long")
+    runs = unclaimed(words, parts, limit).where(F.col("b") - F.col("a") >= SHORTEST)
+    runs = runs.select(F.expr("substring(value, a + 1, b - a)").alias("run"), (F.col("a") == 0).alias("first"), (F.col("b") == F.length("value")).alias("last"), "n")
     sized = runs.withColumn("length", F.explode(F.sequence(F.lit(SHORTEST), F.least(F.lit(LONGEST), F.length("run")))))
     # starts and ends are the pieces at the first and last place of a stretch that touches its word's start or end
     placed = sized.withColumn("p", F.explode(F.sequence(F.lit(1), F.length("run") - F.col("length") + 1)))
@@ -154,9 +218,9 @@ def bins(words: DataFrame, parts: DataFrame) -> DataFrame:
     return pieces.groupBy("length", "kind", "value").agg(F.sum("n").alias("weight"))
 
 
-def peel(words: DataFrame, parts: DataFrame) -> DataFrame:
+def peel(words: DataFrame, parts: DataFrame, limit: int = BROADCAST_PARTS) -> DataFrame:
     """length, kind, value, weight, rank: the pieces that one round of peeling promotes."""
-    return thresholds.kept(bins(words, parts), ["length", "kind"], "weight", "value")
+    return thresholds.kept(bins(words, parts, limit), ["length", "kind"], "weight", "value")
 
 
 def whole_atoms(words: DataFrame, most: int = WHOLE_MOST) -> DataFrame:
@@ -164,19 +228,39 @@ def whole_atoms(words: DataFrame, most: int = WHOLE_MOST) -> DataFrame:
     return thresholds.kept(words.where(F.length("value").between(2, most)), [], "n", "value")
 
 
-def train(words: DataFrame, delimiters: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """The dictionary of a corpus from word and delimiter frequencies (value, n). What each round promotes is collected, as the next round
-    needs it everywhere; cut-offs bound it."""
+def seeded(words: DataFrame, delimiters: DataFrame) -> DataFrame:
+    """The dictionary before the first round of peeling: whole words, single signs, delimiters."""
     spark = words.sparkSession
-    words = words.where("value <> ''")
-    parts = [("Whole", r.value) for r in whole_atoms(words).orderBy("rank").collect()] + atoms()[: len(SIGNS) * 4]
-    parts += [("Delimiter", r.value) for r in delimiters.where("value <> ''").orderBy(F.col("n").desc(), "value").collect()] + [("Delimiter", c) for c in CONNECTORS]
-    parts = list(dict.fromkeys(parts))
-    order = {"Start": 0, "Mid": 1, "End": 2}
+    whole = whole_atoms(words.where("value <> ''")).select(F.lit(0).alias("g"), F.col("rank").cast("long").alias("r"), F.lit("Whole").alias("kind"), "value")
+    own, ends = atoms()[: len(SIGNS) * 4], [("Delimiter", c) for c in CONNECTORS]
+    signs = spark.createDataFrame([(1, i, *p) for i, p in enumerate(own)] + [(3, i, *p) for i, p in enumerate(ends)], "g int, r long, kind string, value string")
+    seen = delimiters.where("value <> ''").select(F.lit(2).alias("g"), (-F.col("n")).alias("r"), F.lit("Delimiter").alias("kind"), "value")
+    return arranged(whole.unionAll(signs).unionAll(seen), "g", "r", "value")
+
+
+def arranged(parts: DataFrame, *order: str) -> DataFrame:
+    """part_id, kind, value: the distinct parts, numbered from 0 by the first of each in a total order of the columns named."""
+    first = parts.groupBy("kind", "value").agg(F.min(F.struct(*[F.col(c) for c in order], F.col("value").alias("tie"), F.col("kind").alias("tie2"))).alias("at"))
+    return written(ranked(first, "at").select((F.col("rank") - 1).cast("int").alias("part_id"), "kind", "value"), "dictionary")
+
+
+def promoted(words: DataFrame, parts: DataFrame, limit: int = BROADCAST_PARTS) -> DataFrame:
+    """The dictionary after one more round of peeling: new parts come last, by length from the longest, then starts, mids and ends, then by rank."""
+    kind = F.when(F.col("kind") == "Start", 0).when(F.col("kind") == "Mid", 1).otherwise(2)
+    new = peel(words, parts, limit).select(F.lit(1).alias("g"), (-F.col("length")).cast("long").alias("a"), kind.alias("b"), F.col("rank").cast("long").alias("c"), "kind", "value")
+    old = parts.select(F.lit(0).alias("g"), F.col("part_id").cast("long").alias("a"), F.lit(0).alias("b"), F.lit(0).cast("long").alias("c"), "kind", "value")
+    return arranged(old.unionAll(new), "g", "a", "b", "c")
+
+
+def train(words: DataFrame, delimiters: DataFrame, rounds: int = ROUNDS, limit: int = BROADCAST_PARTS) -> DataFrame:
+    """The dictionary of a corpus from word and delimiter frequencies (value, n), which are read once. It is a table that each round writes anew;
+    nothing but the number of its parts comes to the driver, and a dictionary of over `limit` parts is joined where it is needed."""
+    words = written(words.where("value <> ''").select("value", F.col("n").cast("long").alias("n")), "train-words")
+    parts = seeded(words, delimiters)
+    size = parts.count()
     for _ in range(rounds):
-        new = sorted(((-r.length, order[r.kind], r["rank"], r.kind, r.value) for r in peel(words, numbered(spark, parts)).collect()))
-        before = len(parts)
-        parts = list(dict.fromkeys([*parts, *((k, v) for *_, k, v in new)]))
-        if len(parts) == before:
+        parts = promoted(words, parts, limit)
+        before, size = size, parts.count()
+        if size == before:
             break
-    return numbered(spark, parts)
+    return parts

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.tokens import ABBREVIATIONS, MAX_PARAGRAPH
 from ..operators.dictionary import CONNECTORS, SIGNS
+from ..operators.signatures import CAP
 
 _ALNUM = "(({0} BETWEEN '0' AND '9') OR ({0} BETWEEN 'A' AND 'Z') OR ({0} BETWEEN 'a' AND 'z'))"
 _DIGIT = "({0} BETWEEN '0' AND '9')"
@@ -94,31 +95,102 @@ _WHOLES = f"""{_WORDS}, candidates AS (SELECT value, n, n AS v FROM words WHERE
 ranked AS (SELECT value, n, row_number() OVER (ORDER BY n DESC, value) AS rank FROM candidates),
 wholes AS (SELECT value, ranked.n AS n, rank FROM ranked, cut WHERE rank <= adaptive)"""
 
-_BINS = """
-loose AS (SELECT value, n FROM words WHERE value NOT IN (SELECT value FROM wholes) AND length(value) >= 2),
-placed AS (SELECT value AS w, n, len AS length, p FROM (SELECT *, unnest(range(1, length(value) - len + 2)) AS p FROM (SELECT *, unnest(range(2, least(7, length(value)) + 1)) AS len FROM loose))),
-bins AS (SELECT length, kind, value, sum(n)::BIGINT AS weight FROM (
-  SELECT length, 'Mid' AS kind, substr(w, p, length) AS value, n FROM placed
-  UNION ALL SELECT length, 'Start', substr(w, p, length), n FROM placed WHERE p = 1
-  UNION ALL SELECT length, 'End', substr(w, p, length), n FROM placed WHERE p = length(w) - length + 1) GROUP BY 1, 2, 3)"""
-
-#: Words as bags of the fixed atoms alone, so that both engines have the same dictionary.
-_BAGS = f"""{SEGMENTS}, {_ATOMS},
-spelt AS (SELECT doc_id, sentence, idx, value, unnest(range(1, length(value) + 1)) AS p FROM segments WHERE type = 'W'),
-lettered AS (SELECT doc_id, sentence, idx, CASE WHEN length(value) = 1 THEN 'Whole' ELSE 'Letter' END AS kind, CASE WHEN length(value) = 1 THEN value WHEN p = 1 THEN substr(value, p, 1) || '##' WHEN p = length(value) THEN '##' || substr(value, p, 1) ELSE '##' || substr(value, p, 1) || '##' END AS value FROM spelt),
-held AS (SELECT DISTINCT doc_id, sentence, idx, part_id AS part FROM lettered JOIN atoms USING (kind, value)),
+
+
+def bins_sql(runs: str, name: str) -> str:
+    """CTEs that end in `name`: length, kind, value, weight of the pieces of runs (w, n, a, b)."""
+    return f"""
+{name}_p AS (SELECT w, n, a, b, len AS length, p FROM (SELECT *, unnest(range(a, b - len + 1)) AS p FROM (SELECT *, unnest(range(2, least(7, b - a) + 1)) AS len FROM {runs} WHERE b - a >= 2))),
+{name} AS (SELECT length, kind, value, sum(n)::BIGINT AS weight FROM (
+  SELECT length, 'Mid' AS kind, substr(w, p + 1, length) AS value, n FROM {name}_p
+  UNION ALL SELECT length, 'Start', substr(w, p + 1, length), n FROM {name}_p WHERE p = 0
+  UNION ALL SELECT length, 'End', substr(w, p + 1, length), n FROM {name}_p WHERE p + length = length(w)) GROUP BY 1, 2, 3)"""
+
+
+def peel_sql(bins: str, name: str) -> str:
+    """CTEs that end in `name`: length, kind, value, weight, rank of the bins that are promoted."""
+    return f"""
+{name}_v AS (SELECT *, weight AS v FROM {bins}), {cut_off_sql(name + "_v", ["length", "kind"], name + "_c")},
+{name} AS (SELECT length, kind, value, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY length, kind ORDER BY weight DESC, value) AS rank FROM {bins}) JOIN {name}_c USING (length, kind) WHERE rank <= adaptive)"""
+
+
+#: words, and parts: the dictionary of one round of peeling.
+_DICT = f"""{_WHOLES}, {_ATOMS},
+loose AS (SELECT value AS w, n, 0 AS a, length(value) AS b FROM words WHERE value NOT IN (SELECT value FROM wholes) AND value NOT IN (SELECT value FROM atoms WHERE kind = 'Whole')),
+{bins_sql("loose", "bins")}, {peel_sql("bins", "promoted")},
+delims AS (SELECT value, count(*) AS n FROM tokens WHERE type = 'D' GROUP BY value),
+listed AS (SELECT 0 AS g, rank AS a, 0 AS b, 0 AS c, 'Whole' AS kind, value FROM wholes
+  UNION ALL SELECT 1, part_id, 0, 0, kind, value FROM atoms WHERE part_id < {4 * len(SIGNS)}
+  UNION ALL SELECT 2, row_number() OVER (ORDER BY n DESC, value), 0, 0, 'Delimiter', value FROM delims
+  UNION ALL SELECT 3, part_id, 0, 0, kind, value FROM atoms WHERE kind = 'Delimiter'
+  UNION ALL SELECT 4, -length, CASE kind WHEN 'Start' THEN 0 WHEN 'Mid' THEN 1 ELSE 2 END, rank, kind, value FROM promoted),
+parts AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY g, a, b, c) - 1)::INT AS part_id, kind, value FROM (SELECT *, row_number() OVER (PARTITION BY kind, value ORDER BY g, a, b, c) AS nth FROM listed) WHERE nth = 1)"""
+
+
+def spelt_sql(parts: str = "parts", name: str = "s") -> str:
+    """CTEs that end in {name}_spelt: w, place, part; {name}_open: w, got (the claims) of words that are no part; {name}_runs: w, a, b that no part claims."""
+    inside = "len(list_filter(got, lambda g: g.a <= p AND p < g.b)) > 0"
+    has = "len(list_filter(got, lambda g: g.kind = '{0}')) > 0"
+    return f"""
+{name}_whole AS (SELECT words.value AS w, part_id FROM words JOIN {parts} p ON p.kind = 'Whole' AND p.value = words.value),
+{name}_subs AS (SELECT w, len, unnest(range(0, length(w) - len + 1)) AS a FROM (SELECT value AS w, unnest(range(2, least(7, length(value)) + 1)) AS len FROM words WHERE value NOT IN (SELECT w FROM {name}_whole))),
+{name}_cand AS MATERIALIZED (SELECT w, part_id, a, a + len AS b, kind, row_number() OVER (PARTITION BY w ORDER BY part_id, a) AS k FROM {name}_subs JOIN {parts} p ON p.value = substr(w, a + 1, len)
+  WHERE kind = 'Mid' OR (kind = 'Start' AND a = 0) OR (kind = 'End' AND a + len = length(w))),
+{name}_fold AS (SELECT value AS w, 0::BIGINT AS k, []::STRUCT(a BIGINT, b BIGINT, id INT, kind VARCHAR)[] AS got FROM words WHERE value NOT IN (SELECT w FROM {name}_whole)
+  UNION ALL SELECT f.w, o.k, CASE WHEN len(list_filter(f.got, lambda g: (g.kind = o.kind AND o.kind <> 'Mid') OR (g.a < o.b AND o.a < g.b))) > 0 THEN f.got
+    ELSE list_append(f.got, struct_pack(a := o.a::BIGINT, b := o.b::BIGINT, id := o.part_id::INT, kind := o.kind)) END FROM {name}_fold f JOIN {name}_cand o ON o.w = f.w AND o.k = f.k + 1),
+{name}_open AS MATERIALIZED (SELECT w, arg_max(got, k) AS got FROM {name}_fold GROUP BY w),
+{name}_free AS (SELECT w, p, got FROM (SELECT w, got, unnest(range(0, length(w))) AS p FROM {name}_open) WHERE NOT {inside}),
+{name}_runs AS (SELECT w, min(p) AS a, max(p) + 1 AS b FROM (SELECT w, p, p - row_number() OVER (PARTITION BY w ORDER BY p) AS g FROM {name}_free) GROUP BY w, g),
+{name}_spelt AS MATERIALIZED (SELECT w, 0 AS place, part_id AS part FROM {name}_whole
+  UNION ALL SELECT w, g.a, g.id FROM (SELECT w, unnest(got) AS g FROM {name}_open)
+  UNION ALL SELECT w, p, part_id FROM {name}_free JOIN {parts} q ON q.kind = 'Letter' AND q.value = CASE WHEN p = 0 AND NOT {has.format("Start")} THEN substr(w, p + 1, 1) || '##'
+    WHEN p = length(w) - 1 AND NOT {has.format("End")} THEN '##' || substr(w, p + 1, 1) ELSE '##' || substr(w, p + 1, 1) || '##' END)"""
+
+
+def bags_sql(name: str = "s") -> str:
+    return f"(SELECT w, string_agg(part, ',' ORDER BY part) AS bag, count(*) AS size FROM (SELECT DISTINCT w, part FROM {name}_spelt) GROUP BY w)"
+
+
+def collisions_sql(bags: str, keys: str = "") -> str:
+    """keys: columns of bags, each with a comma."""
+    by = f"GROUP BY {keys.rstrip(', ')}" if keys else ""
+    return f"SELECT {keys} coalesce(sum(k), 0)::BIGINT AS words, count(*) AS bags, count(*) FILTER (k > 1) AS colliding_bags, coalesce(sum(k) FILTER (k > 1), 0)::BIGINT AS colliding_words, coalesce(round(100 * coalesce(sum(k) FILTER (k > 1), 0) / nullif(sum(k), 0)::DOUBLE, 6), 0.0) AS rate FROM (SELECT {keys} bag, count(*) AS k FROM {bags} GROUP BY ALL) {by}"
+
+
+_SPELT = f"{_DICT}, {spelt_sql()}"
+#: Words as bags of the fixed signs alone, where many words share one.
+_SIGNED = f"""{TOKENS}, {_WORDS}, {_ATOMS},
+lettered AS (SELECT x.value AS w, part_id AS part FROM (SELECT value, unnest(range(1, length(value) + 1)) AS p FROM words) x JOIN atoms a ON a.kind = CASE WHEN length(x.value) = 1 THEN 'Whole' ELSE 'Letter' END
+  AND a.value = CASE WHEN length(x.value) = 1 THEN x.value WHEN p = 1 THEN substr(x.value, p, 1) || '##' WHEN p = length(x.value) THEN '##' || substr(x.value, p, 1) ELSE '##' || substr(x.value, p, 1) || '##' END),
+signed AS (SELECT w, string_agg(part, ',' ORDER BY part) AS bag FROM (SELECT DISTINCT w, part FROM lettered) GROUP BY w)"""
+
+
+def _placed(bagged: str) -> str:
+    """held: doc_id, sentence, idx, part; places and spans of words and of parts in sentences."""
+    return f"""
+held AS (SELECT DISTINCT doc_id, sentence, idx, part FROM segments JOIN {bagged} ON value = w WHERE type = 'W'),
 places AS (SELECT doc_id, sentence, idx, row_number() OVER (PARTITION BY doc_id, sentence ORDER BY idx) AS ord, count(*) OVER (PARTITION BY doc_id, sentence) AS words FROM segments WHERE type = 'W'),
 spans AS (SELECT doc_id, sentence, part, min(ord) AS first_, max(ord) AS last_, count(*) AS n, max(words) AS words FROM held JOIN places USING (doc_id, sentence, idx) GROUP BY 1, 2, 3)"""
-_F = 4 * len(SIGNS) + len(CONNECTORS)
-_DF = f"""{_BAGS},
-df AS (SELECT bit::INT AS bit, sum(n)::BIGINT AS df FROM (SELECT part AS bit, words - first_ AS n FROM spans UNION ALL SELECT part + {_F}, n FROM spans UNION ALL SELECT part + {2 * _F}, last_ - 1 FROM spans) GROUP BY 1 HAVING sum(n) > 0),
-weights AS (SELECT bit, df, CASE WHEN max(s) OVER () <= 0 THEN 1 ELSE least(greatest(floor(1.5 + 15.0 * (s / max(s) OVER ())), 1), 16) END::INT AS w
-  FROM (SELECT bit, df, round(ln((SELECT count(*) FROM places)::DOUBLE / df), 12) AS s FROM df))"""
-_SIGS = f"""{_DF},
+
+
+def _sigs(f: str) -> str:
+    return f"""
 sig AS (SELECT doc_id, sentence, idx, bit FROM (
   SELECT doc_id, sentence, idx, part AS bit FROM places JOIN spans USING (doc_id, sentence) WHERE first_ < ord
-  UNION ALL SELECT doc_id, sentence, idx, part + {_F} FROM held
-  UNION ALL SELECT doc_id, sentence, idx, part + {2 * _F} FROM places JOIN spans USING (doc_id, sentence) WHERE last_ > ord))"""
+  UNION ALL SELECT doc_id, sentence, idx, part + {f} FROM held
+  UNION ALL SELECT doc_id, sentence, idx, part + 2 * {f} FROM places JOIN spans USING (doc_id, sentence) WHERE last_ > ord))"""
+
+
+_F = "(SELECT count(*) FROM parts)"
+_ATOMS_SPELT = f"{_SIGNED.removeprefix(TOKENS + ', ' + _WORDS + ', ')}, {_placed('lettered')}, {_sigs(str(4 * len(SIGNS) + len(CONNECTORS)))}"
+_BAGS = f"{SEGMENTS}, {_SPELT}, {_placed('s_spelt')}"
+_DF = f"""{_BAGS},
+df AS (SELECT bit::INT AS bit, sum(n)::BIGINT AS df FROM (SELECT part AS bit, words - first_ AS n FROM spans UNION ALL SELECT part + {_F}, n FROM spans UNION ALL SELECT part + 2 * {_F}, last_ - 1 FROM spans) GROUP BY 1 HAVING sum(n) > 0),
+weights AS (SELECT bit, df, CASE WHEN max(s) OVER () <= 0 THEN 1 ELSE least(greatest(floor(1.5 + {CAP - 1}.0 * (s / max(s) OVER ())), 1), {CAP}) END::INT AS w
+  FROM (SELECT bit, df, round(ln((SELECT count(*) FROM places)::DOUBLE / df), 12) AS s FROM df))"""
+_SIGS = f"{_DF}, {_sigs(_F)}"
+_BAND_SUMS = "WITH RECURSIVE {0} SELECT doc_id, sentence, idx, count(bit) AS n_bits, coalesce(sum(bit), 0)::BIGINT AS bit_sum FROM places LEFT JOIN (SELECT * FROM sig WHERE bit // {1} = {2}) USING (doc_id, sentence, idx) GROUP BY 1, 2, 3"
 _ROUND = "SELECT {0} FROM orders GROUP BY o_orderpriority, o_custkey"
 
 SQL: dict[str, str] = {
@@ -138,21 +210,37 @@ SQL: dict[str, str] = {
     "whole_atoms": f"WITH {TOKENS}, {_WHOLES} SELECT value, n, rank FROM wholes",
     "vocab_ranked": f"WITH {TOKENS}, {_WORDS} SELECT value, n, row_number() OVER (ORDER BY n DESC, value) AS rank FROM words",
     "augment_set": f"WITH {_ATOMS} SELECT part_id::INT AS part_id, kind, value FROM atoms",
-    "render_parts": f"WITH {_ATOMS} SELECT part_id::INT AS part_id, CASE kind WHEN 'Delimiter' THEN '[delim:' || value || ']' ELSE value END AS text FROM atoms",
-    "kind_counts": f"WITH {_ATOMS} SELECT kind, count(*) AS n FROM atoms GROUP BY kind",
-    "peel_bins": f"WITH {TOKENS}, {_WHOLES}, {_BINS} SELECT length::INT AS length, kind, value, weight FROM bins",
-    "peel_iteration_1": f"WITH {TOKENS}, {_WHOLES}, {_BINS}, weighed AS (SELECT *, weight AS v FROM bins), {cut_off_sql('weighed', ['length', 'kind'], 'pr')} SELECT length::INT AS length, kind, value, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY length, kind ORDER BY weight DESC, value) AS rank FROM bins) JOIN pr USING (length, kind) WHERE rank <= adaptive",
-    "word_bags": f"WITH {_BAGS} SELECT doc_id, sentence, idx, string_agg(part, ',' ORDER BY part) AS bag FROM held GROUP BY 1, 2, 3",
-    "bag_collisions": f"WITH {_BAGS}, w AS (SELECT DISTINCT value AS word, string_agg(DISTINCT part, ',') AS bag FROM held JOIN segments USING (doc_id, sentence, idx) GROUP BY doc_id, sentence, idx, value), b AS (SELECT bag, count(DISTINCT word) AS n FROM (SELECT word, (SELECT string_agg(x, ',' ORDER BY x::INT) FROM unnest(string_split(bag, ',')) AS t(x)) AS bag FROM w) GROUP BY bag) SELECT sum(n)::BIGINT AS words, count(*) AS bags, count(*) FILTER (n > 1) AS colliding_bags, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS colliding_words FROM b",
-    "encode_3f": f"WITH {_SIGS} SELECT doc_id, sentence, idx, count(*) AS n_bits, sum(bit)::BIGINT AS bit_sum, sum(bit::BIGINT * bit)::BIGINT AS bit_squares FROM sig GROUP BY 1, 2, 3",
-    "bit_df": f"WITH {_DF} SELECT bit, df FROM df",
-    "surprisal_weights": f"WITH {_DF} SELECT bit, df, w FROM weights",
-    "info_content": f"WITH {_SIGS} SELECT doc_id, sentence, idx, sum(w)::BIGINT AS ic FROM sig JOIN weights USING (bit) GROUP BY 1, 2, 3",
+    "render_parts": f"WITH {TOKENS}, {_DICT} SELECT part_id, CASE kind WHEN 'Delimiter' THEN '[delim:' || value || ']' WHEN 'Start' THEN value || '##' WHEN 'End' THEN '##' || value WHEN 'Mid' THEN '##' || value || '##' ELSE value END AS text FROM parts",
+    "kind_counts": f"WITH {TOKENS}, {_DICT} SELECT kind, count(*) AS n FROM parts GROUP BY kind",
+    "dict_ids": f"WITH {TOKENS}, {_DICT} SELECT part_id, kind, value FROM parts",
+    "words_only": f"WITH {SEGMENTS} SELECT doc_id, sentence, idx, value FROM segments WHERE type = 'W'",
+    "token_totals_all": f"WITH {TOKENS} SELECT count(*) AS tokens, count(*) FILTER (type = 'W') AS words, count(*) FILTER (type = 'D') AS delims, count(DISTINCT value) FILTER (type = 'W') AS distinct_words FROM tokens",
+    "peel_bins": f"WITH {TOKENS}, {_DICT} SELECT length::INT AS length, kind, value, weight FROM bins",
+    "decompose_words": f"WITH RECURSIVE {TOKENS}, {_SPELT} SELECT words.value, n, part_ids, bag FROM words JOIN (SELECT w, string_agg(part, ',' ORDER BY place, part) AS part_ids FROM s_spelt GROUP BY w) x ON x.w = words.value JOIN {bags_sql()} y ON y.w = words.value",
+    "singleton_runs": f"WITH RECURSIVE {TOKENS}, {_SPELT} SELECT w AS value, a::INT AS a, b::INT AS b FROM s_runs",
+    "peel_iteration_2": f"WITH RECURSIVE {TOKENS}, {_SPELT}, again AS (SELECT w, n, a, b FROM s_runs JOIN words ON value = w), {bins_sql('again', 'bins2')}, {peel_sql('bins2', 'promoted2')} SELECT length::INT AS length, kind, value, weight, rank FROM promoted2",
+    "decompose_delims": f"WITH {TOKENS}, {_ATOMS}, d AS (SELECT value, count(*) AS n FROM tokens WHERE type = 'D' GROUP BY value), k AS (SELECT part_id, value AS c FROM atoms WHERE kind = 'Delimiter'), x AS (SELECT value, unnest(range(1, length(value) + 1)) AS p FROM d WHERE value NOT IN (SELECT c FROM k)), y AS (SELECT value, string_agg(part_id, ',' ORDER BY p) AS ids FROM x JOIN k ON c = substr(value, p, 1) GROUP BY value) SELECT d.value, n, coalesce(part_id::VARCHAR, ids, '') AS part_ids FROM d LEFT JOIN k ON c = d.value LEFT JOIN y ON y.value = d.value",
+    "bag_size_percentiles": f"WITH RECURSIVE {TOKENS}, {_SPELT}, x AS (SELECT list_sort(list(size)) AS k, count(*) AS n, round(avg(size), 6) AS mean FROM {bags_sql()}) SELECT n AS words, k[1]::INT AS least, mean, k[least(n * 50 // 100, n - 1) + 1]::INT AS p50, k[least(n * 90 // 100, n - 1) + 1]::INT AS p90, k[least(n * 99 // 100, n - 1) + 1]::INT AS p99, k[n]::INT AS most FROM x WHERE n > 0",
+    "top_collisions": f"WITH RECURSIVE {TOKENS}, {_SPELT}, g AS (SELECT bag, count(*) AS k, list_sort(list(w))[:8] AS ws FROM {bags_sql()} GROUP BY bag HAVING count(*) > 1) SELECT row_number() OVER (ORDER BY k DESC, bag) AS rank, bag, k, array_to_string(ws, ' ') AS words FROM g ORDER BY rank LIMIT 20",
+    "bag_collisions_by_lang": f"WITH RECURSIVE {TOKENS}, {_SPELT}, b AS {bags_sql()}, lw AS (SELECT DISTINCT coalesce(lang, '') AS lang, value AS w FROM tokens JOIN documents USING (doc_id) WHERE type = 'W') {collisions_sql('(SELECT lang, bag FROM lw JOIN b USING (w))', 'lang, ')}",
+    "peel_iteration_1": f"WITH {TOKENS}, {_DICT} SELECT length::INT AS length, kind, value, weight, rank FROM promoted",
+    "word_bags": f"WITH RECURSIVE {_BAGS} SELECT doc_id, sentence, idx, string_agg(part, ',' ORDER BY part) AS bag FROM held GROUP BY 1, 2, 3",
+    "bag_collisions": f"WITH {_SIGNED} SELECT words, bags, colliding_bags, colliding_words FROM ({collisions_sql('signed')})",
+    "encode_3f": f"WITH RECURSIVE {_SIGS} SELECT doc_id, sentence, idx, count(*) AS n_bits, sum(bit)::BIGINT AS bit_sum, sum(bit::BIGINT * bit)::BIGINT AS bit_squares FROM sig GROUP BY 1, 2, 3",
+    "bit_df": f"WITH RECURSIVE {_DF} SELECT bit, df FROM df",
+    "surprisal_weights": f"WITH RECURSIVE {_DF} SELECT bit, df, w FROM weights",
+    "info_content": f"WITH RECURSIVE {_SIGS} SELECT doc_id, sentence, idx, sum(w)::BIGINT AS ic FROM sig JOIN weights USING (bit) GROUP BY 1, 2, 3",
     "jaccard_sparse": "WITH s AS (SELECT item_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda w: length(w)::INT)) AS b FROM benchmark) SELECT x.item_id AS a, y.item_id AS b, round(coalesce(len(list_intersect(x.b, y.b)) / nullif(len(x.b) + len(y.b) - len(list_intersect(x.b, y.b)), 0), 0.0)::DOUBLE, 9) AS jaccard FROM s x JOIN s y ON x.item_id < y.item_id",
     "jaccard_dense": "WITH s AS (SELECT item_id, md5(text) AS m, [('0x' || substr(md5(text), 1, 15))::BIGINT, ('0x' || substr(md5(text), 17, 15))::BIGINT] AS b FROM benchmark) SELECT x.item_id AS a, y.item_id AS b, round(coalesce((bit_count(x.b[1] & y.b[1]) + bit_count(x.b[2] & y.b[2])) / nullif(bit_count(x.b[1] | y.b[1]) + bit_count(x.b[2] | y.b[2]), 0), 0.0)::DOUBLE, 9) AS jaccard FROM s x JOIN s y ON x.item_id < y.item_id",
     "gram": "WITH c AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT (a.k - 1)::INT AS i, (b.k - 1)::INT AS j, round(sum(a.x * b.x), 4) AS x FROM c a JOIN c b USING (vec_id) GROUP BY 1, 2",
 }
 
+for _k, _name in enumerate(("sig_before", "sig_current", "sig_after")):
+    SQL[_name] = _BAND_SUMS.format(_SIGS, _F, _k)
+_ORDERS = {"original": "part_id", "type": "movable, kind_, part_id", "type_level": "movable, kind_, level_, part_id", "level_type": "movable, level_, kind_, part_id"}
+_KEYED = "keyed AS (SELECT *, kind IN ('Start', 'Mid', 'End') AS movable, CASE kind WHEN 'Start' THEN 0 WHEN 'End' THEN 1 WHEN 'Mid' THEN 2 ELSE 0 END AS kind_, CASE WHEN kind IN ('Start', 'Mid', 'End') THEN -length(value) ELSE 0 END AS level_ FROM parts)"
+SQL["strategy_summary"] = f"WITH RECURSIVE {TOKENS}, {_DICT}, {_KEYED}, " + ", ".join(f"{n}_parts AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY {o}) - 1)::INT AS part_id, kind, value FROM keyed), {spelt_sql(n + '_parts', n)}" for n, o in _ORDERS.items()) + " " + " UNION ALL ".join(f"SELECT '{n}' AS strategy, * FROM ({collisions_sql(bags_sql(n))})" for n in _ORDERS)
+
 _MIXED = """
 kinds AS (SELECT DISTINCT unnest(['Whole', 'Start', 'End', 'Mid']) AS kind, unnest([t, substr(t, 1, 3), right(t, 3), substr(t, 4, 2 + length(t) % 3)]) AS value FROM (SELECT DISTINCT lower(p_type) AS t FROM part)),
 parts AS (SELECT (row_number() OVER (ORDER BY md5(kind || ' ' || value)) - 1)::INT AS part_id, kind, value FROM kinds WHERE value <> '')"""
@@ -169,7 +257,7 @@ s AS (SELECT conv_id * 1000 + turn AS id, list_sort(list_distinct(list_transform
 book AS (SELECT item_id::INT AS atom_id, list_sort(list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z]+'), lambda w: (length(w) * 26 + ascii(w) - 97)::INT)))[:24] AS bits FROM benchmark),
 sb AS (SELECT id, unnest(bits) AS bit FROM s), bb AS (SELECT atom_id, unnest(bits) AS bit FROM book),
 sdf AS (SELECT bit, count(*) AS df FROM sb GROUP BY bit),
-sw AS (SELECT bit, df, CASE WHEN max(x) OVER () <= 0 THEN 1 ELSE least(greatest(floor(1.5 + 15.0 * (x / max(x) OVER ())), 1), 16) END::INT AS w FROM (SELECT bit, df, round(ln((SELECT count(*) FROM s)::DOUBLE / df), 12) AS x FROM sdf)),
+sw AS (SELECT bit, df, CASE WHEN max(x) OVER () <= 0 THEN 1 ELSE least(greatest(floor(1.5 + 7.0 * (x / max(x) OVER ())), 1), 8) END::INT AS w FROM (SELECT bit, df, round(ln((SELECT count(*) FROM s)::DOUBLE / df), 12) AS x FROM sdf)),
 ics AS (SELECT atom_id, sum(w) AS ic FROM bb JOIN sw USING (bit) GROUP BY 1),
 scored AS (SELECT id, atom_id, sum(w)::BIGINT AS wdot, any_value(ic)::BIGINT AS ic FROM sb JOIN bb USING (bit) JOIN sw USING (bit) JOIN ics USING (atom_id) GROUP BY 1, 2 HAVING sum(w) > 0),
 best AS (SELECT id, arg_max(wdot, wdot / ic) AS bw, arg_max(ic, wdot / ic) AS bi FROM scored GROUP BY 1),
@@ -197,5 +285,5 @@ SQL |= {
     "surprisal": "SELECT DISTINCT l_discount::DOUBLE AS p, CASE WHEN l_discount > 0 THEN round(-ln(l_discount::DOUBLE), 9) ELSE 'inf'::DOUBLE END AS bits FROM lineitem",
     "bit_cooccurrence": f"WITH {_TALK} SELECT a.bit AS i, b.bit AS j, count(*) AS n FROM sb a JOIN sb b ON a.id = b.id AND a.bit <= b.bit GROUP BY 1, 2",
     "matmul": "WITH c AS (SELECT vec_id, unnest(range(0, len(embedding))) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE label = 0) SELECT a.vec_id AS row, b.vec_id AS col, round(sum(a.x * b.x), 5) AS x FROM c a JOIN c b USING (k) GROUP BY 1, 2",
-    "context_jaccard": f"WITH {_SIGS}, first_ AS (SELECT doc_id, value, sentence, min(idx) AS idx FROM segments WHERE type = 'W' GROUP BY 1, 2, 3), f AS (SELECT first_.*, list(bit) AS bits FROM first_ JOIN sig USING (doc_id, sentence, idx) GROUP BY ALL) SELECT x.doc_id AS item_id, x.value, x.sentence AS a, y.sentence AS b, round(len(list_intersect(x.bits, y.bits)) / (len(x.bits) + len(y.bits) - len(list_intersect(x.bits, y.bits)))::DOUBLE, 9) AS jaccard FROM f x JOIN f y ON x.doc_id = y.doc_id AND x.value = y.value AND x.sentence < y.sentence".replace("FROM documents WHERE text <> ''", "FROM (SELECT item_id AS doc_id, text FROM benchmark) WHERE text <> ''"),
+    "context_jaccard": f"WITH {SEGMENTS}, {_WORDS}, {_ATOMS_SPELT}, first_ AS (SELECT doc_id, value, sentence, min(idx) AS idx FROM segments WHERE type = 'W' GROUP BY 1, 2, 3), f AS (SELECT first_.*, list(bit) AS bits FROM first_ JOIN sig USING (doc_id, sentence, idx) GROUP BY ALL) SELECT x.doc_id AS item_id, x.value, x.sentence AS a, y.sentence AS b, round(len(list_intersect(x.bits, y.bits)) / (len(x.bits) + len(y.bits) - len(list_intersect(x.bits, y.bits)))::DOUBLE, 9) AS jaccard FROM f x JOIN f y ON x.doc_id = y.doc_id AND x.value = y.value AND x.sentence < y.sentence".replace("FROM documents WHERE text <> ''", "FROM (SELECT item_id AS doc_id, text FROM benchmark) WHERE text <> ''"),
 }

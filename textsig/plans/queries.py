@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tok
-from ..operators import codebook, dictionary, learner, matrices, signatures, thresholds
+from ..operators import codebook, dictionary, learner, matrices, signatures, thresholds, uniqueness
 from .oracles import SQL
-from .tables import ranked
+from .tables import ranked, spread, written
 
-SIZE = len(dictionary.atoms())
 _found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -22,26 +22,27 @@ def _query(f):  # noqa: ANN001, ANN202
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tok.tokens(_documents(spark, sf_dir))
+def _freq(spark: SparkSession, sf_dir: str, kind: str = "W") -> DataFrame:
+    return tok.counts(_documents(spark, sf_dir), kind)
 
 
-def _freq(spark: SparkSession, sf_dir: str, kind: str = "W") -> DataFrame:
-    return _tokens(spark, sf_dir).where(F.col("type") == kind).groupBy("value").agg(F.count("*").alias("n"))
+def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Word and delimiter frequencies, from one scan."""
+    both = written(tok.frequencies(_documents(spark, sf_dir)), "frequencies")
+    return tuple(both.where(F.col("type") == k).select("value", "n") for k in "WD")
 
 
 def _atoms(spark: SparkSession) -> DataFrame:
     return dictionary.numbered(spark, dictionary.atoms())
 
 
-def _bags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, sentence, idx, value, bag of words in terms of the fixed atoms, each distinct word decomposed once."""
-    words = _tokens(spark, sf_dir).where("type = 'W'").select("doc_id", "sentence", "idx", "value")
-    bags = dictionary.decomposed(words.select("value").distinct(), _atoms(spark)).select("value", "bag")
-    return words.join(bags, "value")
+def _dictionary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(word frequencies, dictionary after one round of peeling): what SQL can learn too."""
+    words, delims = _both(spark, sf_dir)
+    return words, dictionary.train(words, delims, 1)
 
 
 @_query
@@ -56,7 +57,7 @@ def ascii_lower(spark, sf_dir):
 
 @_query
 def tokenize(spark, sf_dir):
-    return _tokens(spark, sf_dir).select("doc_id", "idx", "type", "value")
+    return tok.tokens(_documents(spark, sf_dir), segmented=False)
 
 
 @_query
@@ -71,34 +72,46 @@ def delim_freq(spark, sf_dir):
 
 @_query
 def token_totals(spark, sf_dir):
-    word = F.col("type") == "W"
-    return _tokens(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count_if(word).alias("words"), F.count_if(~word).alias("delims"), F.countDistinct(F.when(word, F.col("value"))).alias("distinct_words"))
+    return tok.totals(_documents(spark, sf_dir))
+
+
+@_query
+def token_totals_all(spark, sf_dir):
+    """Over all documents."""
+    d = written(tok.totals(_documents(spark, sf_dir)), "totals")
+    distinct = _freq(spark, sf_dir).agg(F.count("*").alias("distinct_words"))
+    return d.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "words", "delims")]).crossJoin(distinct)  # a row each
+
+
+@_query
+def words_only(spark, sf_dir):
+    return tok.words(_documents(spark, sf_dir))
 
 
 @_query
 def sentence_ends(spark, sf_dir):
-    return _tokens(spark, sf_dir).where("ends").select("doc_id", "idx")
+    return tok.tokens(_documents(spark, sf_dir)).where("ends").select("doc_id", "idx")
 
 
 @_query
 def sentences(spark, sf_dir):
-    return _tokens(spark, sf_dir).groupBy("doc_id", "sentence").agg(F.min("idx").alias("start_tok"), (F.max("idx") + 1).alias("end_tok"))
+    return tok.spans(_documents(spark, sf_dir)).select("doc_id", F.col("span").alias("sentence"), "start_tok", "end_tok")
 
 
 @_query
 def paragraphs(spark, sf_dir):
-    return _tokens(spark, sf_dir).groupBy("doc_id", "paragraph").agg(F.min("idx").alias("start_tok"), (F.max("idx") + 1).alias("end_tok"))
+    return tok.spans(_documents(spark, sf_dir), "paragraph").select("doc_id", F.col("span").alias("paragraph"), "start_tok", "end_tok")
 
 
 @_query
 def candidate_count(spark, sf_dir):
-    return _tokens(spark, sf_dir).groupBy("doc_id").agg((2 * F.count_if(F.col("type") == "W")).alias("candidates"))
+    return tok.totals(_documents(spark, sf_dir)).select("doc_id", (2 * F.col("words")).alias("candidates"))
 
 
 @_query
 def multiscale_candidates(spark, sf_dir):
-    spans = F.array(F.struct(F.lit("sentence").alias("scale"), F.col("sentence").alias("span")), F.struct(F.lit("paragraph").alias("scale"), F.col("paragraph").alias("span")))
-    return _tokens(spark, sf_dir).where("type = 'W'").select("doc_id", F.explode(spans).alias("s")).groupBy("s.scale", "doc_id", "s.span").agg(F.count("*").alias("signatures"))
+    both = [tok.spans(_documents(spark, sf_dir), scale).select(F.lit(scale).alias("scale"), "doc_id", "span", F.col("words").alias("signatures")) for scale in ("sentence", "paragraph")]
+    return both[0].unionByName(both[1]).where("signatures > 0")
 
 
 @_query
@@ -130,17 +143,23 @@ def augment_set(spark, sf_dir):
 
 @_query
 def render_parts(spark, sf_dir):
-    return dictionary.rendered(_atoms(spark))
+    return dictionary.rendered(_dictionary(spark, sf_dir)[1])
 
 
 @_query
 def kind_counts(spark, sf_dir):
-    return _atoms(spark).groupBy("kind").agg(F.count("*").alias("n"))
+    return _dictionary(spark, sf_dir)[1].groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@_query
+def dict_ids(spark, sf_dir):
+    """The dictionary of one round of peeling."""
+    return _dictionary(spark, sf_dir)[1]
 
 
 def _seeded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    words = _freq(spark, sf_dir)
-    return words, dictionary.numbered(spark, [("Whole", r.value) for r in dictionary.whole_atoms(words).collect()] + dictionary.atoms())
+    words, delims = _both(spark, sf_dir)
+    return words, dictionary.seeded(words, delims)
 
 
 @_query
@@ -153,71 +172,148 @@ def peel_iteration_1(spark, sf_dir):
     return dictionary.peel(*_seeded(spark, sf_dir)).select("length", "kind", "value", "weight", "rank")
 
 
-def _trained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dictionary.train(_freq(spark, sf_dir), _freq(spark, sf_dir, "D"))
+@_query
+def peel_iteration_2(spark, sf_dir):
+    return dictionary.peel(*_dictionary(spark, sf_dir)).select("length", "kind", "value", "weight", "rank")
+
+
+@_query
+def singleton_runs(spark, sf_dir):
+    return dictionary.unclaimed(*_dictionary(spark, sf_dir)).select("value", "a", "b")
+
+
+def _trained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    words, delims = _both(spark, sf_dir)
+    return words, dictionary.train(words, delims)
 
 
 @_query
 def train_dictionary(spark, sf_dir):
-    return _trained(spark, sf_dir)
+    """All rounds."""
+    return _trained(spark, sf_dir)[1]
 
 
 @_query
 def decompose_words(spark, sf_dir):
-    return dictionary.decomposed(_freq(spark, sf_dir), _trained(spark, sf_dir))
+    d = dictionary.decomposed(*_dictionary(spark, sf_dir))
+    return d.select("value", "n", F.array_join("part_ids", ",").alias("part_ids"), F.array_join("bag", ",").alias("bag"))
+
+
+@_query
+def decompose_words_trained(spark, sf_dir):
+    return dictionary.decomposed(*_trained(spark, sf_dir))
+
+
+@_query
+def decompose_delims(spark, sf_dir):
+    """In terms of the fixed signs alone, so that most fall into signs."""
+    d = dictionary.decomposed_delimiters(_freq(spark, sf_dir, "D"), _atoms(spark))
+    return d.select("value", "n", F.array_join("part_ids", ",").alias("part_ids"))
+
+
+@_query
+def bag_size_percentiles(spark, sf_dir):
+    return uniqueness.sizes(dictionary.decomposed(*_dictionary(spark, sf_dir)))
+
+
+@_query
+def top_collisions(spark, sf_dir):
+    g = uniqueness.largest(dictionary.decomposed(*_dictionary(spark, sf_dir)))
+    return g.select("rank", F.array_join("bag", ",").alias("bag"), "k", F.array_join("words", " ").alias("words"))
+
+
+@_query
+def bag_collisions_by_lang(spark, sf_dir):
+    """Collisions among the words of each language."""
+    _, parts = _dictionary(spark, sf_dir)
+    docs = _documents(spark, sf_dir)
+    words = tok.words(docs.withColumn("lang", F.coalesce("lang", F.lit(""))), key="lang").select("lang", "value").distinct()
+    return uniqueness.collisions(dictionary.decomposed(words, parts), ["lang"])
 
 
 @_query
 def strategy_summary(spark, sf_dir):
     """How well bags tell words apart under the dictionary's four orders."""
-    words, parts = _freq(spark, sf_dir), _trained(spark, sf_dir)
-    out = None
-    for by in ("original", "type", "type_level", "level_type"):
-        p = parts if by == "original" else dictionary.reordered(parts, by)
-        bags = dictionary.decomposed(words, p).groupBy("bag").agg(F.count("*").alias("k"))
-        one = bags.agg(F.sum("k").alias("words"), F.count("*").alias("bags"), F.sum(F.when(F.col("k") > 1, F.col("k")).otherwise(0)).alias("colliding_words")).withColumn("strategy", F.lit(by))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return uniqueness.strategies(*_dictionary(spark, sf_dir))
+
+
+@_query
+def strategy_summary_trained(spark, sf_dir):
+    """The same for the dictionary of all rounds."""
+    return uniqueness.strategies(*_trained(spark, sf_dir))
 
 
 @_query
 def word_bags(spark, sf_dir):
-    return _bags(spark, sf_dir).select("doc_id", "sentence", "idx", F.array_join("bag", ",").alias("bag"))
+    return signatures.bags(_documents(spark, sf_dir), _dictionary(spark, sf_dir)[1]).select("doc_id", "sentence", "idx", F.array_join("bag", ",").alias("bag"))
 
 
 @_query
 def bag_collisions(spark, sf_dir):
-    words = dictionary.decomposed(_freq(spark, sf_dir), _atoms(spark))
-    bags = words.groupBy("bag").agg(F.count("*").alias("k"))
-    return bags.agg(F.sum("k").alias("words"), F.count("*").alias("bags"), F.count_if(F.col("k") > 1).alias("colliding_bags"), F.coalesce(F.sum(F.when(F.col("k") > 1, F.col("k"))), F.lit(0)).alias("colliding_words"))
+    return uniqueness.collisions(dictionary.decomposed(_freq(spark, sf_dir), _atoms(spark)), []).select("words", "bags", "colliding_bags", "colliding_words")
 
 
-def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = signatures.encoded(_bags(spark, sf_dir), SIZE, ["doc_id", "sentence"])
-    return s.select("doc_id", "sentence", "idx", F.concat("before", "current", "after").alias("bits"))
+def _sums(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    bit = np.arange(3 * parts.count())
+    return signatures.summed_texts(docs, parts, {"n_bits": np.ones_like(bit), "bit_sum": bit, "bit_squares": bit * bit})
 
 
 @_query
 def encode_3f(spark, sf_dir):
-    total = lambda f: F.aggregate("bits", F.lit(0).cast("long"), f)
-    return _signatures(spark, sf_dir).select("doc_id", "sentence", "idx", F.size("bits").cast("long").alias("n_bits"), total(lambda a, x: a + x).alias("bit_sum"), total(lambda a, x: a + x.cast("long") * x).alias("bit_squares"))
+    """Number, sum and sum of squares of the bits of each word's signature."""
+    return _sums(_documents(spark, sf_dir), _dictionary(spark, sf_dir)[1])
+
+
+@_query
+def encode_3f_trained(spark, sf_dir):
+    """The signatures themselves, in terms of the dictionary of all rounds."""
+    return signatures.encoded_texts(_documents(spark, sf_dir), _trained(spark, sf_dir)[1])
+
+
+def _band(low: int):  # noqa: ANN202
+    def run(spark, sf_dir):
+        parts = _dictionary(spark, sf_dir)[1]
+        size = parts.count()
+        inside = np.zeros(3 * size, np.int64)
+        inside[low * size : (low + 1) * size] = 1
+        return signatures.summed_texts(_documents(spark, sf_dir), parts, {"n_bits": inside, "bit_sum": inside * np.arange(3 * size)})
+
+    run.__name__ = f"sig_{('before', 'current', 'after')[low]}"
+    return _query(run)
+
+
+for _k in range(3):
+    _band(_k)
 
 
 @_query
 def bit_df(spark, sf_dir):
-    return signatures.frequencies(_bags(spark, sf_dir), SIZE, ["doc_id", "sentence"])
+    return signatures.text_frequencies(_documents(spark, sf_dir), _dictionary(spark, sf_dir)[1]).where("bit >= 0")
+
+
+def _weights(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    df = written(signatures.text_frequencies(docs, parts), "bit-frequencies")
+    n = df.where("bit = -1").first()
+    return written(signatures.surprisal_weights(df.where("bit >= 0"), n.df if n else 0), "bit-weights")
 
 
 @_query
 def surprisal_weights(spark, sf_dir):
-    n = _tokens(spark, sf_dir).where("type = 'W'").count()
-    return signatures.surprisal_weights(bit_df(spark, sf_dir), n)
+    return _weights(_documents(spark, sf_dir), _dictionary(spark, sf_dir)[1])
+
+
+def _by_bit(weights: DataFrame, dim: int) -> np.ndarray:
+    """The weights as an array: a number for each bit of a dictionary that goes to all tasks itself."""
+    out = np.zeros(dim, np.int64)
+    for r in weights.select("bit", "w").collect():
+        out[r.bit] = r.w
+    return out
 
 
 @_query
 def info_content(spark, sf_dir):
-    bits = _signatures(spark, sf_dir).select("doc_id", "sentence", "idx", F.explode("bits").alias("bit"))
-    return signatures.information(bits, F.broadcast(surprisal_weights(spark, sf_dir)), ["doc_id", "sentence", "idx"])  # weights: 3 * SIZE rows
+    docs, parts = _documents(spark, sf_dir), _dictionary(spark, sf_dir)[1]
+    return signatures.summed_texts(docs, parts, {"ic": _by_bit(_weights(docs, parts), 3 * parts.count())})
 
 
 def _pairs(spark: SparkSession, sf_dir: str, bits) -> DataFrame:  # noqa: ANN001
@@ -247,7 +343,8 @@ def gram(spark, sf_dir):
 @_query
 def fd_singular_values(spark, sf_dir):
     """Of the sentence signatures' sketch."""
-    values, _ = matrices.sketched(_signatures(spark, sf_dir), "bits", 3 * SIZE, 64).finish()
+    parts = _dictionary(spark, sf_dir)[1]
+    values, _ = matrices.sketched(signatures.encoded_texts(_documents(spark, sf_dir), parts), "bits", 3 * parts.count(), 64).finish()
     return spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "k int, sigma double")
 
 
@@ -255,7 +352,7 @@ def fd_singular_values(spark, sf_dir):
 def pursuit_encode(spark, sf_dir):
     """Words' bags in terms of a codebook of the benchmark items' letters."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("long").alias("doc_id"), "text")
-    words = dictionary.decomposed(tok.tokens(items).where("type = 'W'").select("doc_id", "value"), _atoms(spark))
+    words = dictionary.decomposed(tok.words(items).select("doc_id", "value"), _atoms(spark))
     book = codebook.normalised(words.groupBy(F.col("doc_id").cast("int").alias("atom_id")).agg(F.flatten(F.collect_list("bag")).alias("bits")), 32)
     bags = dictionary.decomposed(_freq(spark, sf_dir), _atoms(spark))
     df = bags.select(F.explode("bag").alias("bit")).groupBy("bit").agg(F.count("*").alias("df"))
@@ -411,9 +508,8 @@ def matmul_whole(spark, sf_dir):
 def context_jaccard(spark, sf_dir):
     """Signatures of a word that occurs in several sentences of an item, pair by pair."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    words = tok.tokens(items, key="item_id").where("type = 'W'").select("item_id", "sentence", "idx", "value")
-    bags = words.join(dictionary.decomposed(words.select("value").distinct(), _atoms(spark)).select("value", "bag"), "value")
-    s = signatures.encoded(bags, SIZE, ["item_id", "sentence"]).join(words, ["item_id", "sentence", "idx"]).select("item_id", "sentence", "idx", "value", F.concat("before", "current", "after").alias("bits"))
+    words = signatures.bags(items, _atoms(spark), key="item_id")
+    s = signatures.encoded(words, len(dictionary.atoms()), ["item_id", "sentence"]).join(words.select("item_id", "sentence", "idx", "value"), ["item_id", "sentence", "idx"]).select("item_id", "sentence", "idx", "value", F.concat("before", "current", "after").alias("bits"))
     s = s.groupBy("item_id", "value", "sentence").agg(F.min_by("bits", "idx").alias("bits"))
     a, b = (s.select("item_id", "value", F.col("sentence").alias(f"{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
     return a.join(b, ["item_id", "value"]).where("a < b").select("item_id", "value", "a", "b", F.round(signatures.jaccard(F.col("bits_a"), F.col("bits_b")), 9).alias("jaccard"))

@@ -16,12 +16,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared and not _own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         _own.append("file://" + tempfile.mkdtemp(prefix="textsig-"))
     path = f"{(shared or _own[0]).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, least: int = 8 << 20) -> DataFrame:
+    """df in as many partitions as there are cores, where it is a table of so little (`least` bytes a core) that its files may be one task's work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < least * cores
+    return df.repartition(cores) if small else df
+
+
 def ranked(df: DataFrame, *order: Column | str) -> DataFrame:
     """df with rank from 1 in a total order: a range-partitioned sort, and the number of rows in the partitions before each."""
     places = F.monotonically_increasing_id()
