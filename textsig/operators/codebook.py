@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import written
+
 NUMERATOR, DENOMINATOR, MOST_FIRED = 9, 10, 32
+#: Bits of a codebook, over all atoms, that may go to every task.
+CELLS = 20_000_000
 
 
 def normalised(atoms: DataFrame, width: int) -> DataFrame:
@@ -33,16 +36,24 @@ def scores(bits: DataFrame, codebook: DataFrame, weights: DataFrame) -> DataFram
 
 def first_round(bits: DataFrame, codebook: DataFrame, weights: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """id, atom_id: atoms whose match reaches num / den of the best one's, by exact integers."""
-    s = scores(bits, codebook, weights).withColumn("ratio", F.col("wdot").cast("decimal(18,0)") / F.col("ic").cast("decimal(18,0)"))
+    return best_of(scores(bits, codebook, weights), num, den)
+
+
+def best_of(s: DataFrame, num: int, den: int) -> DataFrame:
+    """id, atom_id of the scores that reach num / den of their signature's best."""
+    s = s.withColumn("ratio", F.col("wdot").cast("decimal(18,0)") / F.col("ic").cast("decimal(18,0)"))
     best = s.groupBy("id").agg(F.max_by(F.struct("wdot", "ic"), F.col("ratio")).alias("best"))
     return s.join(best, "id").where(F.col("wdot") * den * F.col("best.ic") >= F.lit(num) * F.col("best.wdot") * F.col("ic")).select("id", "atom_id")
 
 
-def pursuit(signatures: DataFrame, codebook: DataFrame, weights: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, most: int = MOST_FIRED) -> DataFrame:
-    """id, atoms: rounds of matching the bits not yet covered. signatures: id, bits. The codebook, of a set number of atoms, goes to
-    every executor."""
+def pursuit(signatures: DataFrame, codebook: DataFrame, weights: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, most: int = MOST_FIRED, cells: int = CELLS) -> DataFrame:
+    """id, atoms: rounds of matching the bits not yet covered. signatures: id, bits. A codebook of up to CELLS bits in all goes to every executor; a larger
+    one is joined round by round."""
+    if (codebook.agg(F.sum(F.size("bits"))).first()[0] or 0) > cells:
+        return pursuit_by_joins(signatures, codebook, weights, num, den, most)
     atoms = {r.atom_id: tuple(r.bits) for r in codebook.collect()}
-    w = {r.bit: int(r.w) for r in weights.select("bit", "w").collect()}
+    held = codebook.select(F.explode("bits").alias("bit")).distinct()
+    w = {r.bit: int(r.w) for r in weights.select("bit", "w").join(held, "bit").collect()}  # of the codebook's bits
     by_bit: dict[int, list[int]] = {}
     for k, bits in atoms.items():
         for e in bits:
@@ -79,6 +90,41 @@ def pursuit(signatures: DataFrame, codebook: DataFrame, weights: DataFrame, num:
     return signatures.select(F.col("id").cast("long").alias("id"), "bits").mapInArrow(encode, "id long, atoms array<int>")
 
 
+def pursuit_by_joins(signatures: DataFrame, codebook: DataFrame, weights: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, most: int = MOST_FIRED) -> DataFrame:
+    """As `pursuit`, for codebooks of any size: each round is a join of the bits not yet covered with the atoms that hold them, and a written table."""
+    given = signatures.select(F.col("id").cast("long").alias("id"), "bits")
+    left = written(given.select("id", F.explode("bits").alias("bit")).distinct(), "pursuit-left")
+    fired = left.select("id", F.lit(None).cast("int").alias("atom_id")).limit(0)
+    order = Window.partitionBy("id").orderBy("atom_id")
+    while True:
+        s = scores(left, codebook, weights).join(fired, ["id", "atom_id"], "left_anti")
+        new = best_of(s, num, den).join(fired.groupBy("id").agg(F.count("*").alias("n")), "id", "left").na.fill(0, ["n"])
+        new = written(new.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.lit(most) - F.col("n")).select("id", "atom_id"), "pursuit-new")
+        if new.isEmpty():
+            break
+        fired = written(fired.unionByName(new), "pursuit-fired")
+        covered = new.join(codebook, "atom_id").select("id", F.explode("bits").alias("bit")).distinct()
+        left = written(left.join(covered, ["id", "bit"], "left_anti"), "pursuit-left")
+    got = fired.groupBy("id").agg(F.array_sort(F.collect_list("atom_id")).alias("atoms"))
+    return given.select("id").join(got, "id", "left").select("id", F.coalesce("atoms", F.array().cast("array<int>")).alias("atoms"))
+
+
+def accumulated(bits: DataFrame, fired: DataFrame, weights: DataFrame) -> DataFrame:
+    """atom_id, bit, mass: the weights of the bits of the signatures for which each atom fired. bits: id, bit; fired: id, atom_id."""
+    long = bits.join(weights.select("bit", "w"), "bit")
+    return fired.select("id", "atom_id").join(long, "id").groupBy("atom_id", "bit").agg(F.sum("w").cast("double").alias("mass"))
+
+
+def quality(bits: DataFrame, fired: DataFrame, codebook: DataFrame, weights: DataFrame) -> DataFrame:
+    """atoms, used, utilisation (the share of atoms that fire at all), mean_recall (of the weight of each signature that has any, the share its fired atoms
+    cover, on average). bits: id, bit; fired: id, atom_id."""
+    used = codebook.select("atom_id").join(fired.select("atom_id").distinct().withColumn("hit", F.lit(1)), "atom_id", "left").agg(F.count("*").alias("atoms"), F.count("hit").alias("used"))
+    covered = fired.join(codebook, "atom_id").select("id", F.explode("bits").alias("bit")).distinct().withColumn("hit", F.lit(True))
+    w = bits.join(weights.select("bit", "w"), "bit").join(covered, ["id", "bit"], "left")
+    recall = w.groupBy("id").agg(F.sum("w").alias("ic"), F.sum(F.when(F.col("hit"), F.col("w")).otherwise(0)).alias("wd")).where("ic > 0").agg(F.coalesce(F.avg(F.col("wd") / F.col("ic")), F.lit(0.0)).alias("mean_recall"))
+    return used.withColumn("utilisation", F.coalesce(F.col("used") / F.nullif("atoms", F.lit(0)), F.lit(0.0))).crossJoin(recall)  # a row each
+
+
 def reconstruction(truth: DataFrame, recon: DataFrame, weights: DataFrame, size: int) -> DataFrame:
     """id and weighted recall and precision by band (left, current, right) and in all; an empty band counts as 1. truth, recon: id, bit."""
     t = truth.select("id", "bit", F.lit(True).alias("t"))
@@ -96,9 +142,3 @@ def reconstruction(truth: DataFrame, recon: DataFrame, weights: DataFrame, size:
 def bit_degree(codebook: DataFrame) -> DataFrame:
     """bit, atoms: the number of atoms that hold it."""
     return codebook.select(F.explode("bits").alias("bit"), "atom_id").groupBy("bit").agg(F.countDistinct("atom_id").alias("atoms"))
-
-
-def as_array(bits: list[int], dim: int) -> np.ndarray:
-    out = np.zeros(dim, np.float32)
-    out[[b for b in bits if b < dim]] = 1
-    return out

@@ -6,6 +6,7 @@ read by one task each.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -47,8 +48,11 @@ def escape(value: str) -> str:
     return "".join(named.get(c) or (f"\\x{ord(c):02X}" if c < " " or c == "\x7f" else c) for c in value)
 
 
-def unescape(value: str) -> str:
+def unescape(value: str, hexadecimal: bool = True) -> str:
+    """hexadecimal: whether \\xHH is a character; the older form has only the named ones."""
     named = {"n": "\n", "t": "\t", "r": "\r", "\\": "\\"}
+    if not hexadecimal:
+        return re.sub(r"\\([ntr\\])", lambda m: named[m[1]], value)
     return re.sub(r"\\(?:x([0-9A-Fa-f]{2})|([ntr\\]))", lambda m: chr(int(m[1], 16)) if m[1] else named[m[2]], value)
 
 
@@ -122,7 +126,7 @@ def from_table(text: str) -> list[Part]:
             _, kind, value = line.split("\t", 2)
             if kind not in _CODES:
                 raise ValueError(f"kind {kind} is not known")
-            out.append((kind, unescape(value)))
+            out.append((kind, unescape(value, hexadecimal=False)))
     return list(dict.fromkeys(out))
 
 
@@ -144,10 +148,16 @@ def from_blocks(data: bytes) -> list[Part]:
         raise ValueError("version or number of kinds is not known")
     at, out = 12, []
     for _ in range(kinds):
+        if at + 8 > len(data):
+            raise ValueError("the file is cut short")
         code, count = struct.unpack_from("<B3xI", data, at)
+        if not 1 <= code <= len(_BLOCKS):
+            raise ValueError(f"kind {code} is not known")
         at += 8
         for _ in range(count):
-            (size,) = struct.unpack_from("<H", data, at)
+            size = struct.unpack_from("<H", data, at)[0] if at + 2 <= len(data) else 0
+            if at + 2 + size > len(data):
+                raise ValueError("the file is cut short")
             out.append((_BLOCKS[code - 1], data[at + 2 : at + 2 + size].decode()))
             at += 2 + size
     return out
@@ -195,6 +205,8 @@ def codebook_from_bytes(data: bytes) -> tuple[list[list[int]], int, int]:
 def signature_bytes(bits: list[int], dim: int) -> bytes:
     """One record: for each chunk of 65535 bits, how many are set and which."""
     a = np.asarray(bits, np.int64)
+    if len(a) and (a.min() < 0 or a.max() >= dim):
+        raise ValueError(f"a signature has bits beyond {dim}")
     chunk, local = a // CHUNK, (a % CHUNK).astype("<u2")
     return b"".join(struct.pack("<I", int((chunk == c).sum())) + local[chunk == c].tobytes() for c in range(-(-dim // CHUNK)))
 
@@ -243,6 +255,29 @@ def read_signatures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(cut, "file string, sig_id long, bits array<int>")
 
 
+def report(df: DataFrame, path: str, digits: int = 4) -> None:
+    """A small table as lines of tab-separated columns under their names, numbers with so many digits: the report of a run."""
+    rows = df.collect()
+    shown = lambda v: f"{v:.{digits}f}" if isinstance(v, float) else "" if v is None else " ".join(map(str, v)) if isinstance(v, list) else str(v)
+    with open(path, "w") as f:
+        f.write("".join("\t".join(x) + "\n" for x in [df.columns, *([shown(v) for v in r] for r in rows)]))
+
+
+def cached_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """A dictionary of a text file, by way of a binary file of the same name ending in .bin: that is read where it is there and no older than
+    the text, and else written. A binary file that can't be read is written anew."""
+    binary = path.rsplit(".", 1)[0] + ".bin" if "." in os.path.basename(path) else path + ".bin"
+    if path != binary and os.path.exists(binary) and os.path.getmtime(binary) >= os.path.getmtime(path):
+        try:
+            return load_dictionary(spark, binary)
+        except ValueError:
+            pass
+    parts = load_dictionary(spark, path)
+    if path != binary:
+        save_dictionary(parts, binary)
+    return parts
+
+
 def save_dictionary(parts: DataFrame, path: str) -> None:
     """As text, or binary where the name ends in .bin."""
     own = parts_of(parts)
