@@ -9,19 +9,20 @@ A pair of Jaccard t or more differs in at most D = (1-t)/(1+t) * (|x|+|y|) n-gra
   rarest n-gram, from a count sketch over all documents, then hash). If x and y shared none of these, D-2k+1 of x's segments
   would differ from y's, one n-gram each, which is more than is left.
 
-Sets that share an entry are held against each other there and then, where they are few: by size, and by parity sketches (the
-parity of the number of n-grams in each of about as many hash buckets as the set has n-grams; sets differ in at least as many
-n-grams as their sketches do in bits), which travel with the entries, once for all that a set has in one part of the index.
-A pair need only be found by the first entry in the global order that its sets share, so an entry counts no longer for a pair
-whose sets have too many segments of one n-gram before it: none of these is shared, and each is a difference.
+Sets that share an entry are held against each other there and then, where they are few, by size. A pair need only be found by the
+first entry in the global order that its sets share, so an entry counts no longer for a pair whose sets have too many segments of
+one n-gram before it: none of these is shared, and each is a difference. An entry
+travels with its place, six bytes in all, and the fingerprint and size of a set once for all of its entries in one part of the index: from 7 bytes an
+entry where there are few parts to 20 where there are as many as a set has entries.
 
 m and k of each band minimise the expected index entries plus expected hits (`allocate`). Candidates that share an entry gather in blocks named
-by the least fingerprint; blocks over TILE sets are cut into tiles, each pair of which is one piece of work. There first the
-sets' n-gram counts by hash bucket are compared, whose difference is at most that of the sets, so that sets without a
-possible partner drop out at a sixteenth of the bytes; then every pair left in a block is verified exactly by products of 0/1
-matrices of the n-grams (48-bit hashes).
+by the least fingerprint; blocks over TILE sets or TILE_BYTES are cut into tiles, each pair of which is one piece of work. There first the
+sets' n-gram counts by hash bucket are compared, whose difference is at most that of the sets: what these leave of a block's pairs
+links sets to new, smaller blocks, at a sixteenth of the bytes; then every pair in these is verified exactly by products of 0/1
+matrices of the n-grams (48-bit hashes). What is asked of the pairs (`links`, `keep_one`) is counted where they are verified, so
+that a group of near copies is never written out as pairs.
 
-Equal sets have one fingerprint and travel once. Index entries go through the shuffle packed, some 7 bytes each.
+Equal sets have one fingerprint and travel once.
 
 Defined results: a text of fewer than n words has one n-gram, of all its words; a null, empty or wordless text matches
 nothing; rows without doc_id are in no pair; rows that repeat a doc_id pair with others once, never with each other; further columns are ignored.
@@ -35,16 +36,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .shared import released, written
+from .shared import written
 
 N, THRESHOLD = 2, 0.7
-BANDS, SKETCH = 24, 1 << 16
-#: Index entries in a task, sets in a tile of a block, bytes of sets in a group of blocks, and row ids that may be broadcast (8 bytes each).
-ENTRIES, TILE, GROUP_BYTES, BROADCAST_ROWS = 5_000_000, 1024, 12_000_000, 4_000_000
+BANDS = 24
+#: Buckets of the count sketch, in chunks of CHUNK, of which FAN are added up at a time.
+SKETCH, CHUNK, FAN = 1 << 24, 1 << 16, 64
+#: Index entries in a part, sets and bytes of sets in a tile of a block, bytes of sets in a group of blocks, and row ids that may be broadcast (8 bytes each).
+ENTRIES, TILE, TILE_BYTES, GROUP_BYTES, BROADCAST_ROWS = 4_000_000, 8192, 16_000_000, 12_000_000, 4_000_000
+#: Sets that are held against each other in one matrix product.
+SQUARE = 1024
+#: Index entries, or n-grams to be counted, that a task holds before it packs them.
+PACK = 1 << 22
 #: Sets of an index entry up to which its pairs are compared one by one.
 FEW = 128
 #: Turns in which a part of the index is worked off, for the sake of memory.
@@ -82,51 +90,20 @@ def _profiles(row: np.ndarray, h: np.ndarray, size: np.ndarray) -> list[bytes]:
     return [data[ends[i] : ends[i + 1]] if size[i] else b"" for i in range(len(size))]
 
 
-def _words(size: np.ndarray) -> np.ndarray:
-    """64-bit words of a set's parity sketch, a power of two."""
-    return 1 << np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) * 0.9)).astype(np.int64) - 6)
-
-
-def _parities(row: np.ndarray, h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words of all sets' parity sketches, offsets); the bucket is in the lower bits, so halves of a sketch fold by XOR."""
-    words = _words(size)
-    ends = np.concatenate([[0], np.cumsum(words)])
-    mixed = vec.mix(h + U(0x2545F4914F6CDD1D))
-    at = 64 * ends[row] + (mixed & (64 * words[row] - 1).astype(np.uint64)).astype(np.int64)
-    odd = (np.bincount(at, minlength=64 * ends[-1]) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view(np.uint64), ends
-
-
-def _close(a: np.ndarray, b: np.ndarray, size: np.ndarray, marks: np.ndarray, ends: np.ndarray, threshold: float) -> np.ndarray:
-    """Which of the pairs (a, b) of sets neither size nor parity sketch rules out."""
-    low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-    out = low >= threshold * high - 1e-9
-    words = _words(size)
-    least, most = np.minimum(words[a], words[b]), np.maximum(words[a], words[b])
-    share = (1 - threshold) / (1 + threshold)
-    for w in np.unique(least[out]):
-        mine = np.flatnonzero(out & (least == w) & (most <= 2 * w))
-        for i in range(0, len(mine), max(1, (1 << 18) // int(w))):
-            k = mine[i : i + max(1, (1 << 18) // int(w))]
-            apart = np.zeros(len(k), np.int64)
-            both = []
-            for side in (a[k], b[k]):
-                x = marks[ends[side][:, None] + np.arange(w)]
-                more = words[side] > w
-                x[more] ^= marks[ends[side[more]][:, None] + w + np.arange(w)]
-                both.append(x)
-            apart = np.bitwise_count(both[0] ^ both[1]).sum(axis=1, dtype=np.int64)
-            out[k] = apart <= np.floor(share * (low[k] + high[k]) + 1e-9)
-    return out
+def _possible(profiles: list[bytes], size: np.ndarray, threshold: float) -> np.ndarray:
+    """The least place that each set is linked with, by way of others too, by pairs that their profiles don't rule out."""
+    label, bits = np.arange(len(size)), _bits(size)
 
+    def join(which: np.ndarray) -> None:
+        some = np.unique(label[which])
+        if len(some) > 1:
+            label[np.isin(label, some[1:])] = some[0]
 
-def _possible(profiles: list[bytes], size: np.ndarray, threshold: float) -> np.ndarray:
-    """Which of the sets have another that their profiles don't rule out."""
-    out, bits = np.zeros(len(size), bool), _bits(size)
     share = (1 - threshold) / (1 + threshold)
     read = lambda which: np.frombuffer(b"".join(profiles[i] for i in which), np.uint8).reshape(len(which), -1).astype(np.int16)
     low = np.flatnonzero(size < 1 / max(1e-9, 1 - threshold) + 8)  # few buckets: these are left to the exact check
-    out[low] = True
+    if len(low):
+        join(low)
     for b in np.unique(bits):
         mine, more = np.flatnonzero(bits == b), np.flatnonzero(bits == b + 1)
         both = np.concatenate([mine, more])
@@ -137,38 +114,97 @@ def _possible(profiles: list[bytes], size: np.ndarray, threshold: float) -> np.n
             apart = np.abs(x[i + 1 :] - x[i]).sum(axis=1, dtype=np.int64)
             hit = np.flatnonzero(apart <= np.floor(share * (size[both[i]] + size[both[i + 1 :]]) + 1e-9))
             if len(hit):
-                out[both[i]] = True
-                out[both[i + 1 + hit]] = True
-    return out
+                join(both[np.append(hit + i + 1, i)])
+    return label
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts as compressed byte planes, of which the upper ones are nearly empty."""
+    return pa.compress(np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * CHUNK, "zstd", asbytes=True), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
 def fingerprints(docs: DataFrame, n: int = N) -> DataFrame:
-    """row_id, doc_id, fp, size and profile of the n-gram set of each row; and, with doc_id and fp null, count sketches of the n-grams of all sets."""
+    """row_id, doc_id, fp, size and profile of the n-gram set of each row; and, with fp null, each task's count sketch of the n-grams of
+    all its sets (task, chunk, counts)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, np.int64)
+        held, some = [], 0
+
+        def flush() -> pa.RecordBatch:
+            at = np.sort(np.concatenate(held))
+            cuts = np.searchsorted(at, np.arange(0, SKETCH + 1, CHUNK))
+            full = np.flatnonzero(np.diff(cuts))
+            packs = [_packed(np.bincount(at[cuts[c] : cuts[c + 1]] - c * CHUNK, minlength=CHUNK)) for c in full]
+            nothing = [pa.nulls(len(full), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())]
+            task = pa.array(np.full(len(full), TaskContext.get().partitionId(), np.int32))
+            return pa.RecordBatch.from_arrays([*nothing, task, pa.array(full.astype(np.int32)), pa.array(packs, pa.binary())], names=names)
+
         for batch in vec.sliced(batches):
             fp, size, profile = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int32), []
             for a, b, row, h, each in _sets(batch.column("text"), n):
                 fp[a:b], size[a:b] = _fingerprints(row, h, each), each
                 profile += _profiles(row, h, each)
-                counts += np.bincount((h & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("doc_id"), pa.array(fp), pa.array(size), pa.array(profile, pa.binary()), pa.nulls(len(fp), pa.list_(pa.int64()))], names=["row_id", "doc_id", "fp", "size", "profile", "counts"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 3 + [pa.array([None], pa.int32()), pa.array([None], pa.binary()), pa.array([counts.tolist()], pa.list_(pa.int64()))], names=["row_id", "doc_id", "fp", "size", "profile", "counts"])
+                held.append((h & U(SKETCH - 1)).astype(np.int32))
+                some += len(h)
+            if some > PACK:
+                yield flush()
+                held, some = [], 0
+            nothing = [pa.nulls(len(fp), t) for t in (pa.int32(), pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("doc_id"), pa.array(fp), pa.array(size), pa.array(profile, pa.binary()), *nothing], names=names)
+        if some:
+            yield flush()
+
+    names = ["row_id", "doc_id", "fp", "size", "profile", "task", "chunk", "counts"]
+    return numbered(docs).mapInArrow(scan, "row_id long, doc_id long, fp long, size int, profile binary, task int, chunk int, counts binary")
+
+
+def frequencies(found: DataFrame) -> np.ndarray:
+    """Of each bucket of the count sketch of all sets, twice the binary logarithm of its count (63 at most): SKETCH bytes, whatever the input.
+    The tasks' sketches are added up in a tree, those of FAN tasks at a time."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(_unpacked(x.as_py()) for x in table.column("counts"))
+        return pa.table({"task": table.column("task").slice(0, 1), "chunk": table.column("chunk").slice(0, 1), "counts": pa.array([_packed(total)], pa.binary())})
+
+    part = found.where("chunk is not null").select("task", "chunk", "counts")
+    tasks = part.agg(F.max("task")).first()[0]
+    if tasks is None:
+        return np.zeros(SKETCH, np.uint8)
+    tasks += 1
+    while True:
+        part = part.withColumn("task", F.expr(f"cast(task div {FAN} as int)")).groupBy("chunk", "task").applyInArrow(add, "task int, chunk int, counts binary")
+        tasks = -(-tasks // FAN)
+        if tasks == 1:
+            break
+        part = written(part, "near-counts")
 
-    return numbered(docs).mapInArrow(scan, "row_id long, doc_id long, fp long, size int, profile binary, counts array<long>")
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = [np.minimum(63, 2 * np.log2(np.maximum(_unpacked(x.as_py()), 1))).astype(np.uint8).tobytes() for x in b.column("counts")]
+            yield pa.RecordBatch.from_arrays([b.column("chunk"), pa.array(codes, pa.binary())], names=["chunk", "codes"])
+
+    out = np.zeros((SKETCH // CHUNK, CHUNK), np.uint8)
+    for r in part.mapInArrow(code, "chunk int, codes binary").collect():  # SKETCH bytes
+        out[r.chunk] = np.frombuffer(r.codes, np.uint8)
+    return out.ravel()
 
 
 def numbered(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
-def allocate(counts: np.ndarray, threshold: float, segments: float | None = None, deletions: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def allocate(codes: np.ndarray, threshold: float, segments: float | None = None, deletions: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(m, k) of each band: the cheapest of a few numbers of segments and of one-deletion neighbourhoods, where an index entry
     costs 1 and a hit 0.1. The frequency of an n-gram is its sketch count beyond the median, which is what others add to it."""
-    total = max(1, counts.sum())
-    order = np.argsort(counts)
-    share, freq = np.cumsum(counts[order]) / total, np.maximum(1, counts[order] - np.median(counts))
+    buckets, count = np.bincount(codes, minlength=64), np.where(np.arange(64) > 0, 2.0 ** (np.arange(64) / 2), 0)
+    total = max(1, (buckets * count).sum())
+    median = count[np.searchsorted(np.cumsum(buckets), buckets.sum() / 2)]
+    share, freq = np.cumsum(buckets * count) / total, np.maximum(1, count - median)
     at = lambda q: freq[np.minimum(np.searchsorted(share, np.minimum(q, 1)), len(freq) - 1)]
     ms, ks = np.zeros(BANDS, np.uint64), np.zeros(BANDS, np.int64)
     for band in range(BANDS):
@@ -217,7 +253,7 @@ def _entries(row: np.ndarray, h: np.ndarray, size: np.ndarray, up: int, cost: np
     mixed = vec.mix(h + U(0x632BE59BD9B4E019))
     total, r, g = np.add.reduceat(mixed, first), row[first], segment[first]
     salt = (g + (scheme[r].astype(np.uint64) << U(40))) * U(0xD1342543DE82EF95)
-    rare = np.minimum.reduceat(cost[(h & U(SKETCH - 1)).astype(np.int64)], first)
+    rare = np.minimum.reduceat(cost[(h & U(len(cost) - 1)).astype(np.int64)], first).astype(np.uint64)
     entry = (vec.mix(total + salt) >> U(25) << U(1)) | single
     near = g.astype(np.int64) < k[r]
     key = np.sort((r[~near].astype(np.uint64) << U(52)) | (rare[~near] << U(46)) | entry[~near])
@@ -250,124 +286,191 @@ def _entries(row: np.ndarray, h: np.ndarray, size: np.ndarray, up: int, cost: np
     return np.concatenate(rows), np.concatenate(out), np.concatenate(places)
 
 
+def _code(size: np.ndarray) -> np.ndarray:
+    """Sizes in 16 bits: the binary logarithm, rounded down, and eleven bits of what is beyond it; exact below 4,096."""
+    e = np.floor(np.log2(np.maximum(size, 1)) + 1e-12).astype(np.int64)
+    return ((e << 11) + (((size - (1 << e)) << 11) >> e)).astype(np.uint16)
+
+
+def _between(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least, most) size of a code."""
+    e, m = code.astype(np.int64) >> 11, code.astype(np.int64) & 2047
+    low = (1 << e) + ((m << e) >> 11)
+    return low, low + np.maximum(0, (1 << np.maximum(0, e - 11)) - 1)
+
+
 def _edges(docs: DataFrame, n: int, threshold: float, cost: np.ndarray, ms: np.ndarray, ks: np.ndarray, parts: int) -> DataFrame:
-    """Distinct-by-task (centre, member) pairs of fingerprints: each bucket of sets with the same index entry gives its least fingerprint with every member."""
+    """Pairs (a, b) of fingerprints, a < b, distinct by part: of the sets of an index entry that may be similar, directly or by way of others of
+    the entry, the least fingerprint with every other; so there are never more pairs than index entries. Of an entry with over FEW sets, all are taken together."""
     shared = docs.sparkSession.sparkContext.broadcast((cost, ms, ks))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cost, ms, ks = shared.value
+        held, some = [], 0
+
+        def flush() -> pa.RecordBatch:
+            entry, place, code, fp = (np.concatenate(x) for x in zip(*held))
+            part = (entry % U(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")  # a set's entries of a part stay together
+            part, entry, place, code, fp = part[order], entry[order], place[order], code[order], fp[order]
+            own = np.concatenate([[True], (part[1:] != part[:-1]) | (fp[1:] != fp[:-1])])
+            first, sets = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), np.flatnonzero(own)
+            cut = np.append(np.searchsorted(sets, first), len(sets))
+            number = np.diff(np.append(sets, len(part))).astype(np.uint32)
+            rows = {"entries": [], "sets": []}
+            for k, (i, j) in enumerate(zip(first, np.append(first[1:], len(part)))):
+                e, s = entry[i:j], sets[cut[k] : cut[k + 1]]
+                rows["entries"].append(b"".join(x.tobytes() for x in (e.astype(np.uint32), (e >> U(32)).astype(np.uint8), place[i:j])))
+                rows["sets"].append(b"".join(x.tobytes() for x in (fp[s], number[cut[k] : cut[k + 1]], code[s])))
+            return pa.RecordBatch.from_arrays([pa.array(part[first]), *(pa.array(x, pa.binary()) for x in rows.values())], names=["part", *rows])
+
         for batch in vec.sliced(batches):
             for _, _, row, h, size in _sets(batch.column("text"), n):
-                fp, (marks, ends) = _fingerprints(row, h, size), _parities(row, h, size)
-                own, up = (_entries(row, h, size, u, cost, ms, ks, threshold) for u in (0, 1))
-                row, entry, place = (np.concatenate(x) for x in zip(own, up))
-                part = (entry % U(parts)).astype(np.int64)
-                order = np.argsort(part * 4096 + row, kind="stable")
-                part, entry, place = part[order], entry[order], place[order]
-                key, count = np.unique(part * 4096 + row[order], return_counts=True)
-                at, to = np.searchsorted(key >> 12, np.arange(parts + 1)), np.searchsorted(part, np.arange(parts + 1))
-                out = {"part": [], "fps": [], "sizes": [], "marks": [], "counts": [], "low": [], "high": [], "places": []}
-                for p in np.flatnonzero(np.diff(at)):
-                    who, e = key[at[p] : at[p + 1]] & 4095, entry[to[p] : to[p + 1]]
-                    sketch = np.concatenate([marks[ends[r] : ends[r + 1]] for r in who])
-                    for name, x in (("part", int(p)), ("fps", fp[who].tobytes()), ("sizes", size[who].astype(np.uint32).tobytes()), ("marks", sketch.tobytes()), ("counts", count[at[p] : at[p + 1]].astype(np.uint32).tobytes()), ("low", e.astype(np.uint32).tobytes()), ("high", (e >> U(32)).astype(np.uint8).tobytes()), ("places", place[to[p] : to[p + 1]].tobytes())):
-                        out[name].append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int32()), *(pa.array(out[x], pa.binary()) for x in list(out)[1:])], names=list(out))
+                fp, code = _fingerprints(row, h, size), _code(size)
+                for up in (0, 1):
+                    row_, entry, place = _entries(row, h, size, up, cost, ms, ks, threshold)
+                    held.append((entry, place, code[row_], fp[row_]))
+                    some += len(entry)
+            if some >= PACK:
+                yield flush()
+                held, some = [], 0
+        if some:
+            yield flush()
 
     def meet(table: pa.Table) -> pa.Table:
-        read = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)])
-        fp, size, marks = read("fps", np.int64), read("sizes", np.uint32).astype(np.int64), read("marks", np.uint64)
-        ends = np.concatenate([[0], np.cumsum(_words(size))])
-        names, where, back = np.unique(fp, return_index=True, return_inverse=True)  # in order of fp
-        size, ends, total = size[where], ends[where], len(names)
-        every = [read("low", np.uint32), read("high", np.uint8), np.repeat(back.astype(np.int32), read("counts", np.uint32)), read("places", np.uint8)]
+        def read(name: str, kind: type, at: int, of: int) -> np.ndarray:
+            """Of packs of arrays with `of` bytes an element in all, the one that has `at` bytes an element before it."""
+            return np.concatenate([np.frombuffer(x, kind, len(x) // of, len(x) // of * at) for x in (y.as_buffer() for y in table.column(name))])
+
+        low, high, place = read("entries", np.uint32, 0, 6), read("entries", np.uint8, 4, 6), read("entries", np.uint8, 5, 6)
+        names, where, back = np.unique(read("sets", np.int64, 0, 14), return_index=True, return_inverse=True)  # in order of fp
+        least, most = _between(read("sets", np.uint16, 12, 14)[where])
+        shift, total, who = _shift(least), len(names), np.repeat(back.astype(np.int32), read("sets", np.uint32, 8, 14))
         share, found = (1 - threshold) / (1 + threshold), []
         for q in range(SLICES):  # a share of the entries at a time
-            low, high, who, place = (x[(every[0] >> np.uint32(16)) % SLICES == q] for x in every)
-            entry = low.astype(np.uint64) | (high.astype(np.uint64) << U(32))
-            slack = (share * size[who] - (place.astype(np.int64) << _shift(size)[who])).astype(np.float32)
-            order = np.argsort(entry)
-            entry, who, slack = entry[order], who[order], slack[order]
+            here = (low >> np.uint32(16)) % SLICES == q
+            entry, mine = low[here].astype(np.uint64) | (high[here].astype(np.uint64) << U(32)), who[here]
+            slack = (share * most[mine] - (place[here].astype(np.int64) << shift[mine])).astype(np.float32)
+            key = (entry << U(24)) | mine.astype(np.uint64)  # a part has fewer than 2 ** 24 sets
+            order = np.argsort(key)
+            key = key[order]
+            order = order[np.concatenate([[True], key[1:] != key[:-1]])] if len(order) else order  # copies count once
+            entry, mine, slack = entry[order], mine[order], slack[order]
             for _ in range(2):  # members that no other can make up for drop out
                 first = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])) if len(entry) else np.zeros(0, np.int64)
-                n = np.diff(np.append(first, len(entry)))
-                best = np.repeat(np.maximum.reduceat(slack, first), n) if len(first) else slack
-                left = (np.repeat(n, n) > 1) & (slack + best >= -0.5)
-                entry, who, slack = entry[left], who[left], slack[left]
+                k = np.diff(np.append(first, len(entry)))
+                best = np.repeat(np.maximum.reduceat(slack, first), k) if len(first) else slack
+                left = (np.repeat(k, k) > 1) & (slack + best >= -0.5)
+                entry, mine, slack = entry[left], mine[left], slack[left]
             first = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])) if len(entry) else np.zeros(0, np.int64)
-            n = np.diff(np.append(first, len(entry)))
-            for i in np.flatnonzero(n > FEW):
-                some = np.unique(who[first[i] : first[i] + n[i]]).astype(np.int64)
+            k = np.diff(np.append(first, len(entry)))
+            for i in np.flatnonzero(k > FEW):
+                some = np.unique(mine[first[i] : first[i] + k[i]]).astype(np.int64)
                 found.append(some[0] * total + some[1:])
-            for k in range(2, FEW + 1):
-                i, j = np.triu_indices(k, 1)
-                rows, step = first[n == k], max(1, 300_000 // len(i))
+            for few in range(2, FEW + 1):
+                i, j = np.triu_indices(few, 1)
+                rows, step = first[k == few], max(1, 300_000 // len(i))
                 for at in range(0, len(rows), step):
-                    x = rows[at : at + step, None] + np.arange(k)
-                    s, x = slack[x], who[x].astype(np.int64)
-                    a, b = x[:, i].ravel(), x[:, j].ravel()
-                    low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-                    near = (low >= threshold * high - 1e-9) & (a != b) & ((s[:, i] + s[:, j]).ravel() >= -0.5)
-                    a, b = a[near], b[near]
-                    pairs = np.unique(np.minimum(a, b) * total + np.maximum(a, b))
-                    a, b = pairs // total, pairs % total
-                    found.append(pairs[_close(a, b, size, marks, ends, threshold)])
+                    x = rows[at : at + step, None] + np.arange(few)
+                    s, x = slack[x], mine[x].astype(np.int64)
+                    a, b = x[:, i], x[:, j]
+                    near = (np.minimum(most[a], most[b]) >= threshold * np.maximum(least[a], least[b]) - 1e-9) & (s[:, i] + s[:, j] >= -0.5)
+                    r, p = np.nonzero(near)
+                    group = _components(x.size, r * few + i[p], r * few + j[p])
+                    member = np.flatnonzero(group != np.arange(x.size))
+                    x = x.ravel()  # ascends within an entry
+                    found.append(np.unique(x[group[member]] * total + x[member]))
             found = [np.unique(np.concatenate(found))] if found else []
         key = found[0] if found else np.zeros(0, np.int64)
         return pa.table({"a": names[key // max(total, 1)], "b": names[key % max(total, 1)]})
 
-    packed = numbered(docs).select("text").mapInArrow(index, "part int, fps binary, sizes binary, marks binary, counts binary, low binary, high binary, places binary")
+    packed = numbered(docs).select("text").mapInArrow(index, "part int, entries binary, sets binary")
     return packed.groupBy("part").applyInArrow(meet, "a long, b long")
 
 
-def _verify(ids: np.ndarray, sets: list[np.ndarray], threshold: float, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(id, id, Jaccard) of the pairs that reach the threshold; with side, only pairs of unlike sides."""
-    size = np.array([len(s) for s in sets])
+def _verify(sets: list[np.ndarray], threshold: float, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, place, Jaccard) of the pairs that reach the threshold; with side, only pairs of unlike sides."""
+    if len(sets) > SQUARE:  # square by square
+        got = []
+        for a in range(0, len(sets), SQUARE):
+            for b in range(a, len(sets), SQUARE):
+                i, j, s = _square(sets[a : a + SQUARE], None if a == b else sets[b : b + SQUARE], threshold)
+                got.append((a + i, b + j, s))
+        i, j, s = (np.concatenate(x) for x in zip(*got))
+    else:
+        i, j, s = _square(sets, None, threshold)
+    if side is not None:
+        keep = side[i] != side[j]
+        i, j, s = i[keep], j[keep], s[keep]
+    return i, j, s
+
+
+def _square(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in left, place in right, Jaccard) of pairs that reach the threshold; without right, of the pairs within left."""
+    sets = left + (right or [])
+    size, n = np.array([len(s) for s in sets]), len(left)
+    a, b = size[:n], size[n:] if right else size
     if len(sets) == 2:
         both = np.concatenate(sets)
         both.sort()
-        common = np.array([[0, np.count_nonzero(both[1:] == both[:-1])], [0, 0]])
+        same = np.count_nonzero(both[1:] == both[:-1])
+        common = np.array([[same]]) if right else np.array([[0, same], [0, 0]])
     else:
         row = np.repeat(np.arange(len(sets)), size)
-        names, col, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        keep = n[col] > 1
-        row, col = row[keep], (np.cumsum(n > 1) - 1)[col[keep]]
+        names, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        base = int(np.count_nonzero(times == len(sets)))  # n-grams of all sets count without a column
+        keep = (times[col] > 1) & (times[col] < len(sets))
+        row, col = row[keep], (np.cumsum((times > 1) & (times < len(sets))) - 1)[col[keep]]
         order = np.argsort(col, kind="stable")
         row, col = row[order], col[order]
-        common, width = np.zeros((len(sets), len(sets)), np.float32), max(1, 4_000_000 // len(sets))
+        common, width = np.full((len(a), len(b)), base, np.float32), max(1, 4_000_000 // len(sets))
         for c in range(0, int(col[-1]) + 1 if len(col) else 0, width):
             i, j = np.searchsorted(col, [c, c + width])
             m = np.zeros((len(sets), min(width, int(col[-1]) + 1 - c)), np.float32)
             m[row[i:j], col[i:j] - c] = 1
-            common += m @ m.T
-    union = size[:, None] + size[None, :] - common
-    hit = np.triu((common >= threshold * union - 1e-9) & (common > 0), 1)
-    if side is not None:
-        hit &= side[:, None] != side[None, :]
-    i, j = np.nonzero(hit)
-    yield ids[i], ids[j], common[i, j] / union[i, j]
-
-
-def similar_sets(docs: DataFrame, found: DataFrame, n: int, threshold: float, segments: float | None = None, deletions: int | None = None, tile: int = TILE, entries: int = ENTRIES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Pairs (a, b, jaccard), a < b, of fingerprints of unlike sets; found: what `fingerprints` gave."""
+            common += m[:n] @ m[n:].T if right else m @ m.T
+    union = a[:, None] + b[None, :] - common
+    hit = (common >= threshold * union - 1e-9) & (common > 0)
+    i, j = np.nonzero(hit if right else np.triu(hit, 1))
+    return i, j, common[i, j] / union[i, j]
+
+
+def _components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least place that each of n places is linked with, by way of others too."""
+    label = np.arange(n)
+    while len(i):
+        before = label.copy()
+        least = np.minimum(label[i], label[j])
+        np.minimum.at(label, i, least)
+        np.minimum.at(label, j, least)
+        label = label[label]
+        if (label == before).all():
+            break
+    return label
+
+
+def similar_sets(docs: DataFrame, found: DataFrame, n: int, threshold: float, segments: float | None = None, deletions: int | None = None, tile: int | None = None, entries: int = ENTRIES, broadcast_rows: int = BROADCAST_ROWS, links: bool = False) -> DataFrame:
+    """Pairs (a, b, jaccard), a < b, of fingerprints of unlike sets; found: what `fingerprints` gave.
+
+    With links, what the pairs come to, in a number of rows that grows with the sets and not with the pairs: (a, null, n), the rows with
+    a doc_id of sets that are linked with set a, in parts to be added up; (a, b, null), a set b of the group of sets linked with a."""
     spark = docs.sparkSession
-    counts = np.zeros(SKETCH, np.int64)
-    for r in found.where("counts is not null").select(F.posexplode("counts").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).where("n > 0").collect():  # SKETCH rows at most
-        counts[r.k] = r.n
-    ms, ks = allocate(counts, threshold, segments, deletions)
-    cost = np.minimum(63, 2 * np.log2(np.maximum(counts, 1))).astype(np.uint64)
-    edges = released(_edges(docs, n, threshold, cost, ms, ks, 1 + int(0.5 * counts.sum() / entries)), "near-edges")
+    cost = frequencies(found)
+    ms, ks = allocate(cost, threshold, segments, deletions)
+    grams = found.agg(F.sum("size")).first()[0] or 0
+    edges = written(_edges(docs, n, threshold, cost, ms, ks, 1 + int(0.6 * grams / entries)), "near-edges")
     label = edges.groupBy(F.col("b").alias("x")).agg(F.min("a").alias("l"))
     blocks = edges.join(label.withColumnRenamed("x", "a"), "a", "left").select(F.coalesce("l", "a").alias("block"), F.explode(F.array("a", "b")).alias("fp")).distinct()
     blocks = written(blocks, "near-blocks")
-    own = found.where("fp is not null and size > 0").groupBy("fp").agg(F.min("row_id").alias("row_id"), F.first("size").alias("size"))
+    own = found.where("fp is not null and size > 0").groupBy("fp").agg(F.min("row_id").alias("row_id"), F.first("size").alias("size"), F.count("doc_id").alias("rows"))
     wanted = written(blocks.select("fp").distinct().join(own, "fp"), "near-wanted")
 
     def placed(blocks: DataFrame, size: str) -> DataFrame:
         """Each member of a block at each pair of tiles that it is needed for, in groups of work of bounded bytes."""
         sizes = blocks.join(wanted.select("fp", "size"), "fp")
         groups = 1 + int((sizes.agg(F.sum(F.expr(size))).first()[0] or 0) / GROUP_BYTES)
-        tiles = sizes.groupBy("block").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+        tiles = F.count("*") / F.lit(tile) if tile else F.greatest(F.count("*") / F.lit(TILE), F.sum(F.expr(size)) / F.lit(TILE_BYTES))
+        tiles = sizes.groupBy("block").agg(F.ceil(tiles).cast("int").alias("tiles"))
         out = blocks.join(tiles, "block").withColumn("t", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
         out = out.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         out = out.select("block", "fp", "t", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"))
@@ -384,10 +487,14 @@ def similar_sets(docs: DataFrame, found: DataFrame, n: int, threshold: float, se
                 yield order[a:b], t[a:b] if i[a] != j[a] else None
 
     def sift(table: pa.Table) -> pa.Table:
-        fp, block, size, profile = (table.column(x).to_numpy() for x in ("fp", "block", "size", "profile"))
-        left = [rows[_possible([profile[x] for x in rows], size[rows], threshold)] for rows, _ in pieces(table)]
-        left = np.concatenate(left) if left else np.zeros(0, np.int64)
-        return pa.table({"block": block[left], "fp": fp[left]})
+        fp, size, profile = (table.column(x).to_numpy() for x in ("fp", "size", "profile"))
+        out = [(fp[:0], fp[:0])]
+        for rows, _ in pieces(table):
+            label = _possible([profile[x] for x in rows], size[rows], threshold)
+            left = np.flatnonzero(np.bincount(label, minlength=len(rows))[label] > 1)
+            out.append((fp[rows[label[left]]], fp[rows[left]]))
+        block, fp = (np.concatenate(x) for x in zip(*out))
+        return pa.table({"block": block, "fp": fp})
 
     profiles = wanted.join(found.where("fp is not null").select("row_id", "profile"), "row_id").select("fp", "size", "profile")
     blocks = written(placed(blocks, "size / 2").join(profiles, "fp").groupBy("work").applyInArrow(sift, "block long, fp long").distinct(), "near-sifted")
@@ -419,13 +526,56 @@ def similar_sets(docs: DataFrame, found: DataFrame, n: int, threshold: float, se
 
     def check(table: pa.Table) -> pa.Table:
         fp, grams, got = table.column("fp").to_numpy(), table.column("grams"), []
-        for rows, side in pieces(table):
-            got += _verify(fp[rows], [unpack(grams[int(x)].as_py()) for x in rows], threshold, side)
+        for at, side in pieces(table):
+            i, j, s = _verify([unpack(grams[int(x)].as_py()) for x in at], threshold, side)
+            got.append((fp[at[i]], fp[at[j]], s))
         x, y, s = (np.concatenate(c) for c in zip(*got)) if got else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "jaccard": s.astype(np.float64)})
 
-    work = placed(blocks, "size * 6").join(sets.select("fp", "grams"), "fp").groupBy("work").applyInArrow(check, "a long, b long, jaccard double")
-    return work.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+    def link(table: pa.Table) -> pa.Table:
+        """(kind, a, b, n): 0, links of a; 1, b is of the group of a; 2, a pair of sets that both are in several blocks, and so may come again."""
+        fp, grams, rows, own = table.column("fp").to_numpy(), table.column("grams"), table.column("rows").to_numpy(), table.column("one").to_numpy(zero_copy_only=False)
+        none = np.zeros(0, np.int64)
+        got = [(none, none, none, none)]
+        for at, side in pieces(table):
+            i, j, _ = _verify([unpack(grams[int(x)].as_py()) for x in at], threshold, side)
+            once = own[at[i]] | own[at[j]]
+            total = np.bincount(i[once], rows[at[j[once]]], len(at)) + np.bincount(j[once], rows[at[i[once]]], len(at))
+            some, group = np.flatnonzero(total), _components(len(at), i, j)
+            member = np.flatnonzero(group != np.arange(len(at)))
+            for kind, a, b, n in ((0, fp[at[some]], fp[at[some]], total[some]), (1, fp[at[group[member]]], fp[at[member]], 0), (2, fp[at[i[~once]]], fp[at[j[~once]]], 0)):
+                got.append((np.full(len(a), kind), a, b, np.full(len(a), n, np.int64)))
+        kind, a, b, n = (np.concatenate(c) for c in zip(*got))
+        return pa.table({"kind": kind.astype(np.int32), "a": a, "b": b, "n": n})
+
+    if not links:
+        work = placed(blocks, "size * 6").join(sets.select("fp", "grams"), "fp").groupBy("work").applyInArrow(check, "a long, b long, jaccard double")
+        return work.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+    stays = blocks.groupBy("fp").agg((F.count("*") == 1).alias("one")).join(wanted.select("fp", "rows"), "fp")
+    work = placed(blocks, "size * 6").join(sets.select("fp", "grams"), "fp").join(stays, "fp").groupBy("work").applyInArrow(link, "kind int, a long, b long, n long")
+    work = written(work, "near-links")
+    sums = work.where("kind = 0").select("a", F.lit(None).cast("long").alias("b"), "n")
+    trees = work.where("kind = 1").select("a", "b", F.lit(None).cast("long").alias("n"))
+    more = work.where("kind = 2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = more.unionAll(more.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(stays.select(F.col("fp").alias("b"), "rows"), "b")
+    return sums.unionAll(trees).unionAll(both.groupBy("a").agg(F.sum("rows").alias("n")).select("a", F.lit(None).cast("long").alias("b"), "n"))
+
+
+def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, **limits) -> DataFrame:
+    """doc_id, class_id, n_links of each row with a doc_id: the least doc_id of all that it is linked with, by way of others too, and how
+    many other rows with a doc_id reach the threshold with it. A row of its own, without words too, has its doc_id and 0. Copies, and near
+    copies of one another, are counted and not written out, so that the result has a row for each row of docs."""
+    found = written(fingerprints(docs, n), "near-prints")
+    got = written(similar_sets(docs, found, n, threshold, links=True, **limits), "near-found")
+    label = groups(got.where("b is not null").select("a", "b")).withColumnRenamed("x", "fp")
+    rows = found.where("fp is not null and doc_id is not null").select("doc_id", "fp", "size")
+    sets = rows.where("size > 0").groupBy("fp").agg(F.count("*").alias("rows"), F.min("doc_id").alias("least"))
+    sets = sets.join(got.where("b is null").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("n")), "fp", "left").join(label, "fp", "left")
+    sets = written(sets.select("fp", "least", F.coalesce("label", "fp").alias("label"), (F.col("rows") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")), "near-sets")
+    classes = sets.groupBy("label").agg(F.min("least").alias("class_id"))
+    linked = sets.where("n_links > 0").join(classes, "label").select("fp", "class_id", "n_links")
+    out = rows.where("size > 0").join(linked, "fp", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.unionAll(rows.where("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, **limits) -> DataFrame:
@@ -473,7 +623,8 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, broadcas
     """The rows of docs, all columns, less all but one of each group of similar texts: the least doc_id stays (of equals, the
     first row). Rows whose text is null or has no word all stay."""
     found = written(fingerprints(docs, n), "near-prints")
-    label = groups(similar_sets(docs, found, n, threshold, broadcast_rows=broadcast_rows, **limits))
+    got = similar_sets(docs, found, n, threshold, broadcast_rows=broadcast_rows, links=True, **limits)
+    label = groups(got.where("b is not null").select("a", "b"))
     rows = found.where("fp is not null and size > 0").join(label.withColumnRenamed("x", "fp"), "fp", "left")
     key = F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")
     rows = rows.select("row_id", key.alias("k"), F.coalesce("label", "fp").alias("g"))
