@@ -4,13 +4,13 @@ A text and a template, both as lower-case words, are aligned from anchors: words
 increasing subsequence of the anchors' places is kept, equal words next to an anchor join it, and the gaps between are aligned
 in the same way, until a gap has no anchors. The share of the template's words that end up aligned is its coverage.
 
-No more words can be aligned than both have in common, counted with repeats; so texts that have too few of a template's words
-are passed over without alignment, which loses nothing. A text is compared as a whole and, as words that are unique in a notice
-may be frequent in the text around it or in a second copy, by windows too: the result is the best over the whole and all runs of
-up to `4 n + 1` of the text's words that are in the template, of n words, wherever they begin. Runs whose longest common subsequence with the
-template is no longer than the best so far cannot raise it and are not aligned, which loses nothing either.
+A notice stands in one place: it is looked for in windows of the text, of up to SPREAD times as many words as the template has, so that
+words strewn over a long text are none. Words that are unique in a notice may be frequent around it or in a second copy, so the
+result is the best over all runs of words within a window, wherever they begin. No more words can be aligned than both have in
+common, counted with repeats, and than their longest common subsequence has; texts and runs that cannot raise the best so far by these
+bounds are passed over without alignment, which loses nothing.
 
-Defined results: a null or empty text matches nothing; templates without words match nothing; every row of the documents gives
+Defined results: of equally good windows the one that is found first counts: the earliest start whose run has the longest common subsequence; a null or empty text matches nothing; templates without words match nothing; every row of the documents gives
 its own result rows; null ids are carried; further columns are ignored.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import vec
 
-COVERAGE = 0.8
+COVERAGE, SPREAD = 0.8, 2
 #: Notices and the openings or full texts of widely used licenses.
 TEMPLATES: dict[str, str] = {
     "mit-notice": "Released under the MIT License.",
@@ -41,6 +41,11 @@ TEMPLATES: dict[str, str] = {
     "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "lgpl-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "agpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. For more information, please refer to <https://unlicense.org>",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "bsd-3-clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
     "isc": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
     "bsd-2-clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.',
 }
@@ -148,7 +153,8 @@ class Scanner:
         bits = [masks[w] for w in x]
         if max(_common(bits, len(b)), default=0) < self.need[t]:
             return None
-        span = 4 * len(b) + 1
+        # the words of the text from each place on that a window holds
+        ends = np.searchsorted(place, np.array(place) + SPREAD * len(b)).tolist()
         best = None
 
         def attempt(i: int, j: int) -> None:
@@ -157,29 +163,28 @@ class Scanner:
             if got and (best is None or len(got) > best[0]):
                 best = (len(got), place[i + got[0][0]], place[i + got[-1][0]])
 
-        attempt(0, len(x))
         most = lambda: max(best[0] if best else 0, int(self.need[t]) - 1)
-        if most() < len(b):
-            # for each start, the shortest run with the most in common comes first: it is a copy, or begins a little before one
-            runs = []
-            for i in range(len(x)):
-                top, end = 0, i
-                for j, n in enumerate(_common(bits[i : i + span], len(b)), i + 1):
+        # for each start, the shortest run with the most in common comes first: it is a copy, or begins a little before one
+        runs = []
+        for i, last in enumerate(ends):
+            top, end = 0, i
+            if last - i >= self.need[t]:
+                for j, n in enumerate(_common(bits[i:last], len(b)), i + 1):
                     if n > top:
                         top, end = n, j
-                runs.append((top, end))
-            bound = max(n for n, _ in runs)
-            for i, (n, j) in enumerate(runs):
+            runs.append((top, end))
+        bound = max(n for n, _ in runs)
+        for i, (n, j) in enumerate(runs):
+            if n > most():
+                attempt(i, j)
+        for i, (n, _) in enumerate(runs):
+            if most() >= bound:
+                break
+            if n <= most():
+                continue
+            for j, n in enumerate(_common(bits[i : ends[i]], len(b)), i + 1):
                 if n > most():
                     attempt(i, j)
-            for i, (n, _) in enumerate(runs):
-                if most() >= bound:
-                    break
-                if n <= most():
-                    continue
-                for j, n in enumerate(_common(bits[i : i + span], len(b)), i + 1):
-                    if n > most():
-                        attempt(i, j)
         return best if best and best[0] >= self.need[t] else None
 
     def scan(self, column: pa.Array) -> Iterator[tuple[int, int, float, int, int, int]]:
