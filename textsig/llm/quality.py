@@ -33,9 +33,7 @@ STEMS, _STEM = (4, 5, 6), np.uint64(0x5BD1E995)
 def _terms(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, row, term hash) for each occurrence of a term."""
     lower = pc.utf8_lower(column.fill_null("").cast(pa.large_string()))
-    upper_is_plain = pc.equal(pc.binary_length(lower), pc.binary_length(column.fill_null("").cast(pa.large_string())))
     raw, raw_off = vec.strings(column)
-    same = np.asarray(upper_is_plain)
     for a, b, data, off in vec.chunked(lower):
         start, end, n = vec.runs(data, off, vec.WORD)
         total = vec.prefix_sums(data)
@@ -52,12 +50,13 @@ def _terms(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
             share = (10 * np.bincount(row[again], minlength=b - a)) // np.maximum(n, 1)
             rows.append(np.flatnonzero(share))
             terms.append(_TWICE + share[share > 0].astype(np.uint64))
-        if same[a:b].all():
-            own = raw[raw_off[a] : raw_off[b]]
-            capital = np.concatenate([[0], np.cumsum((own >= 65) & (own <= 90), dtype=np.int64)])
-            caps = np.flatnonzero((capital[end] - capital[start] >= 2) & (capital[end] - capital[start] == end - start))
-            rows.append(row[caps])
-            terms.append(np.full(len(caps), _CAPS))
+        # words in capitals, by their places in the text as it is: folding may change a letter's number of bytes
+        own = raw[raw_off[a] : raw_off[b]]
+        s, e, n = vec.runs(own, raw_off[a : b + 1] - raw_off[a], vec.WORD)
+        capital = np.concatenate([[0], np.cumsum((own >= 65) & (own <= 90), dtype=np.int64)])
+        caps = np.flatnonzero((capital[e] - capital[s] >= 2) & (capital[e] - capital[s] == e - s))
+        rows.append(np.repeat(np.arange(b - a), n)[caps])
+        terms.append(np.full(len(caps), _CAPS))
         rows.append(np.arange(b - a))
         terms.append(np.full(b - a, _BIAS))
         yield a, b, np.concatenate(rows), np.concatenate(terms)
