@@ -17,6 +17,7 @@ are carried; further columns are ignored. Ids outside the vocabulary, and null i
 
 from __future__ import annotations
 
+import hashlib
 import base64
 from collections.abc import Iterator
 
@@ -368,12 +369,20 @@ def text_of(encoder: Encoder, ids: np.ndarray, piece: int = 1 << 16) -> str:
     return "".join(out) + machine.finish()
 
 
-_built: dict[int, Encoder] = {}
+_built: dict[bytes, Encoder] = {}
 
 
-def encoder(ranks: dict[bytes, int]) -> Encoder:
-    """One encoder for a Python worker and vocabulary."""
-    key = hash((len(ranks), *list(ranks.items())[-50:]))
+def digest(ranks: dict[bytes, int]) -> bytes:
+    """Of all entries of a vocabulary."""
+    h = hashlib.sha256()
+    for piece, rank in ranks.items():
+        h.update(b"%d %d " % (len(piece), rank) + piece)
+    return h.digest()
+
+
+def encoder(ranks: dict[bytes, int], key: bytes | None = None) -> Encoder:
+    """One encoder for a Python worker and vocabulary; key: its `digest`, where that is known."""
+    key = key or digest(ranks)
     if key not in _built:
         _built.clear()
         _built[key] = Encoder(ranks)
@@ -396,18 +405,20 @@ def _tokens(column: pa.Array, enc: Encoder) -> tuple[pa.Array, pa.Array, np.ndar
 
 def with_tokens(docs: DataFrame, columns: list[str], path: str = RANKS) -> DataFrame:
     """The given columns of docs, and: tokens, n_tokens, exact (whether the tokens decode to the very text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(load(path))
+    ranks = load(path)
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, digest(ranks)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(shared.value)
-        for b in vec.sliced(batches, "__text"):
+        enc = encoder(*shared.value)
+        for b in vec.sliced(batches, hidden):
             text = b.column(b.num_columns - 1)
             tokens, number, flat, off = _tokens(text, enc)
             exact = [None if t is None else text_of(enc, flat[i:j]) == t for t, i, j in zip(text.to_pylist(), off[:-1].tolist(), off[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], tokens, number, pa.array(exact, pa.bool_())], names=[*b.schema.names[:-1], "tokens", "n_tokens", "exact"])
 
-    given = docs.select(*columns, F.col("text").cast("string").alias("__text"))
-    schema = given.drop("__text").schema.add("tokens", T.ArrayType(T.IntegerType())).add("n_tokens", T.IntegerType()).add("exact", T.BooleanType())
+    hidden = max([*columns, ""], key=len) + "_text"  # none of the columns
+    given = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").cast("string").alias(hidden))
+    schema = T.StructType(given.schema.fields[:-1]).add("tokens", T.ArrayType(T.IntegerType())).add("n_tokens", T.IntegerType()).add("exact", T.BooleanType())
     return given.mapInArrow(encode, schema)
 
 
@@ -418,10 +429,11 @@ def encode(docs: DataFrame, path: str = RANKS) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
     """doc_id, text of rows with doc_id, tokens."""
-    shared = encoded.sparkSession.sparkContext.broadcast(load(path))
+    ranks = load(path)
+    shared = encoded.sparkSession.sparkContext.broadcast((ranks, digest(ranks)))
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(shared.value)
+        enc = encoder(*shared.value)
         for b in batches:
             texts = [None if x is None else text_of(enc, np.array([-1 if t is None else t for t in x], np.int64)) for x in b.column("tokens").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
