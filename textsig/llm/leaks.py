@@ -15,6 +15,7 @@ row of the documents gives its own result rows; items that repeat an item_id cou
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -150,19 +151,24 @@ def bundles(items: DataFrame, size: int) -> Iterator[list[tuple[int | None, str]
 _built: dict[object, Matcher] = {}
 
 
+def _named(items: list[tuple[int | None, str]]) -> tuple[bytes, list[tuple[int | None, str]]]:
+    """The items with a digest of them all, by which a worker knows them."""
+    return hashlib.sha256(repr(items).encode("utf-8", "surrogatepass")).digest(), items
+
+
 def _matcher(shared, rate: float) -> Matcher:
-    key = (shared.id if hasattr(shared, "id") else id(shared), len(shared.value), rate, hash(tuple(shared.value[:50])))
-    if key not in _built:
+    name, items = shared.value
+    if (name, rate) not in _built:
         _built.clear()
-        _built[key] = Matcher(shared.value, rate)
-    return _built[key]
+        _built[name, rate] = Matcher(items, rate)
+    return _built[name, rate]
 
 
 def find(docs: DataFrame, items: DataFrame, rate: float = RATE, bundle: int = BUNDLE) -> DataFrame:
     """doc_id, item_id, edits: each item that a document holds within its error budget, with the least edits of its occurrences."""
     out = None
     for some in bundles(items, bundle):
-        shared = docs.sparkSession.sparkContext.broadcast(some)
+        shared = docs.sparkSession.sparkContext.broadcast(_named(some))
 
         def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m = _matcher(shared, rate)
@@ -185,7 +191,7 @@ def find(docs: DataFrame, items: DataFrame, rate: float = RATE, bundle: int = BU
 def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, bundle: int = BUNDLE) -> DataFrame:
     """The rows of docs, all columns, that hold no item."""
     for some in bundles(items, bundle):
-        shared = docs.sparkSession.sparkContext.broadcast(some)
+        shared = docs.sparkSession.sparkContext.broadcast(_named(some))
 
         def sift(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m = _matcher(shared, rate)
