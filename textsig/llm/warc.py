@@ -42,27 +42,40 @@ def records_of_pages(pages: DataFrame, date: str = DATE) -> DataFrame:
 
 
 def parse(data: bytes) -> Iterator[tuple[int, bytes, bytes]]:
-    """(offset, header block, payload) of each record of a WARC file; what follows a damaged record's start is left out."""
+    """(offset, header block, payload) of each record of a WARC file. Of damaged records (no end of the header, no length, or no blank
+    lines where the payload should end) nothing is given, and the next line that begins with WARC/ begins the next one; a damaged
+    compressed member is left out up to the next that can be unpacked. The last record may lack its blank lines."""
     if data[:2] == b"\x1f\x8b":
-        out = []
-        while data[:2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            out.append(member.decompress(data) + member.flush())
-            data = member.unused_data
-        data = b"".join(out)
-    at = 0
-    while data.startswith(b"WARC/", at):
+        data = b"".join(_members(data))
+    at = 0 if data.startswith(b"WARC/") else data.find(b"\nWARC/") + 1 or len(data)
+    while at < len(data):
         end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        header = data[at : end + 4]
+        header = data[at : end + 4] if end >= 0 else b""
         size = next((line.split(b":", 1)[1].strip() for line in header.split(b"\r\n") if line.lower().startswith(b"content-length:")), b"")
-        if not size.isdigit() or end + 4 + int(size) > len(data):
-            return
-        yield at, header, data[end + 4 : end + 4 + int(size)]
-        at = end + 4 + int(size)
-        while data.startswith(b"\r\n", at):
-            at += 2
+        after = end + 4 + int(size) if size.isdigit() else -1
+        whole = b"\r\nWARC/" not in header and 0 <= after <= len(data) and (after == len(data) or data.startswith(b"\r\n", after))
+        if whole:
+            yield at, header, data[end + 4 : after]
+            while data.startswith(b"\r\n", after):
+                after += 2
+            if data.startswith(b"WARC/", after):
+                at = after
+                continue
+        at = data.find(b"\nWARC/", after - 1 if whole else at) + 1 or len(data)
+
+
+def _members(data: bytes) -> Iterator[bytes]:
+    """The unpacked members of a compressed file that are whole."""
+    while data:
+        member = zlib.decompressobj(31)
+        try:
+            out = member.decompress(data) + member.flush()
+        except zlib.error:
+            out = b""
+        if member.eof and out:
+            yield out
+        data = member.unused_data if member.eof else data[1:]
+        data = data[max(0, data.find(b"\x1f\x8b\x08")) :] if b"\x1f\x8b\x08" in data else b""
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
