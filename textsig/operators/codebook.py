@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from ..plans.tables import written
 NUMERATOR, DENOMINATOR, MOST_FIRED = 9, 10, 32
 #: Bits of a codebook, over all atoms, that may go to every task.
 CELLS = 20_000_000
+#: Cells of a dense matrix of atoms by bits; larger codebooks are searched signature by signature.
+DENSE = 1 << 25
 
 
 def normalised(atoms: DataFrame, width: int) -> DataFrame:
@@ -83,8 +87,50 @@ def pursuit(signatures: DataFrame, codebook: DataFrame, weights: DataFrame, num:
             left -= {e for k in new for e in atoms[k]}
         return sorted(fired)
 
+    names, bits_of = sorted(atoms), sorted(by_bit)
+    dense = len(names) * len(bits_of) <= DENSE and sum(ic.values()) < 1 << 24
+
+    def blocks(lists: pa.ListArray) -> list[list[int]]:
+        """As `run`, for many signatures at once by products of matrices; sums are whole numbers, exact as floats."""
+        atoms, w, _, ic = shared.value
+        place = {e: i for i, e in enumerate(bits_of)}
+        held = np.zeros((len(names), len(bits_of)), np.float32)
+        for k, a in enumerate(names):
+            held[k, [place[e] for e in atoms[a]]] = 1
+        weighted = (held * np.array([w.get(e, 0) for e in bits_of], np.float32)).T.copy()
+        info, known = np.array([ic[a] for a in names], np.int64), np.array(bits_of, np.int64)
+        out: list[list[int]] = []
+        for at in range(0, len(lists), step := max(1, (1 << 22) // max(1, len(known)))):
+            some = lists.slice(at, step)
+            size, flat = np.asarray(pc.fill_null(pc.list_value_length(some), 0)).astype(np.int64), np.asarray(pc.list_flatten(some)).astype(np.int64)
+            row, col = np.repeat(np.arange(len(some)), size), np.minimum(np.searchsorted(known, flat), max(0, len(known) - 1))
+            hit = known[col] == flat if len(known) else np.zeros(len(flat), bool)
+            left = np.zeros((len(some), len(known)), np.float32)
+            left[row[hit], col[hit]] = 1
+            fired, open_ = np.zeros((len(some), len(names)), bool), np.arange(len(some))
+            while len(open_):
+                dots = (left[open_] @ weighted).astype(np.int64)
+                dots[fired[open_] | (info <= 0)] = 0
+                ratio = dots / np.maximum(info, 1)
+                best = ratio.argmax(axis=1) if len(names) else np.zeros(0, np.int64)
+                bd, bi = (np.take_along_axis(dots, best[:, None], 1), info[best][:, None]) if len(names) else (dots, dots)
+                new = (dots > 0) & (dots * den * bi >= num * bd * info)
+                new &= np.cumsum(new, axis=1) <= most - fired[open_].sum(axis=1, keepdims=True)
+                going = new.any(axis=1)
+                open_, new = open_[going], new[going]
+                fired[open_] |= new
+                left[open_] *= (new.astype(np.float32) @ held) == 0
+            i, k = np.nonzero(fired)
+            ends = np.searchsorted(i, np.arange(len(some) + 1))
+            ids = np.array(names)[k].tolist() if len(names) else []
+            out += [ids[ends[r] : ends[r + 1]] for r in range(len(some))]
+        return out
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if dense:
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(blocks(b.column("bits")), pa.list_(pa.int32()))], names=["id", "atoms"])
+                continue
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([run(x or []) for x in b.column("bits").to_pylist()], pa.list_(pa.int32()))], names=["id", "atoms"])
 
     return signatures.select(F.col("id").cast("long").alias("id"), "bits").mapInArrow(encode, "id long, atoms array<int>")

@@ -195,6 +195,30 @@ def text_frequencies(docs: DataFrame, parts: DataFrame, **names) -> DataFrame:
     return found.groupBy("bit").agg(F.sum("df").alias("df")).where("df > 0")
 
 
+def ranges(docs: DataFrame, parts: DataFrame, **names) -> DataFrame:  # noqa: ANN003
+    """doc_id, sentence, part, first, last, n: the first and last place (from 0) of each part in each sentence, and how many words have it."""
+    key = names.get("key", "doc_id")
+
+    def work(s: Spans) -> Iterator[list]:
+        opens = s.first[s.group]
+        yield [s.row[opens], pa.array(s.span[opens].astype(np.int32)), *(pa.array(x.astype(np.int32)) for x in (s.group_part, s.group_first, s.group_last)), pa.array(s.n.astype(np.int64))]
+
+    return scan(docs, parts, f"{key} long, sentence int, part int, first int, last int, n long", work, **names)
+
+
+def inspected(docs: DataFrame, parts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """doc_id, sentence, idx, value, shown (the word's parts as text), n_before, n_current, n_after: how each word is spelt, and how many bits its signature has in
+    each band."""
+    words = bags(docs, parts, key=key)
+    size = dictionary.collected(parts)
+    dim = max((i for i, _, _ in size), default=-1) + 1
+    band = np.repeat(np.eye(3, dtype=np.int64), dim, axis=0)
+    sums = summed_texts(docs, parts, {"n_before": band[:, 0], "n_current": band[:, 1], "n_after": band[:, 2]}, key=key)
+    shown = dictionary.decomposed(words.select("value").distinct(), parts).select("value", F.posexplode("part_ids").alias("i", "part_id"))
+    shown = shown.join(dictionary.rendered(parts), "part_id").groupBy("value").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), " ").alias("shown"))
+    return words.select(key, "sentence", "idx", "value").join(shown, "value", "left").join(sums, [key, "sentence", "idx"]).select(key, "sentence", "idx", "value", F.coalesce("shown", F.lit("")).alias("shown"), "n_before", "n_current", "n_after")
+
+
 def encoded(words: DataFrame, size: int, span: list[str], place: str = "idx") -> DataFrame:
     """span, place, before, current, after: bits 0.., size.. and 2 * size.. of each word. words: span columns, place, bag; size: parts in the dictionary.
 
@@ -236,6 +260,11 @@ def dense_jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(count(lambda x, y: x.bitwiseAND(y)) / F.nullif(count(lambda x, y: x.bitwiseOR(y)), F.lit(0)), F.lit(0.0))
 
 
+def dense(bits: DataFrame) -> DataFrame:
+    """id, word (from 0), bits: sets of bits (id, bit) as 64-bit words, of which those without a bit are left out."""
+    return bits.groupBy("id", F.expr("bit div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+
+
 def information(bits: DataFrame, weights: DataFrame, key: list[str]) -> DataFrame:
     """key, ic: the sum of the weights of each signature's bits. bits: key, bit."""
     return bits.join(weights, "bit").groupBy(*key).agg(F.sum("w").cast("long").alias("ic"))

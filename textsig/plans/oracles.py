@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from ..functions.tokens import ABBREVIATIONS, MAX_PARAGRAPH
 from ..operators.dictionary import CONNECTORS, SIGNS
 from ..operators.signatures import CAP
@@ -64,7 +66,7 @@ segments AS (SELECT doc_id, idx, type, value, ends, sentence, (dense_rank() OVER
 _WORDS = "words AS (SELECT value, count(*) AS n FROM tokens WHERE type = 'W' GROUP BY value)"
 
 
-def cut_off_sql(source: str, keys: list[str], name: str = "cut") -> str:
+def cut_off_sql(source: str, keys: list[str], name: str = "cut", min_gap: float = 1.5) -> str:
     """CTEs that end in `name`: keys, n, entropy, gap_ratio, elbow, scaled_mm, adaptive, adaptive_threshold. source: keys, v."""
     k, part = "".join(f"{x}, " for x in keys), "PARTITION BY " + ", ".join(keys) if keys else ""
     by = f"GROUP BY {', '.join(keys)}" if keys else "GROUP BY ALL"
@@ -78,7 +80,7 @@ def cut_off_sql(source: str, keys: list[str], name: str = "cut") -> str:
   count(*) FILTER (v > 1e-10) AS over_, count(*) FILTER (v > 0) AS l, sum(v) FILTER (v > 0) AS s, sum(-v * ln(CASE WHEN v > 0 THEN v END)) FILTER (v > 0) AS h FROM {name}_d {by}),
 {name}_i AS (SELECT {", ".join(["m." + x for x in keys] + ["min(r.i) FILTER (r.d = m.d) AS di", "min(r.i) FILTER (r.g = m.g) AS gi"])} FROM {name}_d r JOIN {name}_m m {"USING (" + ", ".join(keys) + ")" if keys else "ON true"} {"GROUP BY " + ", ".join("m." + x for x in keys) if keys else ""}),
 {name}_c AS (SELECT {k} n::BIGINT AS n, CASE WHEN l = 0 THEN 0 WHEN round(exp(ln(s) + h / s), 9) <= 1 THEN 1 ELSE least(ceil(round(exp(ln(s) + h / s), 9)), l) END::BIGINT AS entropy,
-  CASE WHEN n < 2 THEN n ELSE greatest(least(CASE WHEN g IS NULL OR g < 1.5 THEN n ELSE gi END, n, over_ + 1), 1) END::BIGINT AS gap_ratio,
+  CASE WHEN n < 2 THEN n ELSE greatest(least(CASE WHEN g IS NULL OR g < {min_gap!r} THEN n ELSE gi END, n, over_ + 1), 1) END::BIGINT AS gap_ratio,
   CASE WHEN n < 3 OR y0 - yn <= 1e-12 OR d IS NULL OR d < 0.01::DOUBLE * median THEN n ELSE di END::BIGINT AS elbow,
   CASE WHEN total <= 0 THEN n ELSE least(ceil(2.2::DOUBLE * coalesce(mm, n)), n) END::BIGINT AS scaled_mm FROM {name}_m {"JOIN " + name + "_i USING (" + ", ".join(keys) + ")" if keys else "CROSS JOIN " + name + "_i"}),
 {name}_a AS (SELECT *, CASE WHEN elbow < n THEN elbow ELSE scaled_mm END AS adaptive FROM {name}_c),
@@ -287,3 +289,42 @@ SQL |= {
     "matmul": "WITH c AS (SELECT vec_id, unnest(range(0, len(embedding))) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE label = 0) SELECT a.vec_id AS row, b.vec_id AS col, round(sum(a.x * b.x), 5) AS x FROM c a JOIN c b USING (k) GROUP BY 1, 2",
     "context_jaccard": f"WITH {SEGMENTS}, {_WORDS}, {_ATOMS_SPELT}, first_ AS (SELECT doc_id, value, sentence, min(idx) AS idx FROM segments WHERE type = 'W' GROUP BY 1, 2, 3), f AS (SELECT first_.*, list(bit) AS bits FROM first_ JOIN sig USING (doc_id, sentence, idx) GROUP BY ALL) SELECT x.doc_id AS item_id, x.value, x.sentence AS a, y.sentence AS b, round(len(list_intersect(x.bits, y.bits)) / (len(x.bits) + len(y.bits) - len(list_intersect(x.bits, y.bits)))::DOUBLE, 9) AS jaccard FROM f x JOIN f y ON x.doc_id = y.doc_id AND x.value = y.value AND x.sentence < y.sentence".replace("FROM documents WHERE text <> ''", "FROM (SELECT item_id AS doc_id, text FROM benchmark) WHERE text <> ''"),
 }
+_CUT = "SELECT o_orderpriority, coalesce((SELECT max(v) FROM cut_r r WHERE r.i = c.{0} AND r.o_orderpriority = c.o_orderpriority), 0.0) AS threshold FROM cut c"
+_COUNTS = _ROUND.format("o_orderpriority, count(*) AS v")
+_LIMITED = "o AS (SELECT o_orderpriority, v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY v DESC) AS k, count(*) OVER (PARTITION BY o_orderpriority) AS every FROM ({0})), few AS (SELECT o_orderpriority, v FROM o WHERE k <= 5)"
+_FACTOR = "f AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, embedding FROM embeddings), cells AS (SELECT r, unnest(range(0, len(embedding))) AS bit, unnest(embedding)::DOUBLE AS x FROM f)"
+_DELIMS = f"{TOKENS}, d AS (SELECT value, count(*) AS n FROM tokens WHERE type = 'D' GROUP BY value)"
+_SPACES = "(' ', chr(9), chr(10), chr(10) || chr(10))"
+_NEXT = "pairs AS (SELECT x.id AS a, y.id AS b FROM s x JOIN s y ON y.id = x.id + 1)"
+_OWN = "own AS (SELECT * FROM parts p WHERE kind <> 'Letter' AND NOT EXISTS (SELECT 1 FROM atoms a WHERE a.kind = p.kind AND a.value = p.value))"
+_ESCAPED = "replace(replace(replace(replace(value, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't'), chr(13), chr(92) || 'r')"
+_RELOADED = f"WITH {TOKENS}, {_DICT}, {_OWN}, l AS (<own> UNION ALL SELECT 3, part_id, kind, value FROM atoms) SELECT (row_number() OVER (ORDER BY g, part_id) - 1)::INT AS part_id, kind, value FROM l"
+_MASS = "mass AS (SELECT atom_id, bit, sum(w)::DOUBLE AS mass FROM fired JOIN sb USING (id) JOIN sw USING (bit) GROUP BY 1, 2)"
+SQL |= {
+    "entropy_threshold": f"WITH o AS ({_COUNTS}), {cut_off_sql('o', ['o_orderpriority'])} {_CUT.format('entropy')}",
+    "log_gap_threshold": f"WITH o AS ({_COUNTS}), {cut_off_sql('o', ['o_orderpriority'], min_gap=math.exp(0.25))} {_CUT.format('gap_ratio')}",
+    "cut_offs_limited": f"WITH {_LIMITED.format(_COUNTS)}, {cut_off_sql('few', ['o_orderpriority'])} SELECT o_orderpriority, max(every) AS n, any_value(entropy) AS entropy, any_value(gap_ratio) AS gap_ratio FROM cut JOIN (SELECT DISTINCT o_orderpriority, every FROM o) USING (o_orderpriority) GROUP BY 1",
+    "scan_words": "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), x AS (SELECT doc_id, unnest(range(0, len(ls))) AS line, unnest(ls) AS word FROM l) SELECT doc_id, line::INT AS line, rtrim(word, chr(13)) AS word FROM x WHERE rtrim(word, chr(13)) <> ''",
+    "tok_ws_class": f"WITH {_DELIMS} SELECT value, n FROM d WHERE value IN {_SPACES}",
+    "tok_punct_class": f"WITH {_DELIMS} SELECT value, n FROM d WHERE value NOT IN {_SPACES}",
+    "tok_number_prefix": f"WITH {TOKENS} SELECT doc_id, idx, value FROM tokens WHERE type = 'W' AND substr(value, 1, 1) IN ('+', '-', '$')",
+    "dict_trained_only": f"WITH {TOKENS}, {_DICT} SELECT part_id, kind, value FROM parts p WHERE NOT EXISTS (SELECT 1 FROM atoms a WHERE a.kind = p.kind AND a.value = p.value)",
+    "dict_text_lines": f"WITH {TOKENS}, {_DICT}, {_OWN}, l AS (SELECT 0 AS g, part_id, CASE kind WHEN 'Start' THEN value || '##' WHEN 'Mid' THEN '##' || value || '##' WHEN 'End' THEN '##' || value ELSE value END AS text FROM own WHERE kind <> 'Delimiter' UNION ALL SELECT 1, 0, '[delim]' UNION ALL SELECT 2, part_id, {_ESCAPED} FROM own WHERE kind = 'Delimiter') SELECT row_number() OVER (ORDER BY g, part_id) - 1 AS line, text FROM l",
+    "dict_text_roundtrip": _RELOADED.replace("<own>", "SELECT CASE WHEN kind = 'Delimiter' THEN 2 ELSE 0 END AS g, part_id, kind, value FROM own"),
+    "dict_binary_roundtrip": _RELOADED.replace("<own>", "SELECT 0 AS g, part_id, kind, value FROM own"),
+    "dict_tsv_roundtrip": f"WITH {TOKENS}, {_DICT} SELECT part_id, kind, value FROM parts",
+    "context_range_join": f"WITH RECURSIVE {_BAGS} SELECT doc_id, sentence, part, (first_ - 1)::INT AS first, (last_ - 1)::INT AS last, n FROM spans",
+    "inspect_sentence": f"WITH {SEGMENTS}, {_WORDS}, {_ATOMS_SPELT}, signs_of AS (SELECT w, string_agg(v, ' ' ORDER BY p) AS shown FROM (SELECT w, p, CASE WHEN length(w) = 1 THEN w WHEN p = 1 THEN substr(w, p, 1) || '##' WHEN p = length(w) THEN '##' || substr(w, p, 1) ELSE '##' || substr(w, p, 1) || '##' END AS v FROM (SELECT value AS w, unnest(range(1, length(value) + 1)) AS p FROM words)) x WHERE v IN (SELECT value FROM atoms) GROUP BY w), n AS (SELECT doc_id, sentence, idx, count(*) FILTER (bit < {4 * len(SIGNS) + len(CONNECTORS)}) AS n_before, count(*) FILTER (bit // {4 * len(SIGNS) + len(CONNECTORS)} = 1) AS n_current, count(*) FILTER (bit // {4 * len(SIGNS) + len(CONNECTORS)} = 2) AS n_after FROM sig GROUP BY 1, 2, 3) SELECT doc_id AS item_id, sentence, idx, value, coalesce(shown, '') AS shown, coalesce(n_before, 0) AS n_before, coalesce(n_current, 0) AS n_current, coalesce(n_after, 0) AS n_after FROM segments LEFT JOIN signs_of ON w = value LEFT JOIN n USING (doc_id, sentence, idx) WHERE type = 'W'".replace("FROM documents WHERE text <> ''", "FROM (SELECT item_id AS doc_id, text FROM benchmark) WHERE text <> ''"),
+    "bit_intersection": f"WITH {_TALK}, {_NEXT} SELECT a, b, len(list_intersect(x.bits, y.bits))::INT AS n FROM pairs JOIN s x ON x.id = a JOIN s y ON y.id = b",
+    "weighted_dot": f"WITH {_TALK}, {_NEXT} SELECT a, b, coalesce(sum(w), 0)::BIGINT AS wdot FROM pairs LEFT JOIN (SELECT x.id AS a, y.id AS b, w FROM sb x JOIN sb y ON y.id = x.id + 1 AND y.bit = x.bit JOIN sw ON sw.bit = x.bit) USING (a, b) GROUP BY 1, 2",
+    "containment_match": f"WITH {_TALK} SELECT id, atom_id, round(wdot / ic::DOUBLE, 9) AS match FROM scored",
+    "atom_accumulate": f"WITH {_TALK}, {_MASS} SELECT atom_id, bit, mass FROM mass",
+    "atom_refresh": f"WITH {_TALK}, {_MASS}, deg AS (SELECT bit, count(*) AS atoms FROM bb GROUP BY bit), sc AS (SELECT m.atom_id, m.bit, mass - 2.0::DOUBLE * (coalesce(atoms, 0) - (o.bit IS NOT NULL)::INT) * w AS score FROM mass m LEFT JOIN deg ON deg.bit = m.bit LEFT JOIN bb o ON o.atom_id = m.atom_id AND o.bit = m.bit JOIN sw ON sw.bit = m.bit), top AS (SELECT atom_id, bit FROM (SELECT *, row_number() OVER (PARTITION BY atom_id ORDER BY score DESC, bit) AS rank FROM sc WHERE score > 0) WHERE rank <= 24), new AS (SELECT atom_id, string_agg(bit, ',' ORDER BY bit) AS bits FROM top GROUP BY 1) SELECT b.atom_id, CASE WHEN b.atom_id IN (SELECT atom_id FROM mass) THEN coalesce(new.bits, '') ELSE array_to_string(b.bits, ',') END AS bits FROM book b LEFT JOIN new ON new.atom_id = b.atom_id",
+    "codebook_quality": f"WITH {_TALK}, r AS (SELECT sb.id, sum(w) AS ic, sum(CASE WHEN dec.bit IS NOT NULL THEN w ELSE 0 END) AS wd FROM sb JOIN sw USING (bit) LEFT JOIN dec ON dec.id = sb.id AND dec.bit = sb.bit GROUP BY 1) SELECT (SELECT count(*) FROM book) AS atoms, (SELECT count(DISTINCT atom_id) FROM fired) AS used, round((SELECT count(DISTINCT atom_id) FROM fired) / (SELECT count(*) FROM book)::DOUBLE, 9) AS utilisation, round(avg(wd / ic::DOUBLE), 9) AS mean_recall FROM r WHERE ic > 0",
+    "recon_average": "SELECT " + ", ".join(f"round(avg({w}_{b}), 6) AS {w}_{b}" for b in ("left", "current", "right", "all") for w in ("recall", "precision")) + f" FROM ({SQL['recon_metrics']})",
+    "dense_bits": f"WITH {_TALK}, x AS (SELECT id, (bit // 64)::INT AS word, sum(1::HUGEINT << (bit % 64)) AS h, count(*) AS n, max((bit % 64 = 3)::INT) AS fourth FROM sb GROUP BY 1, 2) SELECT id, word, (CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END)::BIGINT AS bits, n::INT AS n, fourth FROM x",
+    "fd_leverage": f"WITH {_TALK}, {_FACTOR}, e AS (SELECT r, sum(x * x) AS s2 FROM cells GROUP BY r), c AS (SELECT r, 1 / (s2 * (s2 + (SELECT avg(s2) FROM e))) AS c FROM e WHERE s2 > 0), t AS (SELECT DISTINCT id, bit % 64 AS bit FROM sb), p AS (SELECT id, r, sum(x) AS p FROM t JOIN cells USING (bit) GROUP BY 1, 2), l AS (SELECT id, sum(p * p * c) AS leverage FROM p JOIN c USING (r) GROUP BY 1) SELECT s.id, round(coalesce(leverage, 0.0), 6) AS leverage FROM s LEFT JOIN l USING (id)",
+    "bit_promiscuity": f"WITH {_FACTOR} SELECT bit::INT AS bit, round(sum(x * x), 6) AS energy, round(coalesce(sum(x * x) FILTER (r = 0), 0.0) / sum(x * x), 9) AS promiscuity FROM cells GROUP BY 1 HAVING sum(x * x) > 0",
+    "hub_bits": f"WITH {_FACTOR}, p AS (SELECT bit, round(coalesce(sum(x * x) FILTER (r = 0), 0.0) / sum(x * x), 9) AS promiscuity FROM cells GROUP BY 1 HAVING sum(x * x) > 0) SELECT bit::INT AS bit FROM (SELECT bit, row_number() OVER (ORDER BY promiscuity DESC, bit) AS rank FROM p) WHERE rank <= floor(0.25 * (SELECT count(*) FROM p))",
+    "bit_correlation": f"WITH {_FACTOR} SELECT a.bit::INT AS i, b.bit::INT AS j, round(sum(a.x * b.x), 5) AS x FROM cells a JOIN cells b ON a.r = b.r AND a.bit <= b.bit GROUP BY 1, 2",
+}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as tok
 from ..operators import codebook, dictionary, learner, matrices, signatures, thresholds, uniqueness
+from ..sources import formats
 from .oracles import SQL
 from .tables import ranked, spread, written
 
@@ -116,8 +117,28 @@ def multiscale_candidates(spark, sf_dir):
 
 @_query
 def cut_offs(spark, sf_dir):
-    counts = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderpriority", "o_custkey").agg(F.count("*").alias("v"))
-    return thresholds.cut_offs(counts, ["o_orderpriority"], "v")
+    return thresholds.cut_offs(_order_counts(spark, sf_dir), ["o_orderpriority"], "v").drop("entropy_threshold", "gap_threshold")
+
+
+def _order_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderpriority", "o_custkey").agg(F.count("*").alias("v"))
+
+
+@_query
+def entropy_threshold(spark, sf_dir):
+    return thresholds.cut_offs(_order_counts(spark, sf_dir), ["o_orderpriority"], "v").select("o_orderpriority", F.col("entropy_threshold").alias("threshold"))
+
+
+@_query
+def log_gap_threshold(spark, sf_dir):
+    """The least gap is 0.25 in logarithms."""
+    return thresholds.cut_offs(_order_counts(spark, sf_dir), ["o_orderpriority"], "v", min_gap=float(np.exp(0.25))).select("o_orderpriority", F.col("gap_threshold").alias("threshold"))
+
+
+@_query
+def cut_offs_limited(spark, sf_dir):
+    """Entropy and gap of the 5 largest counts of each priority."""
+    return thresholds.cut_offs(_order_counts(spark, sf_dir), ["o_orderpriority"], "v", max_cut=5).select("o_orderpriority", "n", "entropy", "gap_ratio")
 
 
 @_query
@@ -458,8 +479,7 @@ def recon_metrics(spark, sf_dir):
 def info_jaccard(spark, sf_dir):
     """Each turn with the next one of its conversation."""
     s, _, w = _talk(spark, sf_dir)
-    pairs = s.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).join(s.select(F.col("id").alias("b")), "b", "left_semi")
-    out = signatures.weighted_jaccard(pairs, _long(s), w)
+    out = signatures.weighted_jaccard(_next(s), _long(s), w)
     return out.select("a", "b", "wdot", F.round("jaccard", 9).alias("jaccard"))
 
 
@@ -515,6 +535,185 @@ def context_jaccard(spark, sf_dir):
     return a.join(b, ["item_id", "value"]).where("a < b").select("item_id", "value", "a", "b", F.round(signatures.jaccard(F.col("bits_a"), F.col("bits_b")), 9).alias("jaccard"))
 
 
+@_query
+def scan_words(spark, sf_dir):
+    """The lines of the documents as lists of words."""
+    lines = _documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "word"))
+    return formats.stripped(lines, "word")
+
+
+def _kinds_of(spark: SparkSession, sf_dir: str, space: bool) -> DataFrame:
+    own = F.col("value").isin(" ", "\t", "\n", "\n\n")
+    return _freq(spark, sf_dir, "D").where(own if space else ~own)
+
+
+@_query
+def tok_ws_class(spark, sf_dir):
+    return _kinds_of(spark, sf_dir, True)
+
+
+@_query
+def tok_punct_class(spark, sf_dir):
+    return _kinds_of(spark, sf_dir, False)
+
+
+@_query
+def tok_number_prefix(spark, sf_dir):
+    return tok.words(_documents(spark, sf_dir)).where(F.substring("value", 1, 1).isin("+", "-", "$")).select("doc_id", "idx", "value")
+
+
+@_query
+def dict_trained_only(spark, sf_dir):
+    return _dictionary(spark, sf_dir)[1].join(F.broadcast(_atoms(spark).select("kind", "value")), ["kind", "value"], "left_anti").select("part_id", "kind", "value")  # fixed signs
+
+
+@_query
+def dict_text_lines(spark, sf_dir):
+    return formats.text_lines(_dictionary(spark, sf_dir)[1])
+
+
+@_query
+def dict_text_roundtrip(spark, sf_dir):
+    return dictionary.numbered(spark, formats.from_text(formats.to_text(formats.parts_of(_dictionary(spark, sf_dir)[1]))))
+
+
+@_query
+def dict_binary_roundtrip(spark, sf_dir):
+    return dictionary.numbered(spark, formats.from_binary(formats.to_binary(formats.parts_of(_dictionary(spark, sf_dir)[1]))))
+
+
+@_query
+def dict_tsv_roundtrip(spark, sf_dir):
+    return dictionary.numbered(spark, formats.from_table(formats.to_table(formats.parts_of(_dictionary(spark, sf_dir)[1]))))
+
+
+@_query
+def context_range_join(spark, sf_dir):
+    return signatures.ranges(_documents(spark, sf_dir), _dictionary(spark, sf_dir)[1])
+
+
+@_query
+def inspect_sentence(spark, sf_dir):
+    """The benchmark items, word by word, in terms of the fixed signs."""
+    return signatures.inspected(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), _atoms(spark), "item_id")
+
+
+def _next(s: DataFrame) -> DataFrame:
+    """a, b: each turn with the next one of its conversation."""
+    return s.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).join(s.select(F.col("id").alias("b")), "b", "left_semi")
+
+
+@_query
+def bit_intersection(spark, sf_dir):
+    s = _talk(spark, sf_dir)[0]
+    both = _next(s).join(s.toDF("a", "x"), "a").join(s.toDF("b", "y"), "b")
+    return both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"))
+
+
+@_query
+def weighted_dot(spark, sf_dir):
+    s, _, w = _talk(spark, sf_dir)
+    return signatures.weighted_jaccard(_next(s), _long(s), w).select("a", "b", "wdot")
+
+
+@_query
+def containment_match(spark, sf_dir):
+    s, book, w = _talk(spark, sf_dir)
+    return codebook.scores(_long(s), book, w).select("id", "atom_id", F.round(F.col("wdot") / F.col("ic"), 9).alias("match"))
+
+
+@_query
+def atom_accumulate(spark, sf_dir):
+    s, book, w = _talk(spark, sf_dir)
+    return codebook.accumulated(_long(s), codebook.first_round(_long(s), book, w), w)
+
+
+@_query
+def atom_refresh(spark, sf_dir):
+    s, book, w = _talk(spark, sf_dir)
+    new = learner.refreshed(book, codebook.accumulated(_long(s), codebook.first_round(_long(s), book, w), w), w, 24, 2.0)
+    return new.select("atom_id", F.array_join("bits", ",").alias("bits"))
+
+
+@_query
+def codebook_quality(spark, sf_dir):
+    s, book, w = _talk(spark, sf_dir)
+    q = codebook.quality(_long(s), codebook.first_round(_long(s), book, w), book, w)
+    return q.select("atoms", "used", F.round("utilisation", 9).alias("utilisation"), F.round("mean_recall", 9).alias("mean_recall"))
+
+
+@_query
+def recon_average(spark, sf_dir):
+    s, d, w = _decoded(spark, sf_dir)
+    m = codebook.reconstruction(_long(s), _long(d), w, 150)
+    return m.agg(*[F.round(F.avg(F.round(c, 9)), 6).alias(c) for c in m.columns if c != "id"])
+
+
+@_query
+def dense_bits(spark, sf_dir):
+    """Turns' bits as 64-bit words, and how many of these are set."""
+    s = _long(_talk(spark, sf_dir)[0])
+    return signatures.dense(s).select("id", "word", "bits", F.bit_count("bits").alias("n"), F.getbit("bits", F.lit(3)).cast("int").alias("fourth"))
+
+
+def _factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """r, bit, x: the embeddings as a factor, a direction for each in order of vec_id."""
+    e = ranked(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), "vec_id")
+    return written(e.select((F.col("rank") - 1).cast("int").alias("r"), F.posexplode("embedding").alias("bit", "x")).withColumn("x", F.col("x").cast("double")), "factor")
+
+
+@_query
+def fd_leverage(spark, sf_dir):
+    """Leverage of turns' bits (modulo 64) in the factor."""
+    s = _talk(spark, sf_dir)[0].select("id", F.array_distinct(F.transform("bits", lambda b: b % 64)).alias("bits"))
+    return matrices.leverage(s, _factor(spark, sf_dir)).select("id", F.round("leverage", 6).alias("leverage"))
+
+
+@_query
+def bit_promiscuity(spark, sf_dir):
+    return matrices.promiscuity(_factor(spark, sf_dir)).select("bit", F.round("energy", 6).alias("energy"), F.round("promiscuity", 9).alias("promiscuity"))
+
+
+@_query
+def hub_bits(spark, sf_dir):
+    return matrices.hubs(_factor(spark, sf_dir), 0.25)
+
+
+@_query
+def bit_correlation(spark, sf_dir):
+    """Of all pairs of the factor's columns."""
+    cells = _factor(spark, sf_dir)
+    bits = cells.select(F.col("bit").alias("i")).distinct()
+    return matrices.correlation(cells, bits.join(bits.toDF("j"), F.col("i") <= F.col("j"))).select("i", "j", F.round("x", 5).alias("x"))  # pairs of columns are the result
+
+
+def _spoken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    """(signatures of all words of conversations: id, seq, bits; weights; number of bits), in terms of the dictionary of one round over the conversations."""
+    talk = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 4096 + F.col("turn")).cast("long").alias("doc_id"), "text")
+    both = written(tok.frequencies(talk), "frequencies")
+    words, delims = (both.where(F.col("type") == k).select("value", "n") for k in "WD")
+    parts = dictionary.train(words, delims, 1)
+    s = signatures.encoded_texts(talk, parts).select(F.col("doc_id").alias("seq"), (F.col("doc_id") * 65536 + F.col("idx")).alias("id"), "bits")
+    return written(s, "spoken"), _weights(talk, parts), 3 * parts.count()
+
+
+@_query
+def train_codebook_3f(spark, sf_dir):
+    """A codebook of the signatures of all words of conversations, from a sketch of them all, with the words' own band emphasised."""
+    s, w, dim = _spoken(spark, sf_dir)
+    return learner.learn(s, w, learner.Settings(atoms=64, batch=16_384, boost=20.0, strip=0.01), dim)
+
+
+@_query
+def recon_metrics_3f(spark, sf_dir):
+    """How well a codebook that is learnt so gives back the signatures, on average: by band and in all."""
+    s, w, dim = _spoken(spark, sf_dir)
+    book = written(learner.learn(s, w, learner.Settings(atoms=64, batch=16_384, boost=20.0), dim), "book")
+    fired = written(codebook.pursuit(s.select("id", "bits"), book, learner.boosted(w, dim, 20.0)), "fired")
+    m = codebook.reconstruction(_long(s), _long(codebook.decoded(fired.where("size(atoms) > 0"), book)), w, dim // 3)
+    return m.agg(*[F.round(F.avg(c), 6).alias(c) for c in m.columns if c != "id"]).crossJoin(learner.utilisation(fired, book))  # a row each
+
+
 @_query
 def train_codebook(spark, sf_dir):
     """A codebook learnt from conversation turns."""

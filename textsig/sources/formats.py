@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dictionary
+from ..plans.tables import ranked
 
 _CODES = ("Start", "End", "Mid", "Letter", "Whole", "Delimiter")
 _BLOCKS = ("Whole", "Start", "Mid", "End", "Letter", "Delimiter")
@@ -31,7 +32,12 @@ def documents(spark: SparkSession, *paths: str) -> DataFrame:
 
 def word_list(spark: SparkSession, path: str) -> DataFrame:
     """word: the lines that aren't empty."""
-    return spark.read.text(path).select(F.regexp_replace("value", r"[\r\n]+$", "").alias("word")).where("word <> ''")
+    return stripped(spark.read.text(path).select(F.col("value").alias("word")), "word")
+
+
+def stripped(lines: DataFrame, column: str) -> DataFrame:
+    """Lines without the signs that end them, and without those that are empty then."""
+    return lines.withColumn(column, F.regexp_replace(column, r"[\r\n]+$", "")).where(F.col(column) != "")
 
 
 def parts_of(parts: DataFrame) -> list[Part]:
@@ -63,6 +69,21 @@ def to_text(parts: list[Part]) -> str:
     return "".join([shape[k].format(v) + "\n" for k, v in own if k in shape] + ["[delim]\n"] + [escape(v) + "\n" for k, v in own if k == "Delimiter"])
 
 
+def text_lines(parts: DataFrame) -> DataFrame:
+    """line (from 0), text: the lines of the text form as a table, for dictionaries of any size."""
+    shape = {"Whole": ("", ""), "Start": ("", "##"), "Mid": ("##", "##"), "End": ("##", "")}
+    fixed = parts.sparkSession.createDataFrame(dictionary.atoms(), "kind string, value string")
+    own = parts.where("kind <> 'Letter'").join(F.broadcast(fixed), ["kind", "value"], "left_anti")  # atoms: a set number
+    shown = F.lit(None).cast("string")
+    for kind, (a, b) in shape.items():
+        shown = F.when(F.col("kind") == kind, F.concat(F.lit(a), F.col("value"), F.lit(b))).otherwise(shown)
+    escaped = F.pandas_udf(lambda s: s.map(escape), "string")
+    words = own.where("kind <> 'Delimiter'").select(F.lit(0).alias("g"), "part_id", shown.alias("text"))
+    delims = own.where("kind = 'Delimiter'").select(F.lit(2).alias("g"), "part_id", escaped("value").alias("text"))
+    mark = parts.sparkSession.createDataFrame([(1, 0, "[delim]")], "g int, part_id int, text string")
+    return ranked(words.unionAll(mark).unionAll(delims), "g", "part_id").select((F.col("rank") - 1).alias("line"), "text")
+
+
 def from_text(text: str) -> list[Part]:
     out: list[Part] = []
     delimiters = False
