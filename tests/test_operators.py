@@ -173,6 +173,17 @@ def test_sketch_bounds(spark):
     assert gap.min() > -1e-2 and gap.max() <= (a**2).sum() / 10 and len(sigma) <= 10
 
 
+def test_product_with_a_small_matrix(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, x) for i, x in enumerate(rng.normal(size=(50, 6)).tolist())] + [(50, None), (51, [1.0, None, 2.0]), (51, [])]
+    e, b = spark.createDataFrame(rows, "k long, v array<double>"), rng.normal(size=(6, 3))
+    want = sorted((k, c, round(float(np.array([y or 0 for y in x] + [0.0] * (6 - len(x))) @ b[:, c]), 6)) for k, x in rows if x is not None for c in range(3))
+    got = sorted((r.row, r.col, round(r.x, 6)) for r in matrices.multiplied(e, "k", "v", b).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-5)
+    joined = {(r.row, r.col): r.x for r in matrices.multiplied(e.where("k < 50"), "k", "v", b, 0).collect()}
+    assert len(joined) == 150 and all(abs(joined[k, c] - x) < 1e-5 for k, c, x in want if k < 50)
+
+
 def test_product_of_all_rows(spark, tmp_path):
     rng = np.random.default_rng(7)
     rows = [(i, i % 10, x) for i, x in enumerate(rng.normal(size=(60, 8)).tolist())] + [(60, 1, None), (61, 1, []), (62, 1, [1.0, None, 2.0]), (5, 3, [1.0] * 8), (None, 0, [2.0] * 8)]
@@ -186,7 +197,7 @@ def test_product_of_all_rows(spark, tmp_path):
         got = matrices.rows_gram(e, "vec_id", "embedding", block).collect()
         assert len(got) == len(want) == 62**2 and all(abs(r.x - want[r.row, r.col]) < 1e-9 for r in got)
     e.write.parquet(f"{tmp_path}/embeddings.parquet")
-    whole = {(r.row, r.col): r.x for r in queries.queries()["matmul_whole"](spark, str(tmp_path)).collect()}
+    whole = {(r.row, r.col): r.x for r in queries.queries()["gram_rows"](spark, str(tmp_path)).collect()}
     assert whole.keys() == want.keys() and all(abs(x - want[k]) < 1e-4 for k, x in whole.items())
 
 

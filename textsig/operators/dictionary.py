@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.tables import ranked, written
+from ..plans.tables import written
 from . import thresholds
 
 SHORTEST, LONGEST, WHOLE_MOST, ROUNDS = 2, 7, 16, 20
@@ -220,7 +220,7 @@ def bins(words: DataFrame, parts: DataFrame, limit: int = BROADCAST_PARTS) -> Da
 
 def peel(words: DataFrame, parts: DataFrame, limit: int = BROADCAST_PARTS) -> DataFrame:
     """length, kind, value, weight, rank: the pieces that one round of peeling promotes."""
-    return thresholds.kept(bins(words, parts, limit), ["length", "kind"], "weight", "value")
+    return thresholds.kept(written(bins(words, parts, limit), "bins"), ["length", "kind"], "weight", "value")
 
 
 def whole_atoms(words: DataFrame, most: int = WHOLE_MOST) -> DataFrame:
@@ -241,7 +241,8 @@ def seeded(words: DataFrame, delimiters: DataFrame) -> DataFrame:
 def arranged(parts: DataFrame, *order: str) -> DataFrame:
     """part_id, kind, value: the distinct parts, numbered from 0 by the first of each in a total order of the columns named."""
     first = parts.groupBy("kind", "value").agg(F.min(F.struct(*[F.col(c) for c in order], F.col("value").alias("tie"), F.col("kind").alias("tie2"))).alias("at"))
-    return written(ranked(first, "at").select((F.col("rank") - 1).cast("int").alias("part_id"), "kind", "value"), "dictionary")
+    number = F.row_number().over(Window.orderBy("at")) - 1  # in one task: cut-offs bound a dictionary
+    return written(first.select(number.cast("int").alias("part_id"), "kind", "value"), "dictionary")
 
 
 def promoted(words: DataFrame, parts: DataFrame, limit: int = BROADCAST_PARTS) -> DataFrame:

@@ -265,6 +265,14 @@ def dense(bits: DataFrame) -> DataFrame:
     return bits.groupBy("id", F.expr("bit div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
 
 
+def dense_arrays(bits: DataFrame) -> DataFrame:
+    """id, bits: sets of bits (id, bit) as arrays of 64-bit words, all as long as the greatest bit needs."""
+    d = dense(bits)
+    most = d.agg(F.max("word")).first()[0] or 0
+    words = d.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))  # one entry for each word of an id
+    return words.select("id", F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0).cast("long"))).alias("bits"))
+
+
 def information(bits: DataFrame, weights: DataFrame, key: list[str]) -> DataFrame:
     """key, ic: the sum of the weights of each signature's bits. bits: key, bit."""
     return bits.join(weights, "bit").groupBy(*key).agg(F.sum("w").cast("long").alias("ic"))

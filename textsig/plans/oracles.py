@@ -232,8 +232,6 @@ SQL: dict[str, str] = {
     "bit_df": f"WITH RECURSIVE {_DF} SELECT bit, df FROM df",
     "surprisal_weights": f"WITH RECURSIVE {_DF} SELECT bit, df, w FROM weights",
     "info_content": f"WITH RECURSIVE {_SIGS} SELECT doc_id, sentence, idx, sum(w)::BIGINT AS ic FROM sig JOIN weights USING (bit) GROUP BY 1, 2, 3",
-    "jaccard_sparse": "WITH s AS (SELECT item_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda w: length(w)::INT)) AS b FROM benchmark) SELECT x.item_id AS a, y.item_id AS b, round(coalesce(len(list_intersect(x.b, y.b)) / nullif(len(x.b) + len(y.b) - len(list_intersect(x.b, y.b)), 0), 0.0)::DOUBLE, 9) AS jaccard FROM s x JOIN s y ON x.item_id < y.item_id",
-    "jaccard_dense": "WITH s AS (SELECT item_id, md5(text) AS m, [('0x' || substr(md5(text), 1, 15))::BIGINT, ('0x' || substr(md5(text), 17, 15))::BIGINT] AS b FROM benchmark) SELECT x.item_id AS a, y.item_id AS b, round(coalesce((bit_count(x.b[1] & y.b[1]) + bit_count(x.b[2] & y.b[2])) / nullif(bit_count(x.b[1] | y.b[1]) + bit_count(x.b[2] | y.b[2]), 0), 0.0)::DOUBLE, 9) AS jaccard FROM s x JOIN s y ON x.item_id < y.item_id",
     "gram": "WITH c AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT (a.k - 1)::INT AS i, (b.k - 1)::INT AS j, round(sum(a.x * b.x), 4) AS x FROM c a JOIN c b USING (vec_id) GROUP BY 1, 2",
 }
 
@@ -286,7 +284,6 @@ SQL |= {
     "weights_rescaled": f"WITH {_TALK} SELECT bit, round(w / max(w) OVER (), 9)::DOUBLE AS scaled FROM sw",
     "surprisal": "SELECT DISTINCT l_discount::DOUBLE AS p, CASE WHEN l_discount > 0 THEN round(-ln(l_discount::DOUBLE), 9) ELSE 'inf'::DOUBLE END AS bits FROM lineitem",
     "bit_cooccurrence": f"WITH {_TALK} SELECT a.bit AS i, b.bit AS j, count(*) AS n FROM sb a JOIN sb b ON a.id = b.id AND a.bit <= b.bit GROUP BY 1, 2",
-    "matmul": "WITH c AS (SELECT vec_id, unnest(range(0, len(embedding))) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE label = 0) SELECT a.vec_id AS row, b.vec_id AS col, round(sum(a.x * b.x), 5) AS x FROM c a JOIN c b USING (k) GROUP BY 1, 2",
     "context_jaccard": f"WITH {SEGMENTS}, {_WORDS}, {_ATOMS_SPELT}, first_ AS (SELECT doc_id, value, sentence, min(idx) AS idx FROM segments WHERE type = 'W' GROUP BY 1, 2, 3), f AS (SELECT first_.*, list(bit) AS bits FROM first_ JOIN sig USING (doc_id, sentence, idx) GROUP BY ALL) SELECT x.doc_id AS item_id, x.value, x.sentence AS a, y.sentence AS b, round(len(list_intersect(x.bits, y.bits)) / (len(x.bits) + len(y.bits) - len(list_intersect(x.bits, y.bits)))::DOUBLE, 9) AS jaccard FROM f x JOIN f y ON x.doc_id = y.doc_id AND x.value = y.value AND x.sentence < y.sentence".replace("FROM documents WHERE text <> ''", "FROM (SELECT item_id AS doc_id, text FROM benchmark) WHERE text <> ''"),
 }
 _CUT = "SELECT o_orderpriority, coalesce((SELECT max(v) FROM cut_r r WHERE r.i = c.{0} AND r.o_orderpriority = c.o_orderpriority), 0.0) AS threshold FROM cut c"
@@ -326,5 +323,13 @@ SQL |= {
     "fd_leverage": f"WITH {_TALK}, {_FACTOR}, e AS (SELECT r, sum(x * x) AS s2 FROM cells GROUP BY r), c AS (SELECT r, 1 / (s2 * (s2 + (SELECT avg(s2) FROM e))) AS c FROM e WHERE s2 > 0), t AS (SELECT DISTINCT id, bit % 64 AS bit FROM sb), p AS (SELECT id, r, sum(x) AS p FROM t JOIN cells USING (bit) GROUP BY 1, 2), l AS (SELECT id, sum(p * p * c) AS leverage FROM p JOIN c USING (r) GROUP BY 1) SELECT s.id, round(coalesce(leverage, 0.0), 6) AS leverage FROM s LEFT JOIN l USING (id)",
     "bit_promiscuity": f"WITH {_FACTOR} SELECT bit::INT AS bit, round(sum(x * x), 6) AS energy, round(coalesce(sum(x * x) FILTER (r = 0), 0.0) / sum(x * x), 9) AS promiscuity FROM cells GROUP BY 1 HAVING sum(x * x) > 0",
     "hub_bits": f"WITH {_FACTOR}, p AS (SELECT bit, round(coalesce(sum(x * x) FILTER (r = 0), 0.0) / sum(x * x), 9) AS promiscuity FROM cells GROUP BY 1 HAVING sum(x * x) > 0) SELECT bit::INT AS bit FROM (SELECT bit, row_number() OVER (ORDER BY promiscuity DESC, bit) AS rank FROM p) WHERE rank <= floor(0.25 * (SELECT count(*) FROM p))",
-    "bit_correlation": f"WITH {_FACTOR} SELECT a.bit::INT AS i, b.bit::INT AS j, round(sum(a.x * b.x), 5) AS x FROM cells a JOIN cells b ON a.r = b.r AND a.bit <= b.bit GROUP BY 1, 2",
+    "bit_correlation": f"WITH {_FACTOR} SELECT a.bit::INT AS i, b.bit::INT AS j, round(sum(a.x * b.x), 5) + 0.0::DOUBLE AS x FROM cells a JOIN cells b ON a.r = b.r AND a.bit <= b.bit GROUP BY 1, 2",
+}
+_PAIRED = f"WITH {_TALK}, {_NEXT} SELECT a, b, round(coalesce(len(list_intersect(x.bits, y.bits)) / nullif(len(x.bits) + len(y.bits) - len(list_intersect(x.bits, y.bits)), 0), 0.0)::DOUBLE, 9) AS jaccard FROM pairs JOIN s x ON x.id = a JOIN s y ON y.id = b"
+_CELLS = "c AS (SELECT vec_id, unnest(range(0, len(embedding))) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings)"
+SQL |= {
+    "jaccard_sparse": _PAIRED,
+    "jaccard_dense": _PAIRED + " WHERE len(x.bits) > 0 AND len(y.bits) > 0",
+    "matmul": f"WITH {_CELLS}, g AS (SELECT a.k AS i, b.k AS j, sum(a.x * b.x) AS x FROM c a JOIN c b USING (vec_id) GROUP BY 1, 2) SELECT vec_id AS row, j::INT AS col, round(sum(c.x * g.x), 3) + 0.0::DOUBLE AS x FROM c JOIN g ON i = k GROUP BY 1, 2",
+    "gram_rows": f"WITH {_CELLS} SELECT a.vec_id AS row, b.vec_id AS col, round(sum(a.x * b.x), 5) + 0.0::DOUBLE AS x FROM c a JOIN c b USING (k) GROUP BY 1, 2",
 }

@@ -337,21 +337,21 @@ def info_content(spark, sf_dir):
     return signatures.summed_texts(docs, parts, {"ic": _by_bit(_weights(docs, parts), 3 * parts.count())})
 
 
-def _pairs(spark: SparkSession, sf_dir: str, bits) -> DataFrame:  # noqa: ANN001
-    s = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", bits.alias("bits"))
-    return s.select(F.col("item_id").alias("a"), F.col("bits").alias("x")).join(s.select(F.col("item_id").alias("b"), F.col("bits").alias("y")), F.col("a") < F.col("b"))
-
-
 @_query
 def jaccard_sparse(spark, sf_dir):
-    bits = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.length(w)))
-    return _pairs(spark, sf_dir, bits).select("a", "b", F.round(signatures.jaccard(F.col("x"), F.col("y")), 9).alias("jaccard"))
+    """Each turn with the next one of its conversation."""
+    s = _talk(spark, sf_dir)[0]
+    both = _next(s).join(s.toDF("a", "x"), "a").join(s.toDF("b", "y"), "b")
+    return both.select("a", "b", F.round(signatures.jaccard(F.col("x"), F.col("y")), 9).alias("jaccard"))
 
 
 @_query
 def jaccard_dense(spark, sf_dir):
-    word = lambda i: F.conv(F.substring(F.md5("text"), i, 15), 16, 10).cast("long")
-    return _pairs(spark, sf_dir, F.array(word(1), word(17))).select("a", "b", F.round(signatures.dense_jaccard(F.col("x"), F.col("y")), 9).alias("jaccard"))
+    """The same of sets as arrays of 64-bit words."""
+    s = _talk(spark, sf_dir)[0]
+    d = signatures.dense_arrays(_long(s))
+    both = _next(s).join(d.toDF("a", "x"), "a").join(d.toDF("b", "y"), "b")
+    return both.select("a", "b", F.round(signatures.dense_jaccard(F.col("x"), F.col("y")), 9).alias("jaccard"))
 
 
 @_query
@@ -510,18 +510,16 @@ def bit_cooccurrence(spark, sf_dir):
 
 @_query
 def matmul(spark, sf_dir):
-    """The embeddings of label 0 times the transpose of the first label's: cosine-like products by row and row."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("label = 0")
-    a = matrices.cells(e, "vec_id", "embedding")
-    b = a.select(F.col("col").alias("row"), F.col("row").alias("col"), "x")
-    return matrices.matmul(a, b).select("row", "col", F.round("x", 5).alias("x"))
+    """All embeddings times the sums of products of their columns."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return matrices.multiplied(e, "vec_id", "embedding", matrices.columns_gram(e, "embedding")).select("row", "col", (F.round("x", 3) + 0.0).alias("x"))
 
 
 @_query
-def matmul_whole(spark, sf_dir):
-    """All embeddings times their transpose. Without SQL: rows by rows are too many for it."""
+def gram_rows(spark, sf_dir):
+    """All embeddings times their transpose: rows by rows, as the product has."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return matrices.rows_gram(e, "vec_id", "embedding").select("row", "col", F.round("x", 5).alias("x"))
+    return matrices.rows_gram(e, "vec_id", "embedding").select("row", "col", (F.round("x", 5) + 0.0).alias("x"))
 
 
 @_query
@@ -684,7 +682,7 @@ def bit_correlation(spark, sf_dir):
     """Of all pairs of the factor's columns."""
     cells = _factor(spark, sf_dir)
     bits = cells.select(F.col("bit").alias("i")).distinct()
-    return matrices.correlation(cells, bits.join(bits.toDF("j"), F.col("i") <= F.col("j"))).select("i", "j", F.round("x", 5).alias("x"))  # pairs of columns are the result
+    return matrices.correlation(cells, bits.join(bits.toDF("j"), F.col("i") <= F.col("j"))).select("i", "j", (F.round("x", 5) + 0.0).alias("x"))  # pairs of columns are the result
 
 
 def _spoken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
