@@ -50,9 +50,9 @@ SKETCH, CHUNK, FAN = 1 << 24, 1 << 16, 64
 #: Index entries in a part, sets and bytes of sets in a tile of a block, bytes of sets in a group of blocks, and row ids that may be broadcast (8 bytes each).
 ENTRIES, TILE, TILE_BYTES, GROUP_BYTES, BROADCAST_ROWS = 4_000_000, 8192, 16_000_000, 12_000_000, 4_000_000
 #: Sets that are held against each other in one matrix product.
-SQUARE = 1024
-#: Index entries, or n-grams to be counted, that a task holds before it packs them.
-PACK = 1 << 22
+SQUARE = 512
+#: Index entries, and n-grams to be counted, that a task holds before it packs them.
+PACK, COUNT = 1 << 20, 1 << 22
 #: Sets of an index entry up to which its pairs are compared one by one.
 FEW = 128
 #: Turns in which a part of the index is worked off, for the sake of memory.
@@ -151,7 +151,7 @@ def fingerprints(docs: DataFrame, n: int = N) -> DataFrame:
                 profile += _profiles(row, h, each)
                 held.append((h & U(SKETCH - 1)).astype(np.int32))
                 some += len(h)
-            if some > PACK:
+            if some > COUNT:
                 yield flush()
                 held, some = [], 0
             nothing = [pa.nulls(len(fp), t) for t in (pa.int32(), pa.int32(), pa.binary())]
@@ -310,6 +310,7 @@ def _edges(docs: DataFrame, n: int, threshold: float, cost: np.ndarray, ms: np.n
 
         def flush() -> pa.RecordBatch:
             entry, place, code, fp = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             part = (entry % U(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")  # a set's entries of a part stay together
             part, entry, place, code, fp = part[order], entry[order], place[order], code[order], fp[order]
@@ -331,9 +332,9 @@ def _edges(docs: DataFrame, n: int, threshold: float, cost: np.ndarray, ms: np.n
                     row_, entry, place = _entries(row, h, size, up, cost, ms, ks, threshold)
                     held.append((entry, place, code[row_], fp[row_]))
                     some += len(entry)
-            if some >= PACK:
-                yield flush()
-                held, some = [], 0
+                if some >= PACK:
+                    yield flush()
+                    some = 0
         if some:
             yield flush()
 

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import spread
 from . import bpe, chats, counts, leaks, licenses, near, parsing, pii, quality, warc
 from .shared import documents
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.classify(spread(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +21,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(documents(spark, sf_dir))
+    return licenses.scan(spread(documents(spark, sf_dir)))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def branching_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return leaks.find(spread(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,15 +47,15 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(documents(spark, sf_dir))
+    return bpe.encode(spread(documents(spark, sf_dir)))
 
 
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.fingerprint(documents(spark, sf_dir))
+    return parsing.fingerprint(spread(documents(spark, sf_dir)))
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(documents(spark, sf_dir))
+    return pii.find(spread(documents(spark, sf_dir)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
