@@ -369,9 +369,6 @@ def text_of(encoder: Encoder, ids: np.ndarray, piece: int = 1 << 16) -> str:
     return "".join(out) + machine.finish()
 
 
-_built: dict[bytes, Encoder] = {}
-
-
 def digest(ranks: dict[bytes, int]) -> bytes:
     """Of all entries of a vocabulary."""
     h = hashlib.sha256()
@@ -381,12 +378,8 @@ def digest(ranks: dict[bytes, int]) -> bytes:
 
 
 def encoder(ranks: dict[bytes, int], key: bytes | None = None) -> Encoder:
-    """One encoder for a Python worker and vocabulary; key: its `digest`, where that is known."""
-    key = key or digest(ranks)
-    if key not in _built:
-        _built.clear()
-        _built[key] = Encoder(ranks)
-    return _built[key]
+    """The encoder that a Python worker keeps for a vocabulary; key: its `digest`, where that is known."""
+    return vec.held(("bpe", key or digest(ranks)), lambda: Encoder(ranks))
 
 
 def _tokens(column: pa.Array, enc: Encoder) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:

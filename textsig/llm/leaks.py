@@ -148,9 +148,6 @@ def bundles(items: DataFrame, size: int) -> Iterator[list[tuple[int | None, str]
         yield out
 
 
-_built: dict[object, Matcher] = {}
-
-
 def _named(items: list[tuple[int | None, str]]) -> tuple[bytes, list[tuple[int | None, str]]]:
     """The items with a digest of them all, by which a worker knows them."""
     return hashlib.sha256(repr(items).encode("utf-8", "surrogatepass")).digest(), items
@@ -158,10 +155,7 @@ def _named(items: list[tuple[int | None, str]]) -> tuple[bytes, list[tuple[int |
 
 def _matcher(shared, rate: float) -> Matcher:
     name, items = shared.value
-    if (name, rate) not in _built:
-        _built.clear()
-        _built[name, rate] = Matcher(items, rate)
-    return _built[name, rate]
+    return vec.held(("leaks", name, rate), lambda: Matcher(items, rate))
 
 
 def find(docs: DataFrame, items: DataFrame, rate: float = RATE, bundle: int = BUNDLE) -> DataFrame:

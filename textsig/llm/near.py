@@ -167,29 +167,28 @@ def frequencies(found: DataFrame) -> np.ndarray:
     """Of each bucket of the count sketch of all sets, twice the binary logarithm of its count (63 at most): SKETCH bytes, whatever the input.
     The tasks' sketches are added up in a tree, those of FAN tasks at a time."""
 
+    def total(table: pa.Table) -> np.ndarray:
+        return sum(_unpacked(x.as_py()) for x in table.column("counts"))
+
     def add(table: pa.Table) -> pa.Table:
-        total = sum(_unpacked(x.as_py()) for x in table.column("counts"))
-        return pa.table({"task": table.column("task").slice(0, 1), "chunk": table.column("chunk").slice(0, 1), "counts": pa.array([_packed(total)], pa.binary())})
+        return pa.table({"task": table.column("task").slice(0, 1), "chunk": table.column("chunk").slice(0, 1), "counts": pa.array([_packed(total(table))], pa.binary())})
+
+    def code(table: pa.Table) -> pa.Table:
+        codes = np.minimum(63, 2 * np.log2(np.maximum(total(table), 1))).astype(np.uint8).tobytes()
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "codes": pa.array([codes], pa.binary())})
 
     part = found.where("chunk is not null").select("task", "chunk", "counts")
     tasks = part.agg(F.max("task")).first()[0]
     if tasks is None:
         return np.zeros(SKETCH, np.uint8)
     tasks += 1
-    while True:
+    while tasks > FAN:
         part = part.withColumn("task", F.expr(f"cast(task div {FAN} as int)")).groupBy("chunk", "task").applyInArrow(add, "task int, chunk int, counts binary")
-        tasks = -(-tasks // FAN)
-        if tasks == 1:
-            break
         part = written(part, "near-counts")
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            codes = [np.minimum(63, 2 * np.log2(np.maximum(_unpacked(x.as_py()), 1))).astype(np.uint8).tobytes() for x in b.column("counts")]
-            yield pa.RecordBatch.from_arrays([b.column("chunk"), pa.array(codes, pa.binary())], names=["chunk", "codes"])
+        tasks = -(-tasks // FAN)
 
     out = np.zeros((SKETCH // CHUNK, CHUNK), np.uint8)
-    for r in part.mapInArrow(code, "chunk int, codes binary").collect():  # SKETCH bytes
+    for r in part.groupBy("chunk").applyInArrow(code, "chunk int, codes binary").collect():  # SKETCH bytes
         out[r.chunk] = np.frombuffer(r.codes, np.uint8)
     return out.ravel()
 

@@ -322,11 +322,17 @@ def _chars(data: np.ndarray, at: np.ndarray, base: np.ndarray) -> np.ndarray:
     return heads[at] - heads[base]
 
 
+def _forget() -> None:
+    outline.cache_clear()
+    features.cache_clear()
+
+
 def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, kind, start, end (characters, from 0, end excluded): the personal data of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(model or train())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vec.held("pii", lambda: None, _forget)
         m, kinds = shared.value, np.array(KINDS)
         for batch in vec.sliced(batches):
             for a, b, data, off in vec.chunked(batch.column("text")):
@@ -345,6 +351,7 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model or train())
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vec.held("pii", lambda: None, _forget)
         m = shared.value
         for batch in vec.sliced(batches):
             at = batch.schema.get_field_index("text")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,23 @@ pa.set_memory_pool(pa.system_memory_pool())
 with contextlib.suppress(OSError, AttributeError):  # elsewhere than with glibc; there large arrays go back to the system at once
     ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)
 
+_held: list = []
+
+
+def held(key: object, make: Callable[[], object], drop: Callable[[], None] | None = None) -> object:
+    """What make gives, kept for later tasks of this Python worker until something else is asked for under another key; drop: what then lets go of it besides.
+    One thing is kept at a time, so that a worker that serves several operators in turn is never as large as all of them together."""
+    if not _held or _held[0] != key:
+        if _held and _held[2]:
+            _held[2]()
+        _held.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _held.extend((key, make(), drop))
+    return _held[1]
+
+
 U = np.uint64
 #: Bytes of a word: ASCII letters and digits, and every byte of a character beyond ASCII.
 WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
