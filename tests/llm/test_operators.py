@@ -199,6 +199,28 @@ def test_jaccard_join_of_large_blocks(spark, monkeypatch):
     assert {(r.doc_a, r.doc_b): r.jaccard for r in near.jaccard_join(table(spark, rows), tile=8).collect()} == brute_pairs(rows)
 
 
+def test_near_chance_entries_make_no_candidates(spark):
+    """Two rare n-grams in common make no candidate pair; the pairs within the bound are all found."""
+    rng, rows = random.Random(11), []
+    for i in range(60):  # each text shares a rare run of three words with the next one
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        words[:3], words[-3:] = (f"run{i}{x}" for x in "abc"), (f"run{(i + 1) % 60}{x}" for x in "abc")
+        rows.append((i, " ".join(words)))
+    for i in range(0, 60, 3):
+        words = rows[i][1].split()
+        for at in rng.sample(range(5, 55), rng.randrange(1, 6)):
+            words[at] = f"v{rng.randrange(10**6)}"
+        rows.append((100 + i, " ".join(words)))
+    docs = table(spark, rows)
+    found = written(near.fingerprints(docs), "prints")
+    limits, cost = near.allocate(near.frequencies(found), near.THRESHOLD), np.zeros(near.SKETCH, np.uint8)  # all n-grams count as equally rare
+    edges = near._edges(docs, near.N, near.THRESHOLD, cost, *limits, 7).collect()
+    text = {r.fp: r.doc_id for r in found.where("fp is not null").collect()}
+    assert all(text[r.a] % 100 == text[r.b] % 100 for r in edges)
+    pairs = {(r.doc_a, r.doc_b): r.jaccard for r in near.jaccard_join(docs).collect()}
+    assert pairs == brute_pairs(rows) and 5 < len(pairs)
+
+
 def test_keep_one(spark):
     rows = near_rows(4)
     docs = table(spark, rows)

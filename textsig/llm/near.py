@@ -9,9 +9,13 @@ A pair of Jaccard t or more differs in at most D = (1-t)/(1+t) * (|x|+|y|) n-gra
   rarest n-gram, from a count sketch over all documents, then hash). If x and y shared none of these, D-2k+1 of x's segments
   would differ from y's, one n-gram each, which is more than is left.
 
+One entry is often shared by chance, the more often the more sets there are. Where nearly every segment has one n-gram and k is 0, sets of LONG n-grams or more
+therefore index SHARED - 1 entries more, and a pair of two of these must share SHARED: the first SHARED segments that the two have in common
+have at most D others before them in either, so they are among those indexed in both. Shared entries are added up over all parts of the index.
+
 Sets that share an entry are held against each other there and then, where they are few, by size. A pair need only be found by the
-first entry in the global order that its sets share, so an entry counts no longer for a pair whose sets have too many segments of
-one n-gram before it: none of these is shared, and each is a difference. An entry
+first entries in the global order that its sets share, so an entry counts no longer for a pair whose sets have too many segments of
+one n-gram before it: all but the shared ones among the first SHARED are differences. An entry
 travels with its place, six bytes in all, and the fingerprint and size of a set once for all of its entries in one part of the index: from 7 bytes an
 entry where there are few parts to 20 where there are as many as a set has entries.
 
@@ -55,6 +59,8 @@ SQUARE = 512
 PACK, COUNT = 1 << 20, 1 << 22
 #: Sets of an index entry up to which its pairs are compared one by one.
 FEW = 128
+#: Entries that sets of LONG n-grams or more share, if they are a pair.
+SHARED, LONG = 3, 16
 #: Turns in which a part of the index is worked off, for the sake of memory.
 SLICES = 4
 U = np.uint64
@@ -234,8 +240,13 @@ def _shift(size: np.ndarray) -> np.ndarray:
     return np.maximum(0, np.floor(np.log2(np.maximum(size, 1)) + 1e-12).astype(np.int64) - 7)
 
 
+def _sparse(ms: np.ndarray, ks: np.ndarray) -> np.ndarray:
+    """Whether nearly every segment of a band's scheme has one n-gram, and k is 0, by band."""
+    return (ks == 0) & (ms >= (8 * 4.0 ** np.arange(1, BANDS + 1)).astype(np.uint64))
+
+
 def _entries(row: np.ndarray, h: np.ndarray, size: np.ndarray, up: int, cost: np.ndarray, ms: np.ndarray, ks: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, 40-bit index entry, place) in each row's own scheme, or (up = 1) in that of the next band, for rows with partners there.
+    """(row, 40-bit index entry, whose second bit is the scheme's lowest if that is sparse, place) in each row's own scheme, or (up = 1) in that of the next band, for rows with partners there.
     place: how many of the row's entries before it are segments of one n-gram, shortened."""
     scheme = np.minimum(_band(size) + up, BANDS - 1)
     part = np.floor(size / threshold + 1e-9)
@@ -255,11 +266,14 @@ def _entries(row: np.ndarray, h: np.ndarray, size: np.ndarray, up: int, cost: np
     rare = np.minimum.reduceat(cost[(h & U(len(cost) - 1)).astype(np.int64)], first).astype(np.uint64)
     entry = (vec.mix(total + salt) >> U(25) << U(1)) | single
     near = g.astype(np.int64) < k[r]
+    sparse = _sparse(ms, ks)[scheme]
+    entry = np.where(sparse[r], (entry & ~U(2)) | ((scheme[r].astype(np.uint64) & U(1)) << U(1)), entry)
+    more = np.where(sparse & (size >= LONG), SHARED - 1, 0)
     key = np.sort((r[~near].astype(np.uint64) << U(52)) | (rare[~near] << U(46)) | entry[~near])
     kr = (key >> U(52)).astype(np.int64)
     n = np.bincount(kr, minlength=len(size))
     begin = (np.cumsum(n) - n)[kr]
-    chosen = np.arange(len(key)) - begin < (most + 1 - 2 * k)[kr]
+    chosen = np.arange(len(key)) - begin < (most + 1 + more - 2 * k)[kr]
     singles = np.concatenate([[0], np.cumsum(key & U(1))]).astype(np.int64)
     place = np.minimum((singles[:-1] - singles[begin]) >> _shift(size)[kr], 255).astype(np.uint8)
     rows, out, places = [kr[chosen]], [key[chosen] & U((1 << 46) - 1)], [place[chosen]]
@@ -299,8 +313,8 @@ def _between(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _edges(docs: DataFrame, n: int, threshold: float, cost: np.ndarray, ms: np.ndarray, ks: np.ndarray, parts: int) -> DataFrame:
-    """Pairs (a, b) of fingerprints, a < b, distinct by part: of the sets of an index entry that may be similar, directly or by way of others of
-    the entry, the least fingerprint with every other; so there are never more pairs than index entries. Of an entry with over FEW sets, all are taken together."""
+    """Distinct pairs (a, b) of fingerprints, a < b, that share SHARED index entries, or one where a set is short or the scheme isn't sparse. Of sets that do so in one part, directly or
+    by way of others, the least fingerprint with every other; the same of all sets of an entry with over FEW, which need share no other."""
     shared = docs.sparkSession.sparkContext.broadcast((cost, ms, ks))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +324,7 @@ def _edges(docs: DataFrame, n: int, threshold: float, cost: np.ndarray, ms: np.n
         def flush() -> pa.RecordBatch:
             entry, place, code, fp = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            part = (entry % U(parts)).astype(np.int32)
+            part = ((entry >> U(2)) % U(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")  # a set's entries of a part stay together
             part, entry, place, code, fp = part[order], entry[order], place[order], code[order], fp[order]
             own = np.concatenate([[True], (part[1:] != part[:-1]) | (fp[1:] != fp[:-1])])
@@ -346,11 +360,12 @@ def _edges(docs: DataFrame, n: int, threshold: float, cost: np.ndarray, ms: np.n
         names, where, back = np.unique(read("sets", np.int64, 0, 14), return_index=True, return_inverse=True)  # in order of fp
         least, most = _between(read("sets", np.uint16, 12, 14)[where])
         shift, total, who = _shift(least), len(names), np.repeat(back.astype(np.int32), read("sets", np.uint32, 8, 14))
-        share, found = (1 - threshold) / (1 + threshold), []
+        share, band, sparse = (1 - threshold) / (1 + threshold), np.minimum(_band(least), BANDS - 1), _sparse(ms, ks)
+        found, times, sure = [], [], []
         for q in range(SLICES):  # a share of the entries at a time
             here = (low >> np.uint32(16)) % SLICES == q
             entry, mine = low[here].astype(np.uint64) | (high[here].astype(np.uint64) << U(32)), who[here]
-            slack = (share * most[mine] - (place[here].astype(np.int64) << shift[mine])).astype(np.float32)
+            slack = (share * most[mine] - (place[here].astype(np.int64) << shift[mine]) + (SHARED - 1) * (least[mine] >= LONG)).astype(np.float32)
             key = (entry << U(24)) | mine.astype(np.uint64)  # a part has fewer than 2 ** 24 sets
             order = np.argsort(key)
             key = key[order]
@@ -366,7 +381,8 @@ def _edges(docs: DataFrame, n: int, threshold: float, cost: np.ndarray, ms: np.n
             k = np.diff(np.append(first, len(entry)))
             for i in np.flatnonzero(k > FEW):
                 some = np.unique(mine[first[i] : first[i] + k[i]]).astype(np.int64)
-                found.append(some[0] * total + some[1:])
+                sure.append(some[0] * total + some[1:])
+            here = [np.zeros(0, np.int64)]
             for few in range(2, FEW + 1):
                 i, j = np.triu_indices(few, 1)
                 rows, step = first[k == few], max(1, 300_000 // len(i))
@@ -375,17 +391,25 @@ def _edges(docs: DataFrame, n: int, threshold: float, cost: np.ndarray, ms: np.n
                     s, x = slack[x], mine[x].astype(np.int64)
                     a, b = x[:, i], x[:, j]
                     near = (np.minimum(most[a], most[b]) >= threshold * np.maximum(least[a], least[b]) - 1e-9) & (s[:, i] + s[:, j] >= -0.5)
-                    r, p = np.nonzero(near)
-                    group = _components(x.size, r * few + i[p], r * few + j[p])
-                    member = np.flatnonzero(group != np.arange(x.size))
-                    x = x.ravel()  # ascends within an entry
-                    found.append(np.unique(x[group[member]] * total + x[member]))
-            found = [np.unique(np.concatenate(found))] if found else []
-        key = found[0] if found else np.zeros(0, np.int64)
-        return pa.table({"a": names[key // max(total, 1)], "b": names[key % max(total, 1)]})
+                    scheme = np.maximum(band[a], band[b])  # that in which the pair counts, so that no n-gram counts twice
+                    near &= ~sparse[scheme] | (scheme & 1 == ((entry[rows[at : at + step]] >> U(1)) & U(1)).astype(np.int64)[:, None])
+                    here.append((a * total + b)[near])  # a < b, as x ascends within an entry
+            key, n = np.unique(np.concatenate(here), return_counts=True)
+            found.append(key)
+            times.append(n)
+        key, back = np.unique(np.concatenate(found), return_inverse=True)
+        n = np.bincount(back, np.concatenate(times), len(key)).astype(np.int64)
+        a, b = key // max(total, 1), key % max(total, 1)
+        enough = n >= np.where(sparse[np.maximum(band[a], band[b])] & (np.minimum(least[a], least[b]) >= LONG), SHARED, 1)
+        group = _components(total, a[enough], b[enough])
+        member = np.flatnonzero(group != np.arange(total))
+        sure = np.unique(np.concatenate([*sure, group[member] * total + member]))
+        a, b = np.concatenate([a[~enough], sure // max(total, 1)]), np.concatenate([b[~enough], sure % max(total, 1)])
+        return pa.table({"a": names[a], "b": names[b], "n": np.concatenate([n[~enough], np.full(len(sure), SHARED)]).astype(np.int32)})
 
     packed = numbered(docs).select("text").mapInArrow(index, "part int, entries binary, sets binary")
-    return packed.groupBy("part").applyInArrow(meet, "a long, b long")
+    met = packed.groupBy("part").applyInArrow(meet, "a long, b long, n int")
+    return met.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED).select("a", "b")
 
 
 def _verify(sets: list[np.ndarray], threshold: float, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
