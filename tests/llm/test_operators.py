@@ -295,6 +295,25 @@ def test_transducer_emits_early_and_survives_empty_tables(monkeypatch):
     assert max(waits) < 60
 
 
+def test_pretokens_beyond_the_named_states_go_side_by_side(monkeypatch):
+    monkeypatch.setattr(bpe, "STATES", 50)
+    ranks, enc, rng, steps, one = bpe.load(), library_encoding(), random.Random(11), [], bpe.Transducer._step
+    monkeypatch.setattr(bpe.Transducer, "_step", lambda t, state, byte: steps.append(byte) or one(t, state, byte))
+    words = ["".join(rng.choice("aeinorstlhdé中🙂") for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    texts = [" ".join(words), "a" * 3000, "=" * 3000, *(" " * k + "-" * k for k in range(2, 300, 9)), "", *odd_texts(300, 12)]
+    data = "".join(texts).encode()
+    flat, number = bpe.Encoder(ranks).encode(np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(number)[:-1])] == [enc.encode_ordinary(t) for t in texts]
+    assert len(steps) < len(data) / 4  # those of the first and of the longest few
+    t = bpe.Transducer({b"a": 0, b"b": 1, b"ab": 2, b"aba": 3})
+    small = [b"a", b"aab", b"abab", b"aaba", b"b"]
+    want = [t.encode(p) for p in small if p not in t.ranks]
+    flat, number = t.together([p for p in small if p not in t.ranks])
+    assert [x.tolist() for x in np.split(flat, np.cumsum(number)[:-1])] == want
+    with pytest.raises(ValueError):
+        t.together([b"ab", b"acb"])
+
+
 def test_utf8_machine():
     rng = random.Random(6)
     for _ in range(500):

@@ -6,7 +6,9 @@ before it. That token is the one entry that ends there and is compatible with wh
 their bytes gives the two again), so a step needs only the boundaries that are alive. What all of them share is certain and is
 emitted; the wait is bounded by the longest entry. Sets of live boundaries are named as states when they first occur, up to
 STATES of them, and transitions are tables from then on: the automaton is determinised lazily. Each distinct pre-token of a task runs through it
-once.
+once. Large corpora have more states than there are names; from then on the new pre-tokens of a chunk go through the transducer side by
+side, in arrays (`Transducer.together`): what follows each boundary in the trie is found for all of them, and then at each step the last token at one
+boundary of each.
 
 Decoding joins the tokens' bytes and turns them to text piece by piece; `Utf8` holds back an unfinished character until
 its other bytes arrive.
@@ -33,6 +35,8 @@ from . import vec
 #: The rank file of a public tokenizer: base64 of the bytes and the rank, a line for each entry.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 STATES, REMEMBERED = 60_000, 600_000
+#: Pre-tokens from which on, and bytes of pre-tokens up to which, they go through the transducer side by side; pairs of tokens whose compatibility is kept then.
+SEVERAL, BESIDE, PAIRS = 32, 1 << 15, 1 << 18
 _LETTER, _NUMBER, _SPACE = 1, 2, 3
 _classes: list[np.ndarray] = []
 
@@ -95,6 +99,43 @@ def pretokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return begin, np.append(begin[1:], len(data)), np.diff(np.searchsorted(s, roff))
 
 
+class Table:
+    """Values (0 or more) of distinct 64-bit keys, of which many are looked up at a time: -1 where there is none. Open addressing, a quarter full."""
+
+    FREE = np.uint64(2**64 - 1)
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = (4 * len(keys) + 15).bit_length()
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, self.FREE), np.full(1 << bits, -1, np.int32)
+        at = self._slot(keys)
+        while len(keys):
+            free = self.keys[at] == self.FREE
+            self.keys[at[free]] = keys[free]  # of several with one slot, one gets it
+            got = self.keys[at] == keys
+            self.values[at[got]] = values[got]
+            at, keys, values = (at[~got] + 1) & self.last, keys[~got], values[~got]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        there = self.keys[at]
+        hit = there == keys
+        out = np.where(hit, self.values[at], -1)
+        left = np.flatnonzero(~hit & (there != self.FREE))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & self.last
+            there, want = self.keys[at], keys[left]
+            hit = there == want
+            out[left[hit]] = self.values[at[hit]]
+            more = ~hit & (there != self.FREE)
+            left, at = left[more], at[more]
+        return out
+
+
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -116,6 +157,7 @@ class Transducer:
                 node = following
             self.token[node] = t
         self._compatible: dict[tuple[int, int], bool] = {}
+        self._arrays: tuple | None = None
         self._reset()
 
     def _spell(self, ranks: dict[bytes, int]) -> None:
@@ -262,6 +304,114 @@ class Transducer:
         out.extend(self.end(state))
         return out
 
+    def encode_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of all pre-tokens, number by pre-token): one by one as long as there are names for new states, and beyond that side by side,
+        but for the few that are much longer than the others."""
+        out: list[list[int] | None] = [None] * len(pieces)
+        k = 0
+        while k < len(pieces) and (len(self.states) < STATES or len(pieces) - k < SEVERAL):
+            out[k] = self.encode(pieces[k])
+            k += 1
+        length = np.array([0 if x is None else len(x) for x in out], np.int64)
+        if k == len(pieces):
+            return np.fromiter((t for x in out for t in x), np.int32, int(length.sum())), length
+        size = np.array([len(p) for p in pieces[k:]], np.int64)
+        most = min(BESIDE, max(SEVERAL, int(np.partition(size, -SEVERAL)[-SEVERAL])))
+        for i in (k + np.flatnonzero(size > most)).tolist():
+            out[i] = self.encode(pieces[i])
+        rest = [i for i in range(k, len(pieces)) if out[i] is None]
+        for i in rest:
+            whole = self.ranks.get(pieces[i])
+            if whole is not None:
+                out[i] = [whole]
+        rest = np.array([i for i in rest if out[i] is None], np.int64)
+        cut = np.cumsum(size[rest - k]) // BESIDE
+        first = np.flatnonzero(np.concatenate([[True], cut[1:] != cut[:-1]])) if len(rest) else []
+        for a, b in zip(first, np.append(first[1:], len(rest))):
+            flat, number = self.together([pieces[i] for i in rest[a:b].tolist()])
+            ends = np.cumsum(number)
+            for i, x, y in zip(rest[a:b].tolist(), (ends - number).tolist(), ends.tolist()):
+                out[i] = flat[x:y]
+        length = np.array([len(x) for x in out], np.int64)
+        return np.concatenate([np.asarray(x, np.int32) for x in out]), length
+
+    def _tables(self) -> tuple[Table, np.ndarray, np.ndarray, Table, np.ndarray, np.ndarray]:
+        """The trie (children by node * 512 + byte, tokens), lengths of entries, merges by pair, halves, and pairs known to be compatible or not."""
+        if self._arrays is None:
+            key = np.array([(node << 9) | byte for node, x in enumerate(self.child) for byte in x], np.uint64)
+            child = Table(key, np.array([y for x in self.child for y in x.values()], np.int32))
+            most = 1 + max(self.halves, default=-1)
+            size, halves = np.zeros(most, np.int64), np.zeros((2, most), np.int64)
+            for word, t in self.ranks.items():
+                if t in self.halves:
+                    size[t], halves[:, t] = len(word), self.halves[t]
+            pair = np.array([(a << 32) | b for a, b in self.pair], np.uint64)
+            self._arrays = child, np.array(self.token, np.int32), size, Table(pair, np.array([*self.pair.values()], np.int32)), halves, np.full(PAIRS, Table.FREE)
+        return self._arrays
+
+    def _all_compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """`compatible` of many pairs. Those asked for lately are kept, each at a place that its bits name, with the answer as the lowest bit."""
+        *_, pair, halves, kept = self._tables()
+        key = (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
+        at = (vec.mix(key) & np.uint64(PAIRS - 1)).astype(np.int64)
+        there = kept[at]
+        out = (there & np.uint64(1)).astype(bool)
+        new = np.flatnonzero(there >> np.uint64(1) != key)
+        left, a, b, due = new, a[new].astype(np.int64), b[new].astype(np.int64), np.full(len(new), 1 << 60)
+        while len(left):
+            made = pair.get((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64))
+            x, y = halves[1][a], halves[0][b]
+            wrong = (made >= 0) & (made < due)
+            right = ~wrong & (x == a) & (y == b)
+            out[left[wrong]], out[left[right]] = False, True
+            go = ~(wrong | right)
+            left, a, b, x, y = left[go], a[go], b[go], x[go], y[go]
+            undo = (y == b) | ((x != a) & (a > b))
+            due, a, b = np.where(undo, a, b + 1), np.where(undo, x, a), np.where(undo, b, y)
+        kept[at[new]] = (key[new] << np.uint64(1)) | out[new].astype(np.uint64)
+        return out
+
+    def together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of all pre-tokens, number by pre-token), none of them empty. There is a boundary before each byte and at the end of each."""
+        child, token, length, *_ = self._tables()
+        size = np.array([len(p) for p in pieces], np.int64)
+        end = np.cumsum(size + 1) - 1
+        begin = end - size
+        byte = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.uint64)
+        byte[end] = 256  # no entry goes on there
+        place = np.arange(len(byte)) - np.repeat(begin, size + 1)
+        start = np.flatnonzero(byte != 256)
+        at, node, found = start, np.zeros(len(start), np.int64), []
+        while len(at):
+            node = child.get((node.astype(np.uint64) << np.uint64(9)) | byte[at])
+            on = node >= 0
+            start, at, node = start[on], at[on] + 1, node[on]
+            t = token[node]
+            some = t >= 0
+            found.append((start[some], at[some], t[some]))
+        start, at, t = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(place[start], kind="stable")
+        start, at, t = start[order], at[order], t[order]
+        last = np.full(len(byte), -2, np.int64)  # the last token of the encoding up to each boundary
+        last[begin] = -1
+        steps = np.searchsorted(place[start], np.arange(int(size.max()) + 1))
+        for i, j in zip(steps[:-1], steps[1:]):  # boundaries of one place, which none before can reach any more
+            open_ = np.flatnonzero(last[at[i:j]] == -2) + i
+            before, t_ = last[start[open_]], t[open_]
+            fits = before == -1
+            more = np.flatnonzero(before >= 0)
+            fits[more] = self._all_compatible(before[more], t_[more])
+            last[at[open_[fits]]] = t_[fits]
+        lost = np.flatnonzero(last == -2)
+        if len(lost):
+            raise ValueError(f"the vocabulary has no entry for byte {int(byte[lost[0] - 1])}")
+        used, back = np.zeros(len(byte), bool), end
+        while len(back):
+            used[back] = True
+            back = back - length[last[back]]
+            back = back[last[back] >= 0]
+        return last[used].astype(np.int32), np.add.reduceat(used.astype(np.int64), begin)
+
 
 class Encoder:
     """Encodes columns of texts, each distinct pre-token once while it is remembered."""
@@ -285,9 +435,7 @@ class Encoder:
     def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
         if len(self.known) > REMEMBERED:
             self._forget()
-        ids = [self.transducer.encode(p) for p in pieces]
-        length = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((t for x in ids for t in x), np.int32, int(length.sum()))
+        flat, length = self.transducer.encode_all(pieces)
         first = self.total + np.cumsum(length) - length
         if self.total + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.total], flat, np.zeros(self.total + len(flat), np.int32)])
