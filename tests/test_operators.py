@@ -367,3 +367,30 @@ def test_cut_offs_of_the_first_values(spark):
             e, g = entropy(v, cap), gap(v, cap)
             assert (got[k].entropy, got[k].gap_ratio) == (e, g), (v, most)
             assert (got[k].entropy_threshold, got[k].gap_threshold) == (v[e] if e < len(v) else 0.0, v[g] if g < len(v) else 0.0)
+
+
+def test_factors_of_many_directions(spark):
+    """Leverage and correlation of a factor that has more directions than bits, against the sums written out; no step holds signatures by directions."""
+    rng = np.random.default_rng(21)
+    f = rng.normal(size=(300, 7)) * (rng.random((300, 7)) < 0.8)
+    f[5] = 0
+    cells = spark.createDataFrame([(r, e, float(x)) for (r, e), x in np.ndenumerate(f) if x], "r int, bit int, x double")
+    lists = [sorted(rng.choice(9, rng.integers(0, 8), replace=False).tolist()) for _ in range(50)] + [None, [-1, 3], [8]]
+    sigs = spark.createDataFrame(list(enumerate(lists)), "id long, bits array<int>")
+    s2 = (f * f).sum(axis=1)
+    s2, some = s2[s2 > 0], f[s2 > 0]
+    want = [sum(some[r, [e for e in x or [] if 0 <= e < 7]].sum() ** 2 / (s2[r] * (s2[r] + s2.mean())) for r in range(len(some))) for x in lists]
+    assert all(abs(r.leverage - want[r.id]) < 1e-9 for r in matrices.leverage(sigs, cells).collect())
+    assert matrices.leverage(sigs, cells).count() == len(lists)
+    plan = matrices.correlation(cells, spark.createDataFrame([(1, 4), (9, 9)], "i int, j int"))
+    assert "SortMergeJoin [j" not in plan._jdf.queryExecution().executedPlan().toString() and "r#" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.i, r.j): r.x for r in plan.collect()}
+    assert abs(got[1, 4] - f[:, 1] @ f[:, 4]) < 1e-9 and got[9, 9] == 0
+    shared = []
+    broadcast = spark.sparkContext.__class__.broadcast
+    try:
+        spark.sparkContext.__class__.broadcast = lambda self, x: shared.append(x[0].shape) or broadcast(self, x)
+        matrices.leverage(sigs, cells)
+    finally:
+        spark.sparkContext.__class__.broadcast = broadcast
+    assert shared == [(8, 7)]
