@@ -394,3 +394,17 @@ def test_factors_of_many_directions(spark):
     finally:
         spark.sparkContext.__class__.broadcast = broadcast
     assert shared == [(8, 7)]
+
+
+def test_sets_of_a_sketch_come_in_groups():
+    """Large groups of sets keep the bounds, and take far fewer products than a row each of all bits."""
+    rng = np.random.default_rng(23)
+    a = (rng.random((700, 90)) < rng.random(90) ** 3).astype(float)
+    count, flat = a.sum(axis=1).astype(int), np.nonzero(a)[1]
+    s = matrices.Sketch(90, 12)
+    s.add_sets(count, flat)
+    gap = np.linalg.eigvalsh(a.T @ a - (s.rows.T @ s.rows).astype(float))
+    assert len(s.rows) <= 24 and gap.min() > -1e-1 and gap.max() <= a.sum() / 12
+    few = matrices.Sketch(90, 12)
+    few.add_sets(count[:20], flat[: count[:20].sum()])
+    assert np.array_equal(few.rows, a[:20])
