@@ -396,6 +396,25 @@ def test_factors_of_many_directions(spark):
     assert shared == [(8, 7)]
 
 
+@pytest.mark.parametrize(("boost", "strip", "reservoir"), [(6.0, 0.1, 5)])
+def test_learner_of_many_batches_is_that_of_jobs(spark, monkeypatch, boost, strip, reservoir):
+    """One task that takes batch after batch, a few batches a job, learns what jobs for each batch do; and needs no job for each."""
+    rng = random.Random(22)
+    kinds = [sorted(rng.sample(range(30), rng.randint(3, 9))) for _ in range(12)]
+    rows = [(k, rng.choice([None, *range(5)]), rng.choice([None, [], *[sorted(set(x) | set(rng.sample(range(33), 2))) for x in kinds]])) for k in range(95)]
+    given = spark.createDataFrame(rows, "id long, seq long, bits array<int>").repartition(3)
+    weights = spark.createDataFrame([(b, 1 + b % 5) for b in range(31)], "bit int, w int")
+    s = learner.Settings(atoms=7, width=4, batch=20, boost=boost, strip=strip, reservoir=reservoir, directions=8)
+    monkeypatch.setattr(learner, "CHUNK", 50)
+    got, jobs = [], []
+    pursuit = codebook.pursuit
+    monkeypatch.setattr(codebook, "pursuit", lambda *a: jobs.append(1) or pursuit(*a))
+    for few in (100, 0):
+        monkeypatch.setattr(learner, "FEW", few)
+        got.append({r.atom_id: list(r.bits) for r in learner.learn(given, weights, s, 30).collect()})
+    assert got[0] == got[1] and len(jobs) == 5 and sum(map(bool, got[0].values())) > 4
+
+
 def test_sets_of_a_sketch_come_in_groups():
     """Large groups of sets keep the bounds, and take far fewer products than a row each of all bits."""
     rng = np.random.default_rng(23)
