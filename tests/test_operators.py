@@ -427,3 +427,37 @@ def test_sets_of_a_sketch_come_in_groups():
     few = matrices.Sketch(90, 12)
     few.add_sets(count[:20], flat[: count[:20].sum()])
     assert np.array_equal(few.rows, a[:20])
+
+
+def test_spelling_many_words_at_once():
+    """Against a Decomposer word by word; and stretches left open by older parts, cut by new ones, are those of the whole dictionary."""
+    import pyarrow as pa
+
+    rng = random.Random(31)
+    some = lambda: "".join(rng.choice("abcab-'1") for _ in range(rng.randint(2, 8)))
+    new = list(dict.fromkeys((rng.choice(["Start", "Mid", "End"]), some()) for _ in range(90)))
+    parts = [(i, *p) for i, p in enumerate([("Whole", "abc"), ("Whole", "é")] + new[:40] + dictionary.atoms()[:150] + new[40:] + [("Mid", "éa")])]
+    words = ["", None, "a", "abc", "é", "aéab", "ab\0ab", "abcab" * 20, *("".join(rng.choice("abcab-'1z") for _ in range(rng.randint(1, 70))) for _ in range(600))]
+    d, s = dictionary.Decomposer(parts), dictionary.Speller(parts)
+    count, flat = s.parts(pa.array(words))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(count)[:-1])] == [d.parts(w or "") for w in words]
+    spelt = [[] for _ in words]
+    for k, a, b in zip(*(x.tolist() for x in s.runs(pa.array(words)))):
+        spelt[k].append((a, b))
+    assert spelt == [d.runs(w or "") for w in words]
+    assert dictionary.Speller([]).parts(pa.array(["ab", ""]))[0].tolist() == [0, 0]
+
+
+def test_training_goes_on_from_what_is_open(spark, monkeypatch):
+    """Words are spelt once, whatever the number of rounds, and the dictionary is that of spelling all words in each."""
+    rng = random.Random(32)
+    stems, ends = ["walk", "talk", "jump", "plaé"], ["ing", "ed", "er", "s"]
+    words = spark.createDataFrame([(k, 1 + i % 7) for i, k in enumerate(sorted({rng.choice(stems) * rng.randint(1, 2) + rng.choice(ends) + rng.choice(["", "ly", "ness", "xq7"]) for _ in range(200)}))], "value string, n long")
+    delims = spark.createDataFrame([(" ", 50)], "value string, n long")
+    parts = dictionary.seeded(words, delims)
+    for _ in range(3):
+        parts = dictionary.promoted(words, parts)
+    calls, unclaimed = [], dictionary.unclaimed
+    monkeypatch.setattr(dictionary, "unclaimed", lambda *a: calls.append(1) or unclaimed(*a))
+    got = dictionary.train(words, delims, 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, parts.collect())) and len(calls) == 1 and got.where("kind = 'Mid'").count() > 3
