@@ -461,3 +461,15 @@ def test_training_goes_on_from_what_is_open(spark, monkeypatch):
     monkeypatch.setattr(dictionary, "unclaimed", lambda *a: calls.append(1) or unclaimed(*a))
     got = dictionary.train(words, delims, 3)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, parts.collect())) and len(calls) == 1 and got.where("kind = 'Mid'").count() > 3
+
+
+def test_sums_need_no_signatures(spark, monkeypatch):
+    """Sums by bit of signatures of long sentences, which aren't made."""
+    docs = spark.createDataFrame([(1, " ".join(f"w{k % 7} x{k % 5}" for k in range(300)) + ". a b")], "doc_id long, text string")
+    parts = dictionary.numbered(spark, dictionary.atoms())
+    size = len(dictionary.atoms())
+    w = np.arange(3 * size) ** 2
+    want = {(r.doc_id, r.idx): int(w[r.bits].sum()) for r in signatures.encoded_texts(docs, parts).collect()}
+    monkeypatch.setattr(signatures.Spans, "signatures", None)
+    got = signatures.summed_texts(docs, parts, {"x": w}).collect()
+    assert {(r.doc_id, r.idx): r.x for r in got} == want and len(want) == 602
