@@ -170,3 +170,15 @@ def test_table(spark):
     rows = tok.tokens(docs).collect()
     assert len(rows) == 2 * 6 + 1 and {r.doc_id for r in rows} == {1, None}
     assert tok.tokens(docs.limit(0)).count() == 0
+
+
+def test_distinct_words_by_key(spark, monkeypatch):
+    """Of each key, null too, and however texts are sliced; only distinct ones leave a slice."""
+    texts = [("en", "a b a"), (None, "a c"), ("de", "b b b"), ("en", "c b"), ("fr", "..."), ("en", None), (None, "c")]
+    docs = spark.createDataFrame(texts, "lang string, text string").coalesce(1)
+    want = {(k, w) for k, t in texts for w in (t or "").replace(".", "").split()}
+    for size in (4, 1 << 20):
+        monkeypatch.setattr(tok, "SLICE", size)
+        monkeypatch.setattr(tok.sliced, "__defaults__", (size,))
+        got = [tuple(r) for r in tok.distinct_words(docs, key="lang").collect()]
+        assert set(got) == want and len(got) == len(want)
