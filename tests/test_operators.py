@@ -473,3 +473,23 @@ def test_sums_need_no_signatures(spark, monkeypatch):
     monkeypatch.setattr(signatures.Spans, "signatures", None)
     got = signatures.summed_texts(docs, parts, {"x": w}).collect()
     assert {(r.doc_id, r.idx): r.x for r in got} == want and len(want) == 602
+
+
+def test_small_codebooks_go_to_the_signatures(spark, monkeypatch):
+    """Signatures' bits don't meet by bit, and are scored once."""
+    rng = random.Random(41)
+    book = spark.createDataFrame([(k, sorted(rng.sample(range(20), rng.randint(0, 5)))) for k in range(12)], "atom_id int, bits array<int>")
+    weights = spark.createDataFrame([(b, 1 + b % 4) for b in range(18)], "bit int, w int")
+    bits = spark.createDataFrame([(k, b) for k in range(60) for b in rng.sample(range(20), rng.randint(0, 9))], "id long, bit int")
+    got, plans = [], []
+    for small in (0, 10**6):
+        monkeypatch.setattr(codebook, "SMALL", small)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        try:
+            first = codebook.first_round(bits, book, weights)
+            plans.append(first._jdf.queryExecution().executedPlan().toString())
+            got.append((sorted(map(tuple, codebook.scores(bits, book, weights).collect())), sorted(map(tuple, first.collect()))))
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got[0] == got[1] and len(got[0][1]) > 40
+    assert "BroadcastHashJoin" in plans[1] and "BroadcastHashJoin" not in plans[0] and plans[1].count("max_by") <= 2
